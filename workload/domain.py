@@ -25,7 +25,7 @@ JUNK = (*dp.JUNK_TERMS, "nation_3", "nation_17")
 SPIKE_MAX = 0.12
 LATE_MAX = 0.15
 
-_lock = threading.Lock()
+_lock = threading.RLock()
 _local_folders: dict[str, str] = {}
 
 
@@ -153,3 +153,214 @@ def flagged(spark, sf_dir) -> DataFrame:
 
 def stored_signals(spark, sf_dir) -> DataFrame:
     return stored(spark, sf_dir, "signals", lambda: flagged(spark, sf_dir))
+
+
+# --- briefs, evidence, decisions, golden pairs ------------------------------
+
+
+def _claim(text) -> F.Column:
+    """First twelve words of a text without full stops."""
+    from pharmasift.functions.text import words
+
+    return F.regexp_replace(F.array_join(F.slice(words(text), 1, 12), " "), "[.]", " ")
+
+
+def evidence(spark, sf_dir) -> DataFrame:
+    """Three documents per signal as its retrieved literature."""
+    s = stored_signals(spark, sf_dir).select(
+        "drug_key", "pt", F.col("drug_reaction_count").alias("a"),
+        F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j"),
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return s.join(docs, F.expr("(a + j) % 200") == F.col("doc_id")).select(
+        "drug_key", "pt", "j", (F.col("a") + F.col("j") + 1000000).cast("string").alias("pmid"), "text"
+    )
+
+
+def briefs(spark, sf_dir) -> DataFrame:
+    """Deterministic briefs with planted faults for the stronger signals."""
+    from pharmasift.functions import scores
+    from pharmasift.functions.text import fixed
+    from pharmasift.operators.search_queries import template_queries
+
+    s = stored_signals(spark, sf_dir).filter(F.col("prr") >= 1.22)
+    claims = evidence(spark, sf_dir)
+    first = claims.filter(F.col("j") == 0).select("drug_key", "pt", _claim(F.col("text")).alias("claim0"))
+    second = claims.filter(F.col("j") == 1).select("drug_key", "pt", _claim(F.col("text")).alias("claim1"))
+    s = s.join(first, ["drug_key", "pt"]).join(second, ["drug_key", "pt"])
+    a = F.col("drug_reaction_count")
+    lit = (a % 10) / 10.0
+    p0, p1, p9 = [(a + n).cast("string") for n in (1000000, 1000001, 2000000)]
+    ratio = F.when(a % 5 == 0, fixed(F.col("prr") * 1.5, 1)).otherwise(fixed(F.col("prr"), 2))
+    cases = F.when(a % 4 == 0, a * 2).otherwise(a).cast("string")
+    deaths = F.when(a % 6 == 0, F.lit("No deaths were seen.")).otherwise(
+        F.concat(F.col("death_count").cast("string"), F.lit(" deaths occurred."))
+    )
+    extra = F.when(a % 9 == 0, F.lit(" Incidence rose by 140.5% since 2019.")).otherwise("")
+    text = F.concat(
+        F.initcap("drug_key"), F.lit(" with "), F.col("pt"), F.lit(" shows a PRR of "), ratio,
+        F.lit(" based on "), cases, F.lit(" reports in 2023. "), deaths, extra,
+        F.lit(" [PMID:"), p0, F.lit("] "), F.col("claim0"), F.lit(". [PMID: "), p1, F.lit("] "),
+        F.when(a % 2 == 0, F.lit("the mechanism of this reaction remains entirely unclear")).otherwise(F.col("claim1")),
+        F.lit(". [PMID:"), F.when(a % 3 == 0, p9).otherwise(p0), F.lit("] see there."),
+    )
+    cited = F.concat(
+        F.array(F.concat(F.lit("PMID:"), p0), p1),
+        F.when(a % 3 == 0, F.array(p9)).otherwise(F.array().cast("array<string>")),
+    )
+    action = (
+        F.when(a % 7 == 0, "withdraw from market")
+        .when(a % 5 == 1, "Consider label revision")
+        .when(a % 3 == 0, "RESTRICT FOR PATIENTS OR REMOVE")
+        .when(a % 2 == 0, "restrict use")
+        .otherwise("monitor")
+    )
+    findings = F.when(a % 13 == 0, F.lit("not json")).otherwise(
+        F.concat(F.lit('["'), F.col("pt"), F.lit('", "n='), a.cast("string"), F.lit('"]'))
+    )
+    return s.select(
+        (a * 1000000 + F.col("other_reaction_count")).alias("brief_id"),
+        "drug_key", "pt", "stat_score", lit.alias("lit_score"),
+        scores.priority(F.col("stat_score"), lit).alias("priority"),
+        text.alias("brief_text"),
+        findings.alias("key_findings"),
+        cited.alias("pmids_cited"),
+        template_queries(F.col("drug_key"), F.col("pt")).alias("search_queries"),
+        action.alias("recommended_action"),
+        F.lit("m1").alias("model_used"),
+        (a * 10).alias("input_tokens"),
+        F.col("other_reaction_count").alias("output_tokens"),
+        (a % 11 == 0).alias("generation_error"),
+        F.timestamp_seconds(a + 1704067200).alias("generated_at"),
+    )
+
+
+def stored_briefs(spark, sf_dir) -> DataFrame:
+    return stored(spark, sf_dir, "briefs", lambda: briefs(spark, sf_dir))
+
+
+def submitted_decisions(spark, sf_dir) -> DataFrame:
+    """All events as submitted decisions, most of them with a value nobody may submit."""
+    e = table(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    return e.select(
+        F.concat(F.lit("brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("drug_key"),
+        F.concat(F.lit("nation_"), (F.col("event_id") % 25).cast("string")).alias("pt"),
+        F.when(kind == "purchase", "approve").when(kind == "error", "REJECT").otherwise(kind).alias("decision"),
+        F.col("props").alias("reviewer_note"),
+        F.col("ts").alias("decided_at"),
+    )
+
+
+def decisions(spark, sf_dir) -> DataFrame:
+    from pharmasift.sources.tables import split_decisions
+
+    return split_decisions(submitted_decisions(spark, sf_dir))[0]
+
+
+def golden(spark, sf_dir) -> DataFrame:
+    """Drug and reaction pairs that occur together as brand and size of a part."""
+    p, n = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
+    number = F.substring_index("p_brand", "#", -1).cast("int")
+    pairs_ = p.join(n, F.col("p_size") % 25 == F.col("n_nationkey")).select(
+        F.lower("p_brand").alias("drug_key"), F.lower("n_name").alias("pt"),
+        number.alias("b"), F.col("n_nationkey").alias("k"),
+    ).distinct()
+    late = F.date_add(F.lit("1997-01-01").cast("date"), F.col("b") * 30 + F.col("k"))
+    early = F.date_add(F.lit("1995-01-02").cast("date"), F.col("b"))
+    when = F.when(F.col("b") % 12 == 0, F.lit(None).cast("date")).when(F.col("k") % 4 == 1, early).otherwise(late)
+    return pairs_.select(
+        "drug_key", "pt", when.alias("comm_date"), F.concat(F.lit("Notice "), F.col("b").cast("string")).alias("comm_label")
+    )
+
+
+# --- literature --------------------------------------------------------------
+
+
+def corpus(spark, sf_dir) -> DataFrame:
+    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    return d.join(e, d.doc_id == e.vec_id).select(
+        "doc_id", F.col("label").cast("string").alias("group_key"), "text", "embedding"
+    )
+
+
+def library(spark, sf_dir) -> DataFrame:
+    """All documents, grouped by source; no vectors."""
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").alias("group_key"), "text"
+    )
+
+
+def _items(spark, sf_dir) -> DataFrame:
+    from pharmasift.operators.joins import with_scalars
+
+    b = table(spark, sf_dir, "benchmark")
+    rows = with_scalars(b, b.agg(F.count(F.lit(1)).alias("n"))).select(
+        "item_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("query_no"), "n"
+    )
+    other = b.select(F.col("item_id").alias("_i"), "text")
+    return rows.join(other, F.expr("(item_id + query_no - 1) % n") == F.col("_i")).select(
+        "item_id", "query_no", "text"
+    )
+
+
+def literature_queries(spark, sf_dir) -> DataFrame:
+    """Three query rows per benchmark item, with text and vector."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    items = _items(spark, sf_dir)
+    return items.join(e, F.expr("item_id * 3 + query_no - 1") == F.col("vec_id")).select(
+        F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("signal_id"),
+        "query_no", (F.col("item_id") % 10).cast("string").alias("group_key"), "text", "embedding",
+    )
+
+
+def library_queries(spark, sf_dir) -> DataFrame:
+    return _items(spark, sf_dir).select(
+        F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("signal_id"),
+        "query_no", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("group_key"),
+        "text",
+    )
+
+
+def vector_queries(spark, sf_dir) -> DataFrame:
+    """Every vector as a query in its own label."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("signal_id"),
+        F.lit(1).alias("query_no"), F.col("label").cast("string").alias("group_key"), "embedding",
+    )
+
+
+def vectors(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("group_key"), "embedding"
+    )
+
+
+def stored_hits(spark, sf_dir) -> DataFrame:
+    """All result lists of the literature queries."""
+    from pharmasift.operators import retrieval
+
+    return stored(
+        spark, sf_dir, "hits",
+        lambda: retrieval.search(
+            literature_queries(spark, sf_dir), corpus(spark, sf_dir), min_similarity=0.2
+        ),
+    )
+
+
+def item_signals(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("signal_id")
+    )
+
+
+def calls(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.col("event_id").alias("call_id"),
+        F.to_date("ts").alias("day"),
+        F.when(F.col("event_type").isin("view", "click"), "query_generation")
+        .otherwise("brief_generation").alias("task"),
+        F.floor(F.col("value") * 100).alias("input_tokens"),
+        F.col("user_id").alias("output_tokens"),
+    )
