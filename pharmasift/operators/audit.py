@@ -320,12 +320,11 @@ def composite(audited: DataFrame, pass_below: float = PASS_BELOW) -> DataFrame:
         F.col("numeric_rate") * w[0] + F.col("action_rate") * w[1] + F.col("grounding_rate") * w[2]
     )
     sources = dict(zip(WEIGHTS, ("numeric_errors", "action_errors", "grounding_errors")))
-    flags = F.concat(
-        *[
-            F.transform(c, lambda e, name=name: F.concat(F.lit(f"[{name}] "), e))
-            for name, c in sources.items()
-        ]
-    )
+
+    def labelled(name: str, errors: str) -> Column:
+        return F.transform(errors, lambda e: F.concat(F.lit(f"[{name}] "), e))
+
+    flags = F.concat(*[labelled(name, errors) for name, errors in sources.items()])
     return audited.withColumns(
         {
             "audit_score": half_even(score, 3),

@@ -64,7 +64,7 @@ def running_spend(
         Window.unboundedPreceding, 0
     )
     local = costed.withColumn("_local", F.sum("cost").over(inside))
-    spent = (F.col("_before") + F.col("_local")).cast(MONEY)
+    spent = (F.col("_before").cast(MONEY) + F.col("_local").cast(MONEY)).cast(MONEY)
     return (
         local.join(offsets, ["day", "_run"])
         .withColumn("spent", spent)

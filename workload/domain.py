@@ -244,8 +244,8 @@ def submitted_decisions(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
     kind = F.col("event_type")
     return e.select(
-        F.concat(F.lit("brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("drug_key"),
-        F.concat(F.lit("nation_"), (F.col("event_id") % 25).cast("string")).alias("pt"),
+        F.concat(F.lit("brand#"), (F.col("user_id") % 100 + 1).cast("string")).alias("drug_key"),
+        F.concat(F.lit("nation_"), (F.col("event_id") % 100).cast("string")).alias("pt"),
         F.when(kind == "purchase", "approve").when(kind == "error", "REJECT").otherwise(kind).alias("decision"),
         F.col("props").alias("reviewer_note"),
         F.col("ts").alias("decided_at"),

@@ -19,7 +19,7 @@ from pharmasift.plans import brief_audit, flagging, investigation
 from pharmasift.sources import messages, reports, tables
 from pharmasift.streaming import ingest
 from workload import domain as d
-from workload.sql import compose, fix, norm_action, outcome_parts, pct, priority, rnd, tier_rank, tokens as sql_tokens
+from workload.sql import STAT, compose, fix, norm_action, outcome_parts, pct, priority, rnd, tier_rank, tokens as sql_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
@@ -416,10 +416,7 @@ def _(s, p):
 
 @query("stat_scores", """SELECT drug_key, pt, stat_score, CASE WHEN stat_score >= 0.7 THEN 'high'
     WHEN stat_score >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM (
-      SELECT drug_key, pt, """ + rnd(
-        "least(prr / 4.0, 1.0) * 0.5 + least(log10(CAST(greatest(a, 1) AS DOUBLE)) / log10(50.0), 1.0) * 0.3 "
-        "+ (CASE WHEN death_count > 0 THEN 1.0 WHEN lt_count > 0 THEN 0.75 WHEN hosp_count > 0 THEN 0.5 ELSE 0.0 END) * 0.2", 4
-    ) + " AS stat_score FROM contingency)")
+      SELECT drug_key, pt, """ + STAT + " AS stat_score FROM contingency)")
 def _(s, p):
     scored = dp.signal_table(dp.contingency(d.stored_pairs(s, p)))
     return scored.select("drug_key", "pt", "stat_score", scores.stat_band(F.col("stat_score")).alias("band"))
@@ -432,6 +429,14 @@ def _(s, p):
     return dp.threshold(cells, dp.Thresholds.production(), dp.junk_frame(s)).select("drug_key", "pt", "prr")
 
 
+@query("wide_thresholds", """SELECT drug_key, pt, prr FROM contingency
+    WHERE prr >= 1.5 AND a >= 4 AND c >= 50 AND drug_total >= 40""")
+def _(s, p):
+    cells = dp.contingency(d.stored_pairs(s, p))
+    limits = dp.Thresholds(prr=1.5, cases=4, other_cases=50, drug_cases=40)
+    return dp.threshold(cells, limits, dp.junk_frame(s)).select("drug_key", "pt", "prr")
+
+
 # --- review ---------------------------------------------------------------------
 
 
@@ -448,14 +453,14 @@ def _(s, p):
     return review.feed_page(feed(s, p), limit=20, offset=10)
 
 
-@query("feed_of_tier", f"SELECT {FEED_SQL} FROM feed WHERE priority = 'P2'")
+@query("feed_of_tier", f"SELECT {FEED_SQL} FROM feed WHERE priority = 'P3'")
 def _(s, p):
-    return review.order_feed(review.filter_feed(feed(s, p), priority="P2"))
+    return review.order_feed(review.filter_feed(feed(s, p), priority="P3"))
 
 
-@query("feed_search", f"SELECT {FEED_SQL} FROM feed WHERE drug_key ILIKE '%RIN%' OR pt ILIKE '%RIN%'")
+@query("feed_search", f"SELECT {FEED_SQL} FROM feed WHERE drug_key ILIKE '%ND#1%' OR pt ILIKE '%ND#1%'")
 def _(s, p):
-    return review.order_feed(review.filter_feed(feed(s, p), search="RIN"))
+    return review.order_feed(review.filter_feed(feed(s, p), search="ND#1"))
 
 
 for _by, _sql in {
@@ -539,10 +544,10 @@ def _(s, p):
 
 
 @query("queue_search_in_tier", """SELECT drug_key, pt, priority FROM ready
-    WHERE (contains(drug_key, 'r') OR contains(pt, 'r')) AND priority = 'P2'""")
+    WHERE (contains(drug_key, 'r') OR contains(pt, 'r')) AND priority = 'P4'""")
 def _(s, p):
     q = review.queue(d.stored_signals(s, p), d.stored_briefs(s, p), d.decisions(s, p))
-    return review.filter_feed(q, priority="P2", search="R").select("drug_key", "pt", "priority")
+    return review.filter_feed(q, priority="P4", search="R").select("drug_key", "pt", "priority")
 
 
 @query("decision_history", f"SELECT drug_key, pt, decision, reviewer_note, {MOMENT.format('decided_at')} FROM decisions")
@@ -700,14 +705,18 @@ def _(s, p):
     return ranked(retrieval.dense_topk(d.vector_queries(s, p), d.vectors(s, p), min_similarity=0.2))
 
 
-@query("query_document_cosine", f"""SELECT signal_id, query_no, doc_id, {rnd('score', 4)} AS similarity,
-    round(1.0 - {rnd('score', 4)}, 6) AS distance FROM dense_scored""")
+NEXT_COSINE = rnd("list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y)))", 4)
+
+
+@query("neighbour_cosine", f"""SELECT vec_id, {NEXT_COSINE} AS similarity, round(1.0 - {NEXT_COSINE}, 6) AS distance FROM (
+    SELECT e.vec_id, CAST(e.embedding AS DOUBLE[]) AS x, CAST(f.embedding AS DOUBLE[]) AS y
+    FROM embeddings e JOIN embeddings f ON e.vec_id + 1 = f.vec_id)""")
 def _(s, p):
-    q = d.literature_queries(s, p).select("signal_id", "query_no", "group_key", F.col("embedding").alias("qv"))
-    similarity = half_even(cosine(F.col("qv"), F.col("embedding")), 4)
-    return q.join(d.corpus(s, p), "group_key").select(
-        "signal_id", "query_no", "doc_id", similarity.alias("similarity"),
-        F.round(F.lit(1.0) - similarity, 6).alias("distance"),
+    e = d.table(s, p, "embeddings").select("vec_id", "embedding")
+    following = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    similarity = half_even(cosine(F.col("embedding"), F.col("next")), 4)
+    return e.join(following, "vec_id").select(
+        "vec_id", similarity.alias("similarity"), F.round(F.lit(1.0) - similarity, 6).alias("distance")
     )
 
 
@@ -899,10 +908,11 @@ def _(s, p):
     return dp.contingency(d.stored_pairs(s, p)).select("drug_key", "pt", hint.alias("hint"))
 
 
-@query("priority_tiers", f"SELECT drug_key, pt, {priority('stat_score', 'lit_score')} AS priority FROM brief_base")
+@query("priority_tiers", f"SELECT drug_key, pt, {priority('stat_score', '(CAST(a % 10 AS DOUBLE) / 10.0)')} AS priority FROM (SELECT *, {STAT} AS stat_score FROM contingency)")
 def _(s, p):
-    tier = scores.priority(F.col("stat_score"), F.col("lit_score"))
-    return d.stored_briefs(s, p).select("drug_key", "pt", tier.alias("priority"))
+    scored = dp.signal_table(dp.contingency(d.stored_pairs(s, p)))
+    tier = scores.priority(F.col("stat_score"), F.col("drug_reaction_count") % 10 / 10.0)
+    return scored.select("drug_key", "pt", tier.alias("priority"))
 
 
 MATCHED = "(SELECT s.*, 'item-' || CAST(drug_reaction_count % 40 AS VARCHAR) AS item FROM signals s)"

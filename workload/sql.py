@@ -201,8 +201,8 @@ CTES: dict[str, str] = {
         other_reaction_count AS output_tokens, a % 11 = 0 AS generation_error,
         to_timestamp(a + 1704067200) AT TIME ZONE 'UTC' AS generated_at,
         a, prr, death_count, hosp_count, lt_count FROM brief_base""",
-    "submitted": """SELECT 'brand#' || CAST(user_id % 25 + 1 AS VARCHAR) AS drug_key,
-        'nation_' || CAST(event_id % 25 AS VARCHAR) AS pt,
+    "submitted": """SELECT 'brand#' || CAST(user_id % 100 + 1 AS VARCHAR) AS drug_key,
+        'nation_' || CAST(event_id % 100 AS VARCHAR) AS pt,
         CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'REJECT' ELSE event_type END AS decision,
         props AS reviewer_note, ts AS decided_at FROM events""",
     "decisions": """SELECT drug_key, pt, upper(decision) AS decision, reviewer_note, decided_at FROM submitted
