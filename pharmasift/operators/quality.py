@@ -64,12 +64,21 @@ def junk_left(signals: DataFrame, junk: DataFrame) -> DataFrame:
 
 
 def present_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
-    """One row per required column, looked up in the schema without reading data."""
-    spark = df.sparkSession
-    have = set(df.columns)
-    return spark.createDataFrame(
-        [(c, c in have) for c in required], "column_name string, present boolean"
-    )
+    """One row per required column: is it there, and in how many rows is it filled?
+
+    Presence comes from the schema; the filled counts of all columns from one pass.
+    """
+    have = [c for c in required if c in df.columns]
+    counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"_n_{c}") for c in have])
+    entries = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.lit(c in have).alias("present"),
+            (F.col(f"_n_{c}") if c in have else F.lit(0).cast("long")).alias("n_filled"),
+        )
+        for c in required
+    ]
+    return counts.select(F.explode(F.array(*entries)).alias("r")).select("r.*")
 
 
 def readiness(pairs: DataFrame) -> DataFrame:

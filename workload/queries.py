@@ -1170,10 +1170,10 @@ def _(s, p):
     return naming.check_names(d.name_map(s, p), expected.unionByName(unknown))
 
 
-@query("columns_check", """SELECT unnest(['drug_key', 'pt', 'prr', 'hallucination']) AS column_name,
-    unnest([true, true, true, false]) AS present""")
+@query("columns_check", """SELECT 'drug_key' AS column_name, true AS present, count(drug_key) AS n_filled FROM pairs
+    UNION ALL SELECT 'rxcui', true, count(rxcui) FROM pairs UNION ALL SELECT 'route', false, CAST(0 AS BIGINT)""")
 def _(s, p):
-    return quality.present_columns(d.stored_signals(s, p), ["drug_key", "pt", "prr", "hallucination"])
+    return quality.present_columns(d.stored_pairs(s, p), ["drug_key", "rxcui", "route"])
 
 
 @query("readiness_check", """SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS null_keys, CAST(0 AS BIGINT) AS upper_terms,
