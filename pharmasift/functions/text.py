@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 
 from pharmasift.functions.rounding import half_even
 
-# Fixed value: the characters a Unicode-aware whitespace split breaks on. The
-# same pattern text is valid for Java regular expressions and for RE2.
-SPACE_CLASS = (
-    r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
+# Fixed value: the characters a Unicode-aware whitespace split breaks on: the
+# White_Space property and the four separators U+001C to U+001F.
+SPACE = r"[\s\x1c-\x1f]"
 
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(c, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    return F.regexp_replace(c, f"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
 def blank_to_null(c: Column) -> Column:
@@ -27,7 +24,7 @@ def blank_to_null(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Whitespace-separated words, empty pieces dropped, case kept."""
-    return F.filter(F.split(c, f"{SPACE_CLASS}+"), lambda w: w != "")
+    return F.array_remove(F.split(c, f"(?U){SPACE}+"), "")
 
 
 def tokens(c: Column) -> Column:

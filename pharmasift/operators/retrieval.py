@@ -6,9 +6,11 @@ Documents: doc_id, group column, `text` and/or `embedding`.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pharmasift.functions import scores
@@ -87,14 +89,35 @@ def dense_topk(
 # --- BM25 ------------------------------------------------------------------
 
 
-def doc_lengths(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.size(tokens(F.col("text"))).alias("n_tokens"))
+@dataclass(frozen=True)
+class Index:
+    """BM25 tables of a whole corpus.
+
+    `postings`: group, doc_id, n_tokens, term, tf. `terms`: term, df, idf.
+    `stats`: one row with n_docs and mean_tokens.
+    """
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
 
 
 def postings(docs: DataFrame, group: str = "group_key") -> DataFrame:
     """Term frequency per (document, term) over the whole text."""
-    words = docs.select(group, "doc_id", F.explode(tokens(F.col("text"))).alias("term"))
-    return words.groupBy(group, "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return _count_words(_doc_words(docs, group), group)
+
+
+def _doc_words(docs: DataFrame, group: str) -> DataFrame:
+    split = docs.select(group, "doc_id", tokens(F.col("text")).alias("words"))
+    return split.select(
+        group, "doc_id", F.size("words").alias("n_tokens"), F.explode("words").alias("term")
+    )
+
+
+def _count_words(words: DataFrame, group: str, *extra: str) -> DataFrame:
+    return words.groupBy(group, "doc_id", "n_tokens", "term", *extra).agg(
+        F.count(F.lit(1)).alias("tf")
+    )
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
@@ -111,17 +134,48 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     )
 
 
-def term_weights(docs: DataFrame, epsilon: float = EPSILON) -> DataFrame:
-    """Inverse document frequency per term; negative values get epsilon x the mean."""
-    df = document_frequency(docs)
-    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+def _idf(df: DataFrame, stats: DataFrame, epsilon: float) -> DataFrame:
+    """Inverse document frequency; negative values get epsilon x the mean over all terms."""
     raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    rated = with_scalars(df, stats).select("term", "df", raw.alias("raw"))
+    rated = with_scalars(df, stats.select("n_docs")).select("term", "df", raw.alias("raw"))
     mean = rated.agg(F.avg("raw").alias("mean_raw"))
     weight = F.when(F.col("raw") < 0, F.col("mean_raw") * epsilon).otherwise(F.col("raw"))
     return with_scalars(rated, mean).select("term", "df", weight.alias("idf"))
 
 
+def term_weights(docs: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """Document frequency and weight of every term of the corpus."""
+    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    return _idf(document_frequency(docs), stats, epsilon)
+
+
+def bm25_index(docs: DataFrame, group: str = "group_key", epsilon: float = EPSILON) -> Index:
+    """The tables as plans over the documents; `store_index` makes them permanent."""
+    return Index(postings(docs, group), term_weights(docs, epsilon), corpus_stats(docs))
+
+
+def store_index(index: Index, root: str, group: str = "group_key") -> None:
+    """Write an index below `root`, postings laid out so that a word's rows lie together.
+
+    Document frequencies then come from the stored postings, so the texts are split
+    into words once for them and once for the lengths.
+    """
+    spark = index.postings.sparkSession
+    (
+        index.postings.repartition(F.col("term"), F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+        .sortWithinPartitions("term", group)
+        .write.mode("error").parquet(f"{root}/postings")
+    )
+    index.stats.write.mode("error").parquet(f"{root}/stats")
+    stored = spark.read.parquet(f"{root}/postings")
+    df = stored.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    _idf(df, spark.read.parquet(f"{root}/stats"), EPSILON).write.mode("error").parquet(f"{root}/terms")
+
+
+def load_index(spark: SparkSession, root: str) -> Index:
+    return Index(*[spark.read.parquet(f"{root}/{t}") for t in ("postings", "terms", "stats")])
+
+
 def query_terms(queries: DataFrame, group: str = "group_key") -> DataFrame:
     """Distinct words of each query with their count; repeated words count repeatedly."""
     return (
@@ -133,45 +187,50 @@ def query_terms(queries: DataFrame, group: str = "group_key") -> DataFrame:
     )
 
 
-def bm25_postings(
-    docs: DataFrame, terms: DataFrame, group: str = "group_key", k1: float = K1, b: float = B
+def _weigh(counted: DataFrame, stats: DataFrame, group: str, k1: float, b: float) -> DataFrame:
+    length = F.col("n_tokens") / F.col("mean_tokens")
+    saturated = F.col("tf") * (k1 + 1) / (F.col("tf") + (F.lit(1 - b) + length * b) * k1)
+    return with_scalars(counted, stats).select(
+        group, "doc_id", "term", (F.col("idf") * saturated).alias("weight")
+    )
+
+
+def asked_postings(
+    source: DataFrame | Index, terms: DataFrame, group: str = "group_key", k1: float = K1, b: float = B
 ) -> DataFrame:
     """Weighted postings of the words asked for in each group.
 
-    `terms` lists (group, term). Words nobody asks for in a group are dropped before
-    the first shuffle, so what moves is a small part of the corpus.
+    `terms` lists (group, term); `source` is an index or the documents themselves.
+    Words nobody asks for in a group are dropped before the first shuffle, so what
+    moves is a small part of the corpus.
     """
     asked = terms.select(group, "term").distinct()
-    weights = term_weights(docs).select("term", "idf")
-    asked = asked.join(weights, "term")
-    split = docs.select(group, "doc_id", tokens(F.col("text")).alias("words"))
-    words = split.select(
-        group, "doc_id", F.size("words").alias("n_tokens"), F.explode("words").alias("term")
-    )
-    found = attach(words, asked, [group, "term"], "inner")
-    counted = found.groupBy(group, "doc_id", "n_tokens", "term", "idf").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
-    length = F.col("n_tokens") / F.col("mean_tokens")
-    saturated = F.col("tf") * (k1 + 1) / (F.col("tf") + (F.lit(1 - b) + length * b) * k1)
-    return with_scalars(counted, corpus_stats(docs)).select(
-        group, "doc_id", "term", (F.col("idf") * saturated).alias("weight")
-    )
+    if isinstance(source, Index):
+        weighted = asked.join(source.terms.select("term", "idf"), "term")
+        found = attach(source.postings, weighted, [group, "term"], "inner")
+        return _weigh(found, source.stats, group, k1, b)
+    weighted = asked.join(term_weights(source).select("term", "idf"), "term")
+    found = attach(_doc_words(source, group), weighted, [group, "term"], "inner")
+    return _weigh(_count_words(found, group, "idf"), corpus_stats(source), group, k1, b)
 
 
 def bm25_topk(
     queries: DataFrame,
-    docs: DataFrame,
+    source: DataFrame | Index,
     group: str = "group_key",
     k: int = LIST_LENGTH,
     min_score: float = MIN_BM25,
 ) -> DataFrame:
-    """BM25 top-k per query in its group; term statistics come from the whole corpus."""
+    """BM25 top-k per query in its group; term statistics come from the whole corpus.
+
+    `source` is a stored index, or documents when the corpus is searched only once.
+    """
 
     def score_block(qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
         ids, position = np.unique(ds["doc_id"].to_numpy(), return_inverse=True)
+        weights = ds["weight"].to_numpy()
         lists = {
-            term: (position[rows], ds["weight"].to_numpy()[rows])
+            term: (position[rows], weights[rows])
             for term, rows in ds.groupby("term").indices.items()
         }
         out = []
@@ -191,9 +250,7 @@ def bm25_topk(
         return pd.concat(out, ignore_index=True)
 
     q = query_terms(queries, group)
-    ranked = blocked_topk(
-        q, bm25_postings(docs, q, group), group, score_block, k, query_rows=2048, item_rows=32768
-    )
+    ranked = blocked_topk(q, asked_postings(source, q, group), group, score_block, k)
     similarity = F.least(F.col("score") / 10.0, F.lit(1.0))
     return ranked.select(
         "signal_id",
@@ -258,10 +315,14 @@ def search(
     k: int = LIST_LENGTH,
     min_similarity: float = MIN_SIMILARITY,
     min_score: float = MIN_BM25,
+    index: Index | None = None,
 ) -> DataFrame:
-    """All dense and sparse result lists of all signals, in one job."""
+    """All dense and sparse result lists of all signals, in one job.
+
+    With a stored `index` the texts are not read again for the sparse half.
+    """
     dense = dense_topk(queries, docs, group, k, min_similarity)
-    sparse = bm25_topk(queries, docs, group, k, min_score)
+    sparse = bm25_topk(queries, index or docs, group, k, min_score)
     return dense.select(*HIT_COLUMNS).unionByName(sparse.select(*HIT_COLUMNS))
 
 

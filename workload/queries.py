@@ -663,7 +663,7 @@ def _(s, p):
 
 @query("term_postings", "SELECT group_key, doc_id, term, tf FROM bm25_library_postings")
 def _(s, p):
-    return retrieval.postings(d.library(s, p))
+    return retrieval.postings(d.library(s, p)).drop("n_tokens")
 
 
 @query("term_weights", "SELECT term, df, round(idf, 6) AS idf FROM bm25_library_idf")
@@ -693,6 +693,13 @@ def _(s, p):
     return ranked(retrieval.bm25_topk(d.library_queries(s, p), d.library(s, p)))
 
 
+@query("bm25_topk_stored_index", ranked_sql("bm25_library_scored", 0.1, 10))
+def _(s, p):
+    root = d.fresh_path(s, "index")
+    retrieval.store_index(retrieval.bm25_index(d.library(s, p)), root)
+    return ranked(retrieval.bm25_topk(d.library_queries(s, p), retrieval.load_index(s, root)))
+
+
 VECTOR_SCORED = """(SELECT 'v' || CAST(q.vec_id AS VARCHAR) AS signal_id, 1 AS query_no, e.vec_id AS doc_id,
     list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))
       / (sqrt(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))
