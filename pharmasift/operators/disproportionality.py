@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -128,19 +129,22 @@ def contingency(pairs: DataFrame, unique: bool = True) -> DataFrame:
     )
 
 
-def junk_frame(spark, terms=JUNK_TERMS) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in terms], "pt string")
-
+def threshold(
+    cells: DataFrame, limits: Thresholds, junk: DataFrame | Sequence[str] = JUNK_TERMS
+) -> DataFrame:
+    """Cells that reach every limit and whose term is not on the junk list.
 
-def threshold(cells: DataFrame, limits: Thresholds, junk: DataFrame) -> DataFrame:
-    """Cells that reach every limit and whose term is not on the junk list."""
+    A plain list of terms becomes part of the filter; a table is anti-joined.
+    """
     passing = cells.filter(
         (F.col("a") >= limits.cases)
         & (F.col("c") >= limits.other_cases)
         & (F.col("drug_total") >= limits.drug_cases)
         & (F.col("prr") >= limits.prr)
     )
-    return passing.join(junk.select("pt").distinct(), "pt", "left_anti")
+    if isinstance(junk, DataFrame):
+        return passing.join(junk.select("pt").distinct(), "pt", "left_anti")
+    return passing.filter(~F.col("pt").isin(list(junk)))
 
 
 def signal_table(cells: DataFrame) -> DataFrame:

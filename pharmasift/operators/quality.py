@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pharmasift.operators.joins import distinct_keys
-
 # Expected row ranges of a pairs table.
 PERIOD_ROWS = (900_000, 1_800_000)
 YEAR_ROWS = (4_000_000, 6_000_000)
@@ -55,12 +53,10 @@ def required_signals(signals: DataFrame, required: Sequence[tuple[str, str]]) ->
     return rows.withColumn("ok", F.col("n_rows") > 0)
 
 
-def junk_left(signals: DataFrame, junk: DataFrame) -> DataFrame:
+def junk_left(signals: DataFrame, junk: Sequence[str]) -> DataFrame:
     """Junk terms that survived, with their counts; empty is good."""
-    return (
-        signals.join(distinct_keys(junk, ["pt"]), "pt", "left_semi")
-        .groupBy("pt").agg(F.count(F.lit(1)).alias("n"))
-    )
+    kept = signals.filter(F.col("pt").isin(list(junk)))
+    return kept.groupBy("pt").agg(F.count(F.lit(1)).alias("n"))
 
 
 def present_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from pharmasift.operators.pairs import combine, dedup_reactions, report_shards
 def flag(
     pairs: DataFrame,
     limits: dp.Thresholds,
-    junk: DataFrame,
+    junk: DataFrame | Sequence[str] = dp.JUNK_TERMS,
     spike_max: float | None = temporal.SPIKE_MAX_SHARE,
     late_periods: Sequence[str] = temporal.LATE_PERIODS,
     late_max: float | None = temporal.LATE_MAX_SHARE,
@@ -35,7 +35,7 @@ def flag_reports(
     outc: DataFrame,
     name_map: DataFrame,
     limits: dp.Thresholds,
-    junk: DataFrame,
+    junk: DataFrame | Sequence[str] = dp.JUNK_TERMS,
     roles: Sequence[str] = ("PS",),
 ) -> DataFrame:
     """Threshold-flagged signals in one plan, without storing the pairs.

@@ -137,17 +137,13 @@ def build_pairs(spark, sf_dir) -> DataFrame:
     )
 
 
-def junk(spark) -> DataFrame:
-    return dp.junk_frame(spark, JUNK)
-
-
 def stored_pairs(spark, sf_dir) -> DataFrame:
     return stored(spark, sf_dir, "pairs", lambda: build_pairs(spark, sf_dir))
 
 
 def flagged(spark, sf_dir) -> DataFrame:
     return flagging.flag(
-        stored_pairs(spark, sf_dir), LIMITS, junk(spark), SPIKE_MAX, LATE, LATE_MAX
+        stored_pairs(spark, sf_dir), LIMITS, JUNK, SPIKE_MAX, LATE, LATE_MAX
     )
 
 

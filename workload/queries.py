@@ -361,7 +361,7 @@ def _(s, p):
 @query("threshold_signals", "SELECT drug_key, pt, a, c, drug_total, prr FROM candidates")
 def _(s, p):
     cells = dp.contingency(d.stored_pairs(s, p))
-    return dp.threshold(cells, d.LIMITS, d.junk(s)).select("drug_key", "pt", "a", "c", "drug_total", "prr")
+    return dp.threshold(cells, d.LIMITS, d.JUNK).select("drug_key", "pt", "a", "c", "drug_total", "prr")
 
 
 @query("period_counts", "SELECT * FROM period_counts")
@@ -376,7 +376,7 @@ def _(s, p):
 
 
 def _candidates(s, p):
-    return dp.threshold(dp.contingency(d.stored_pairs(s, p)), d.LIMITS, d.junk(s))
+    return dp.threshold(dp.contingency(d.stored_pairs(s, p)), d.LIMITS, d.JUNK)
 
 
 @query("spike_filter", f"""SELECT c.drug_key, c.pt, c.prr FROM candidates c JOIN shares h ON c.drug_key = h.drug_key AND c.pt = h.pt
@@ -410,7 +410,7 @@ def _(s, p):
     FROM candidates""")
 def _(s, p):
     return flagging.flag_reports(
-        d.demo(s, p), d.drug(s, p), d.reac(s, p), d.outc(s, p), d.name_map(s, p), d.LIMITS, d.junk(s)
+        d.demo(s, p), d.drug(s, p), d.reac(s, p), d.outc(s, p), d.name_map(s, p), d.LIMITS, d.JUNK
     ).select("drug_key", "pt", "prr", "drug_reaction_count", "other_reaction_count", "drug_total", "death_count")
 
 
@@ -426,7 +426,7 @@ def _(s, p):
     WHERE prr >= 2.0 AND a >= 50 AND c >= 200 AND drug_total >= 1000""")
 def _(s, p):
     cells = dp.contingency(d.stored_pairs(s, p))
-    return dp.threshold(cells, dp.Thresholds.production(), dp.junk_frame(s)).select("drug_key", "pt", "prr")
+    return dp.threshold(cells, dp.Thresholds.production(), dp.JUNK_TERMS).select("drug_key", "pt", "prr")
 
 
 @query("wide_thresholds", """SELECT drug_key, pt, prr FROM contingency
@@ -434,7 +434,7 @@ def _(s, p):
 def _(s, p):
     cells = dp.contingency(d.stored_pairs(s, p))
     limits = dp.Thresholds(prr=1.5, cases=4, other_cases=50, drug_cases=40)
-    return dp.threshold(cells, limits, dp.junk_frame(s)).select("drug_key", "pt", "prr")
+    return dp.threshold(cells, limits, dp.JUNK_TERMS).select("drug_key", "pt", "prr")
 
 
 # --- review ---------------------------------------------------------------------
@@ -1166,7 +1166,7 @@ def _(s, p):
 
 @query("junk_terms_left", "SELECT pt, count(*) AS n FROM contingency WHERE pt IN ('nation_3', 'nation_17') GROUP BY 1")
 def _(s, p):
-    return quality.junk_left(dp.contingency(d.stored_pairs(s, p)), d.junk(s))
+    return quality.junk_left(dp.contingency(d.stored_pairs(s, p)), d.JUNK)
 
 
 @query("name_map_check", """SELECT prod_ai AS raw_name, canonical_name AS expected, canonical_name AS actual, true AS ok FROM raw_map
