@@ -26,4 +26,6 @@ def half_even(c: Column, digits: int) -> Column:
     beyond_tie = (high * F.lit(twice) - (k * F.lit(2.0) + F.lit(1.0))) + low * F.lit(twice)
     even_step = F.pmod(k, F.lit(2.0))
     step = F.when(beyond_tie > 0, F.lit(1.0)).when(beyond_tie < 0, F.lit(0.0)).otherwise(even_step)
-    return (k + step) / F.lit(scale)
+    rounded = (k + step) / F.lit(scale)
+    # beyond this the spacing of doubles is wider than the last digit asked for
+    return F.when(F.abs(x * F.lit(scale)) >= float(2**53), x).otherwise(rounded)

@@ -77,7 +77,13 @@ def case_count_errors(text: Column, cases: Column) -> Column:
     counts = F.filter(
         found, lambda f: any_of(f["after"], list(COUNT_WORDS)) & (f["n"].cast("double") > 10)
     )
-    whole = F.transform(counts, lambda f: F.format_string("%.0f", F.floor(f["n"].cast("double")).cast("double")))
+    def whole_text(f: Column) -> Column:
+        n = f["n"].cast("double")
+        # doubles this large have no fraction, and would not fit a long
+        whole = F.when(n < 1e15, F.floor(n).cast("double")).otherwise(n)
+        return F.format_string("%.0f", whole)
+
+    whole = F.transform(counts, whole_text)
     wrong = F.filter(whole, lambda v: F.abs(v.cast("double") - cases) > cases * 0.2)
     return F.transform(
         wrong,

@@ -12,7 +12,7 @@ from tests.conftest import rows
 
 def test_half_even_equals_correct_decimal_rounding(spark, frame):
     rng = random.Random(7)
-    values = [0.22415, 0.00005, 0.25, 0.35, 2.675, -0.5, -1.005, 1e9 + 0.00005, 0.0, 1.0]
+    values = [0.22415, 0.00005, 0.25, 0.35, 2.675, -0.5, -1.005, 1e9 + 0.00005, 0.0, 1.0, 1e22, -3.3e14, 2.0**60]
     values += [rng.uniform(-5, 5) for _ in range(2000)]
     values += [rng.randrange(100000) / 100000 for _ in range(4000)]
     df = frame([(v,) for v in values], "x double")
