@@ -22,21 +22,23 @@ RESULT = "signal_id string, query_no int, doc_id long, score double"
 
 
 def block_grid(
-    queries: DataFrame, items: DataFrame, group: str, query_rows: int, item_rows: int
+    queries: DataFrame, docs: DataFrame, group: str, query_rows: int, item_rows: int
 ) -> DataFrame:
-    """Block counts per group that has both queries and items; one small row per group."""
-    q = queries.groupBy(group).agg(
-        F.ceil(F.countDistinct("signal_id", "query_no") / query_rows).cast("int").alias("_nq")
-    )
-    i = items.groupBy(group).agg(
-        F.ceil(F.countDistinct("doc_id") / item_rows).cast("int").alias("_ni")
-    )
-    return q.join(i, group)
+    """Block counts per group that has both queries and documents; one short row per group.
+
+    Only the group columns are read; rows combine before the shuffle.
+    """
+    def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+        return rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
 
+    return blocks(queries, query_rows, "_nq").join(blocks(docs, item_rows, "_ni"), group)
 
-def _place(rows: DataFrame, grid: DataFrame, group: str, keys: list[str], own: str, other: str):
+
+def _place(
+    rows: DataFrame, grid: DataFrame, group: str, keys: list[str], own: str, other: str, bound: int
+) -> DataFrame:
     """Hash rows to their own block number and repeat them over the other side's blocks."""
-    placed = attach(rows, grid, [group], "inner")
+    placed = attach(rows, grid, [group], "inner", bound=bound)
     return placed.withColumns(
         {
             f"_b{own}": F.pmod(F.xxhash64(*keys), F.col(f"_n{own}")).cast("int"),
@@ -62,16 +64,19 @@ def best_of_row(scores: np.ndarray, ids: np.ndarray, k: int, floor: float) -> np
 def blocked_topk(
     queries: DataFrame,
     items: DataFrame,
+    grid: DataFrame,
     group: str,
     score_block: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
     k: int,
-    query_rows: int = 2048,
-    item_rows: int = 32768,
+    bound: int,
 ) -> DataFrame:
-    """Ranked top-k rows (signal_id, query_no, doc_id, score, rank)."""
-    grid = block_grid(queries, items, group, query_rows, item_rows)
-    q = _place(queries, grid, group, ["signal_id", "query_no"], "q", "i")
-    i = _place(items, grid, group, ["doc_id"], "i", "q")
+    """Ranked top-k rows (signal_id, query_no, doc_id, score, rank).
+
+    `grid` comes from `block_grid` and holds one short row per group that has a
+    query; `bound` is the size of the queries in bytes, which the grid cannot exceed.
+    """
+    q = _place(queries, grid, group, ["signal_id", "query_no"], "q", "i", bound)
+    i = _place(items, grid, group, ["doc_id"], "i", "q", bound)
     keys = [group, "_bq", "_bi"]
 
     def run(qs: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_LIMIT = 64 * 1024 * 1024
+BROADCAST_LIMIT = 32 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -20,16 +20,20 @@ def attach(
     how: str = "left",
     limit: int = BROADCAST_LIMIT,
     salts: int = 32,
+    bound: int | None = None,
 ) -> DataFrame:
     """Join a large side to a look-up side that is unique on `on`.
 
-    The look-up is broadcast only while its estimated size stays under `limit`.
-    Beyond that both sides are shuffled on the key plus a salt: fact rows of a hot
+    The look-up is broadcast only while its size stays under `limit`. The size is
+    Catalyst's estimate or, when smaller, `bound`: an upper limit the caller can
+    prove, such as the size of the table the look-up is an aggregate of, where
+    estimates multiply over joins and become useless. Beyond the limit both sides are shuffled on the key plus a salt: fact rows of a hot
     key spread over `salts` tasks and the look-up is repeated once per salt. Fact
     rows with the same content may share a salt; no row is lost or doubled because
     every salt meets exactly one copy of the look-up row.
     """
-    if estimated_bytes(lookup) <= limit:
+    size = estimated_bytes(lookup)
+    if min(size, size if bound is None else bound) <= limit:
         return facts.join(F.broadcast(lookup), on, how)
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

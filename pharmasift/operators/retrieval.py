@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pharmasift.functions import scores
 from pharmasift.functions.rounding import half_even
 from pharmasift.functions.text import fixed, tokens
-from pharmasift.operators.blocks import best_of_row, blocked_topk
-from pharmasift.operators.joins import attach, with_scalars
+from pharmasift.operators.blocks import best_of_row, block_grid, blocked_topk
+from pharmasift.operators.joins import attach, estimated_bytes, with_scalars
 
 # List length, similarity floor, score floor, fusion constant,
 # hits kept per signal and the published default BM25 parameters.
@@ -28,6 +28,9 @@ FUSION_K = 60
 TOP_HITS = 5
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DENSE, SPARSE = "hnsw", "bm25"
+# Queries and documents per block: 128 MB of scores at most, and vectors to match.
+DENSE_BLOCK = (1024, 16384)
+SPARSE_BLOCK = (2048, 32768)
 HIT_COLUMNS = ("signal_id", "query_no", "retriever", "rank", "doc_id", "score", "similarity", "distance")
 
 
@@ -73,7 +76,8 @@ def dense_topk(
         "signal_id", "query_no", group, "embedding"
     )
     d = docs.filter(F.col("embedding").isNotNull()).select("doc_id", group, "embedding")
-    ranked = blocked_topk(q, d, group, score_block, k, query_rows=1024, item_rows=16384)
+    grid = block_grid(q, d, group, *DENSE_BLOCK)
+    ranked = blocked_topk(q, d, grid, group, score_block, k, estimated_bytes(queries))
     return ranked.select(
         "signal_id",
         "query_no",
@@ -109,9 +113,10 @@ def postings(docs: DataFrame, group: str = "group_key") -> DataFrame:
 
 def _doc_words(docs: DataFrame, group: str) -> DataFrame:
     split = docs.select(group, "doc_id", tokens(F.col("text")).alias("words"))
+    # outer, because a plain explode makes Spark split the text once more as a filter
     return split.select(
-        group, "doc_id", F.size("words").alias("n_tokens"), F.explode("words").alias("term")
-    )
+        group, "doc_id", F.size("words").alias("n_tokens"), F.explode_outer("words").alias("term")
+    ).filter(F.col("term").isNotNull())
 
 
 def _count_words(words: DataFrame, group: str, *extra: str) -> DataFrame:
@@ -122,7 +127,8 @@ def _count_words(words: DataFrame, group: str, *extra: str) -> DataFrame:
 
 def document_frequency(docs: DataFrame) -> DataFrame:
     """Documents per term over the whole corpus; one count per document and term."""
-    terms = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    words = F.array_distinct(tokens(F.col("text")))
+    terms = docs.select(F.explode_outer(words).alias("term")).filter(F.col("term").isNotNull())
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -187,31 +193,35 @@ def query_terms(queries: DataFrame, group: str = "group_key") -> DataFrame:
     )
 
 
-def _weigh(counted: DataFrame, stats: DataFrame, group: str, k1: float, b: float) -> DataFrame:
-    length = F.col("n_tokens") / F.col("mean_tokens")
-    saturated = F.col("tf") * (k1 + 1) / (F.col("tf") + (F.lit(1 - b) + length * b) * k1)
-    return with_scalars(counted, stats).select(
-        group, "doc_id", "term", (F.col("idf") * saturated).alias("weight")
-    )
-
-
 def asked_postings(
-    source: DataFrame | Index, terms: DataFrame, group: str = "group_key", k1: float = K1, b: float = B
+    source: DataFrame | Index, queries: DataFrame, group: str = "group_key", k1: float = K1, b: float = B
 ) -> DataFrame:
-    """Weighted postings of the words asked for in each group.
+    """Length-normalised term frequency of the words asked for in each group.
 
-    `terms` lists (group, term); `source` is an index or the documents themselves.
-    Words nobody asks for in a group are dropped before the first shuffle, so what
-    moves is a small part of the corpus.
+    `queries` holds rows of (group, term); `source` is an index or the documents
+    themselves. Words nobody asks for in a group are dropped before the first
+    shuffle, so what moves is a small part of the corpus.
     """
-    asked = terms.select(group, "term").distinct()
+    asked = queries.select(group, "term").distinct()
+    bound = estimated_bytes(queries)  # distinct rows of it cannot be larger
     if isinstance(source, Index):
-        weighted = asked.join(source.terms.select("term", "idf"), "term")
-        found = attach(source.postings, weighted, [group, "term"], "inner")
-        return _weigh(found, source.stats, group, k1, b)
-    weighted = asked.join(term_weights(source).select("term", "idf"), "term")
-    found = attach(_doc_words(source, group), weighted, [group, "term"], "inner")
-    return _weigh(_count_words(found, group, "idf"), corpus_stats(source), group, k1, b)
+        counted, stats = attach(source.postings, asked, [group, "term"], "inner", bound=bound), source.stats
+    else:
+        words = attach(_doc_words(source, group), asked, [group, "term"], "inner", bound=bound)
+        counted, stats = _count_words(words, group), corpus_stats(source)
+    length = F.col("n_tokens") / F.col("mean_tokens")
+    saturated = F.col("tf") * (k1 + 1) / (F.col("tf") + (F.lit(1 - b) + length * b) * k1)
+    return with_scalars(counted, stats).select(group, "doc_id", "term", saturated.alias("weight"))
+
+
+def weighted_terms(
+    source: DataFrame | Index, queries: DataFrame
+) -> DataFrame:
+    """Query words times their inverse document frequency; unknown words drop out."""
+    terms = source.terms if isinstance(source, Index) else term_weights(source)
+    return queries.join(terms.select("term", "idf"), "term").withColumn(
+        "qtf", F.col("qtf") * F.col("idf")
+    ).drop("idf")
 
 
 def bm25_topk(
@@ -249,8 +259,11 @@ def bm25_topk(
             )
         return pd.concat(out, ignore_index=True)
 
-    q = query_terms(queries, group)
-    ranked = blocked_topk(q, asked_postings(source, q, group), group, score_block, k)
+    words = query_terms(queries, group)
+    q, items = weighted_terms(source, words), asked_postings(source, words, group)
+    docs = source.postings.select(group, "doc_id").distinct() if isinstance(source, Index) else source
+    grid = block_grid(queries, docs, group, *SPARSE_BLOCK)
+    ranked = blocked_topk(q, items, grid, group, score_block, k, estimated_bytes(queries))
     similarity = F.least(F.col("score") / 10.0, F.lit(1.0))
     return ranked.select(
         "signal_id",

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from pharmasift.operators import blocks, corpus, retrieval, search_queries
+from pharmasift.operators import corpus, retrieval, search_queries
 from pharmasift.plans import investigation
 from tests.conftest import rows
 
@@ -97,11 +97,8 @@ def test_dense_equals_brute_force(frame):
 
 def test_small_blocks_change_nothing(frame, monkeypatch):
     queries, docs, expected = vectors(frame)
-    whole = blocks.blocked_topk
-    monkeypatch.setattr(
-        retrieval, "blocked_topk",
-        lambda q, i, g, f, k, **_: whole(q, i, g, f, k, query_rows=2, item_rows=7),
-    )
+    monkeypatch.setattr(retrieval, "DENSE_BLOCK", (2, 7))
+    monkeypatch.setattr(retrieval, "SPARSE_BLOCK", (2, 7))
     got = retrieval.dense_topk(queries, docs, k=4, min_similarity=0.1)
     assert rows(got.select("signal_id", "rank", "doc_id", F.round("score", 6))) == expected
     texts_, d, qs, q = setup_bm25(frame)

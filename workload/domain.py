@@ -302,6 +302,10 @@ def _items(spark, sf_dir) -> DataFrame:
 
 def literature_queries(spark, sf_dir) -> DataFrame:
     """Three query rows per benchmark item, with text and vector."""
+    return stored(spark, sf_dir, "queries", lambda: _literature_queries(spark, sf_dir))
+
+
+def _literature_queries(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     items = _items(spark, sf_dir)
     return items.join(e, F.expr("item_id * 3 + query_no - 1") == F.col("vec_id")).select(
@@ -311,6 +315,10 @@ def literature_queries(spark, sf_dir) -> DataFrame:
 
 
 def library_queries(spark, sf_dir) -> DataFrame:
+    return stored(spark, sf_dir, "library-queries", lambda: _library_queries(spark, sf_dir))
+
+
+def _library_queries(spark, sf_dir) -> DataFrame:
     return _items(spark, sf_dir).select(
         F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("signal_id"),
         "query_no", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("group_key"),
