@@ -40,6 +40,18 @@ def attach(
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
+def spread_small(df: DataFrame, key: str, limit: int = 8 * BROADCAST_LIMIT) -> DataFrame:
+    """Give a small table to all cores before heavy per-row work.
+
+    A small file is one scan task, however long the work per row takes. Below `limit`
+    bytes moving the rows is cheap; a larger table has enough scan tasks already and
+    stays where it is.
+    """
+    if estimated_bytes(df) > limit:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     """Put the columns of a one-row DataFrame on every row.
 

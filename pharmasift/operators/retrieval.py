@@ -17,7 +17,7 @@ from pharmasift.functions import scores
 from pharmasift.functions.rounding import half_even
 from pharmasift.functions.text import fixed, tokens
 from pharmasift.operators.blocks import best_of_row, block_grid, blocked_topk
-from pharmasift.operators.joins import attach, estimated_bytes, with_scalars
+from pharmasift.operators.joins import attach, estimated_bytes, spread_small, with_scalars
 
 # List length, similarity floor, score floor, fusion constant,
 # hits kept per signal and the published default BM25 parameters.
@@ -112,7 +112,8 @@ def postings(docs: DataFrame, group: str = "group_key") -> DataFrame:
 
 
 def _doc_words(docs: DataFrame, group: str) -> DataFrame:
-    split = docs.select(group, "doc_id", tokens(F.col("text")).alias("words"))
+    texts = spread_small(docs.select(group, "doc_id", "text"), "doc_id")
+    split = texts.select(group, "doc_id", tokens(F.col("text")).alias("words"))
     # outer, because a plain explode makes Spark split the text once more as a filter
     return split.select(
         group, "doc_id", F.size("words").alias("n_tokens"), F.explode_outer("words").alias("term")
@@ -128,14 +129,16 @@ def _count_words(words: DataFrame, group: str, *extra: str) -> DataFrame:
 def document_frequency(docs: DataFrame) -> DataFrame:
     """Documents per term over the whole corpus; one count per document and term."""
     words = F.array_distinct(tokens(F.col("text")))
-    terms = docs.select(F.explode_outer(words).alias("term")).filter(F.col("term").isNotNull())
+    texts = spread_small(docs.select("doc_id", "text"), "doc_id")
+    terms = texts.select(F.explode_outer(words).alias("term")).filter(F.col("term").isNotNull())
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """One row: number of documents and mean length in tokens."""
     n = F.count(F.lit(1))
-    return docs.select(F.size(tokens(F.col("text"))).alias("n_tokens")).agg(
+    texts = spread_small(docs.select("doc_id", "text"), "doc_id")
+    return texts.select(F.size(tokens(F.col("text"))).alias("n_tokens")).agg(
         n.alias("n_docs"), F.try_divide(F.sum("n_tokens"), n).alias("mean_tokens")
     )
 
