@@ -601,8 +601,8 @@ def _(s, p):
 
 
 @query("run_metrics", f"""SELECT *, {rnd('(tokens_in * CAST(0.15 AS DOUBLE) + tokens_out * CAST(0.6 AS DOUBLE)) / 1000000', 4)} AS estimated_cost FROM (
-    SELECT count(*) AS total_runs, CAST(sum(input_tokens) AS BIGINT) AS tokens_in, CAST(sum(output_tokens) AS BIGINT) AS tokens_out,
-      {rnd('avg(lit_score)', 4)} AS avg_lit_score, count(*) FILTER (lit_score = 0) AS zero_lit_runs,
+    SELECT count(*) AS total_runs, coalesce(CAST(sum(input_tokens) AS BIGINT), 0) AS tokens_in,
+      coalesce(CAST(sum(output_tokens) AS BIGINT), 0) AS tokens_out, {rnd('coalesce(avg(lit_score), 0)', 4)} AS avg_lit_score, count(*) FILTER (lit_score = 0) AS zero_lit_runs,
       count(*) FILTER (generation_error) AS generation_errors FROM briefs)""")
 def _(s, p):
     return review.run_metrics(d.stored_briefs(s, p))
