@@ -926,7 +926,11 @@ MATCHED = "(SELECT s.*, 'item-' || CAST(drug_reaction_count % 40 AS VARCHAR) AS
 
 
 def _signal_queries(s, p):
-    """Each signal searches with the query rows of one benchmark item."""
+    """Each signal searches with the query rows of one benchmark item; a stored table."""
+    return d.stored(s, p, "signal-queries", lambda: _make_signal_queries(s, p))
+
+
+def _make_signal_queries(s, p):
     signals = d.stored_signals(s, p).select(
         F.concat_ws("|", "drug_key", "pt").alias("sid"),
         F.concat(F.lit("item-"), (F.col("drug_reaction_count") % 40).cast("string")).alias("signal_id"),
