@@ -44,8 +44,8 @@ def _named(distinct: DataFrame, keys: list[str], name: str) -> DataFrame:
     return stored(distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()), name)
 
 
-def _block_names(docs: DataFrame, block: str, size: int, hash: Callable[[Column], Column]) -> DataFrame:
-    """row, at, name of every block."""
+def _block_names(docs: DataFrame, block: str, size: int, hash: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """h, block, name of every distinct block, and the hashes that several blocks share."""
     contents = docs.select(F.explode(_blocks(F.col(block), size)).alias("block"))
     distinct = contents.select(hash(F.col("block")).alias("h"), "block").distinct()
     names = _named(distinct, ["h", "block"], "block-names")
@@ -97,7 +97,8 @@ def mark(
 
     of_row = rows.drop("hashes").join(identity, "row")
     best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("n"), "id", "row")).alias("best")
-    groups = of_row.groupBy("bytes", "name").agg(best, F.count(F.lit(1)).alias("group_size"))
+    # stored, so that the join below stands alone in its stage and a hot group's rows can be split
+    groups = stored(of_row.groupBy("bytes", "name").agg(best, F.count(F.lit(1)).alias("group_size")), "groups")
     marked = of_row.select("row", "id", "sha", "bytes", "name").join(groups, ["bytes", "name"])
     return marked.select(
         F.col("id").alias(id),
