@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pharmasift.llm import exact_dedup, packing, token_counts, warc
+from pharmasift.llm import exact_dedup, near_dedup, packing, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,6 +71,41 @@ def op6(spark, sf_dir):
     return exact_dedup.mark(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op7_near_dedup",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+        FROM documents
+    ), s AS (
+        SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN [w]
+            ELSE list_transform(range(1, len(w)), lambda i: w[i:i + 1]) END) AS s
+        FROM w WHERE len(w) > 0
+    ), n AS (SELECT doc_id, len(s) AS n, s FROM s),
+    c AS (SELECT min(doc_id) AS rep, list_sort(s) AS s, any_value(n) AS n FROM n GROUP BY list_sort(s)),
+    m AS (SELECT n.doc_id, n.n, c.rep FROM n JOIN c ON list_sort(n.s) = c.s),
+    x AS (SELECT rep, n, unnest(s) AS g FROM c),
+    e AS (
+        SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.g = b.g AND a.rep <> b.rep
+            AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+        GROUP BY a.rep, b.rep, a.n, b.n
+        HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+    ), r AS (
+        SELECT rep AS a, rep AS root FROM c
+        UNION
+        SELECT e.b, r.root FROM r JOIN e ON r.a = e.a
+    ), o AS (SELECT a AS rep, min(root) AS root FROM r GROUP BY a)
+    SELECT d.doc_id, coalesce(m.n, 0) AS n_shingles, coalesce(o.root, d.doc_id) AS component_id,
+           d.doc_id = coalesce(o.root, d.doc_id) AS kept
+    FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id LEFT JOIN o ON o.rep = m.rep
+    """,
+)
+def op7(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 @query("op8_token_counts")
 def op8(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

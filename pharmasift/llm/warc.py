@@ -47,7 +47,7 @@ def planned(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
         .where("n > 1 AND first IS NOT NULL")
         .select("digest", "first")
     )
-    joined = rows.join(first, "digest", "left")
+    joined = rows.join(stored(first, "first-pages"), "digest", "left")  # a hot digest's pages can be split
     # a row without id cannot be the smallest, so it revisits; rows that repeat the smallest id stay responses
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
