@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Tables up to this many rows of a few numbers (counted, not estimated) may be broadcast.
 BROADCAST_ROWS = 500_000
@@ -54,3 +56,12 @@ def need(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"columns {missing} are not in {df.columns}")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once per row.
+
+    Catalyst merges projections, and a lambda evaluates what it mentions for every element; a
+    lambda's own variable is a value already.
+    """
+    return F.transform(F.array(value), body)[0]

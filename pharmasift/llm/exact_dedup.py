@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pharmasift.llm.common import need, stored
+from pharmasift.llm.common import let, need, stored
 
 BLOCK = 4096
 
@@ -30,10 +30,12 @@ def without_space(text: Column) -> Column:
 
 def _blocks(norm: Column, size: int) -> Column:
     """Blocks of `size` bytes, in order; bytes because offsets into them are free."""
-    n = F.greatest(F.lit(1), F.ceil(F.octet_length(norm) / size)).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), n - 1), lambda i: F.substring(norm.cast("binary"), i * size + 1, F.lit(size))
-    )
+
+    def cut(whole: Column) -> Column:
+        n = F.greatest(F.lit(1), F.ceil(F.octet_length(whole) / size)).cast("int")
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(whole, i * size + 1, F.lit(size)))
+
+    return let(norm.cast("binary"), cut)
 
 
 def _named(distinct: DataFrame, keys: list[str], name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pharmasift.llm import exact_dedup, near_dedup, packing, token_counts, warc
+from pharmasift.llm import contamination, exact_dedup, near_dedup, packing, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,3 +109,29 @@ def op7(spark, sf_dir):
 @query("op8_token_counts")
 def op8(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query(
+    "op9_decontamination",
+    r"""
+    WITH w AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+        FROM documents
+    ), g AS (
+        SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+        FROM w WHERE len(w) >= 5
+    ), b AS (
+        SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+        FROM benchmark
+    ), i AS (
+        SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+        FROM b WHERE len(w) >= 5
+    ), n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id)
+    SELECT doc_id, i.item_id, n_item, count(*) AS n_shared
+    FROM g JOIN i USING (s) JOIN n ON n.item_id = i.item_id
+    GROUP BY doc_id, i.item_id, n_item
+    HAVING 100 * count(*) >= 80 * n_item
+    """,
+)
+def op9(spark, sf_dir):
+    return contamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
