@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pharmasift.llm import contamination, exact_dedup, near_dedup, packing, token_counts, warc
+from pharmasift.llm import contamination, exact_dedup, near_dedup, packing, secrets, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,3 +135,8 @@ def op8(spark, sf_dir):
 )
 def op9(spark, sf_dir):
     return contamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_secrets")
+def op10(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
