@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pharmasift.llm import contamination, exact_dedup, langid, near_dedup, packing, secrets, token_counts, warc
+from pharmasift.llm import contamination, exact_dedup, langid, near_dedup, packing, quality, secrets, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,6 +52,11 @@ def op3(spark, sf_dir):
     )
 
 
+@query("op4_quality")
+def op4(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op5_language_id")
 def op5(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
