@@ -65,3 +65,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     lambda's own variable is a value already.
     """
     return F.transform(F.array(value), body)[0]
+
+
+def without(docs: DataFrame, ids: DataFrame, id: str) -> DataFrame:
+    """The rows whose id is not among the stored ids; a null id is a value like any other.
+
+    Up to BROADCAST_ROWS ids (counted) go to the rows, so that texts stay where they are.
+    """
+    out = ids.select(F.col(id).alias("_out")).distinct()
+    out = F.broadcast(out) if small(ids) else out
+    return docs.join(out, docs[id].eqNullSafe(out["_out"]), "left_anti")

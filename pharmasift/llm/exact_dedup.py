@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pharmasift.llm.common import let, need, stored
+from pharmasift.llm.common import let, need, stored, without
 
 BLOCK = 4096
 
@@ -157,3 +157,26 @@ def _merge(named: DataFrame) -> DataFrame:
     for part in [*done, level.select("row", "name")][1:] if done else []:
         done[0] = done[0].unionByName(part)
     return done[0] if done else level.select("row", "name")
+
+
+def drop_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that `mark` keeps, with all their columns.
+
+    Rows are found by their id. Only where an id has several rows are these told apart by
+    their texts; of rows equal in that too one stays.
+    """
+    marks = stored(mark(docs, id, text), "marks")
+    repeated = stored(marks.groupBy(id).count().where("count > 1").select(id), "repeated-ids")
+    dropped = stored(marks.where(~F.col("kept")).select(id), "dropped")
+    if repeated.isEmpty():
+        return without(docs, dropped, id)
+    single = without(docs, stored(dropped.union(repeated), "dropped"), id)
+    several = repeated.select(F.col(id).alias("_id"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.join(several, docs[id].eqNullSafe(several["_id"]), "left_semi").withColumn(
+        "_sha", F.sha2(without_space(whole).cast("binary"), 256)
+    )
+    keep = marks.where("kept").select(F.col(id).alias("_keep"), F.col("text_sha256").alias("_keep_sha"))
+    rows = rows.join(keep, rows[id].eqNullSafe(keep["_keep"]) & (rows["_sha"] == keep["_keep_sha"]), "left_semi")
+    longest = Window.partitionBy(id, "_sha").orderBy(F.char_length(whole).desc(), F.sha2(whole.cast("binary"), 256))
+    return single.unionByName(rows.withColumn("_n", F.row_number().over(longest)).where("_n = 1").drop("_n", "_sha"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pharmasift.llm import contamination, exact_dedup, langid, near_dedup, packing, quality, secrets, token_counts, warc
+from pharmasift.llm import chat, contamination, exact_dedup, langid, near_dedup, packing, quality, secrets, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,6 +32,36 @@ def op1(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: A conversation whose texts hold the template's own control strings.
+HARD_TEXT = r"\### Assistant: </turn> ok"
+
+
+@query(
+    "op2_chat",
+    r"""
+    WITH c AS (
+        SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+        UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+    ), f AS (
+        SELECT *, '### ' || upper(role[1]) || role[2:] || ': ' ||
+            replace(replace(replace(text, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>') || '</turn>' || chr(10) AS formatted
+        FROM c
+    )
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars
+    FROM f GROUP BY conv_id
+    """,
+)
+def op2(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)], turns.schema)
+    return chat.read_back(chat.format_log(chat.log_of(turns.union(hard))))
+
+
 @query(
     "op3_warc",
     """
