@@ -29,8 +29,9 @@ from pharmasift.llm.common import need
 LABELLED_ROWS = 20_000
 TRAIN_ROWS = 6_000
 FEATURES = 1 << 18
-#: Least ratio of a term's rates in toxic and other texts, least share of toxic texts that have it, most terms.
-TERM_RATIO, TERM_SHARE, TERMS = 8.0, 0.02, 2000
+#: Least ratio of a term's rates in toxic and other texts, least number of toxic texts that have it, least
+#: likelihood-ratio statistic (twice the log-likelihood gained by separate rates), most terms.
+TERM_RATIO, TERM_DOCS, TERM_GAIN, TERMS = 8.0, 3, 30.0, 2000
 #: Log-likelihood ratio from which a list of terms votes for toxic.
 TOXIC_EVIDENCE = 2.5
 REJECT = 0.5
@@ -66,6 +67,12 @@ def starts(words, size: int | None):
     return words if size is None else [w[:size] for w in words if len(w) >= size]
 
 
+def spoken(text: str) -> list[str]:
+    """Lower-case words; a word repeated on the spot counts once, as that says nothing new."""
+    words = _WORD.findall(text.lower())
+    return [w for w, before in zip(words, ["", *words]) if w != before]
+
+
 @dataclass
 class Terms:
     """Per reading of words: log ratio of each term, and the summed excess rate of all of them."""
@@ -88,7 +95,7 @@ def votes(text: str, terms: Terms) -> tuple[list[int], list[str]]:
     b = text.encode("utf-8", "surrogatepass")
     tokens = b.split()
     n = len(tokens)
-    words = _WORD.findall(text.lower())
+    words = spoken(text)
     letters, upper = count_of(b, _LETTERS), count_of(b, _UPPER)
     visible, symbols = len(b) - count_of(b, _SPACES), count_of(b, _SYMBOLS)
     bars = b.count(b"|")
@@ -138,7 +145,7 @@ def learn_terms(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: st
         totals, found = Counter(), {}
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                words = _WORD.findall(text.as_py().lower())
+                words = spoken(text.as_py())
                 totals[toxic] += len(words)
                 totals["docs", toxic] += 1
                 for k, size in enumerate(TERM_SIZES):
@@ -163,7 +170,15 @@ def learn_terms(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: st
     if total is None or not total["toxic"] or not total["other"]:
         return terms
     ratio = (F.col("toxic") / total["toxic"]) / ((F.col("other") + 1) / total["other"])
-    able = summed.where((F.col("k") >= 0) & (F.length("term") > 2) & (F.col("docs") >= max(3, TERM_SHARE * total["docs"])) & (ratio >= TERM_RATIO))
+    both = F.col("toxic") + F.col("other")
+    share = total["toxic"] / (total["toxic"] + total["other"])
+    gain = 2 * (
+        F.col("toxic") * F.log(F.col("toxic") / (both * share))
+        + F.when(F.col("other") > 0, F.col("other") * F.log(F.col("other") / (both * (1 - share)))).otherwise(0.0)
+    )
+    able = summed.where(
+        (F.col("k") >= 0) & (F.length("term") > 2) & (F.col("docs") >= TERM_DOCS) & (ratio >= TERM_RATIO) & (gain >= TERM_GAIN)
+    )
     for k in range(len(TERM_SIZES)):
         for r in able.where(F.col("k") == k).orderBy(F.desc("toxic"), "term").limit(TERMS).collect():
             high, low = r["toxic"] / total["toxic"], (r["other"] + 1) / total["other"]
