@@ -19,14 +19,23 @@ def cosine(a: Column, b: Column) -> Column:
 def term_cosine(a: Column, b: Column) -> Column:
     """Cosine of the term-frequency vectors of two token arrays.
 
-    A sum of count_b(t) over the tokens t of a is the dot product of the two count
-    vectors, and the same sum with b = a is the squared norm.
+    The squared norm follows from the run lengths of the sorted tokens, and the dot product
+    from the norm of both arrays together: |a + b|^2 = |a|^2 + |b|^2 + 2 ab.
     """
 
-    def overlap(left: Column, right: Column) -> Column:
-        counts = F.transform(left, lambda t: F.size(F.filter(right, lambda u: u == t)))
-        return F.aggregate(counts, F.lit(0), lambda acc, n: acc + n).cast("double")
+    def squares(tokens: Column) -> Column:
+        start = F.struct(F.lit(None).cast("string").alias("token"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
 
-    return F.coalesce(
-        F.try_divide(overlap(a, b), F.sqrt(overlap(a, a)) * F.sqrt(overlap(b, b))), F.lit(0.0)
-    )
+        def step(s: Column, t: Column) -> Column:
+            run = F.when(s["token"] == t, s["run"]).otherwise(F.lit(0).cast("long"))
+            return F.struct(t.alias("token"), (run + 1).alias("run"), (s["sum"] + 2 * run + 1).alias("sum"))
+
+        return F.aggregate(F.array_sort(tokens), start, step, lambda s: s["sum"])
+
+    def ratio(v: Column) -> Column:
+        dot_product = ((squares(F.concat(v["a"], v["b"])) - v["x"] - v["y"]) / 2).cast("double")
+        return F.coalesce(F.try_divide(dot_product, F.sqrt(v["x"].cast("double")) * F.sqrt(v["y"].cast("double"))), F.lit(0.0))
+
+    both = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda v: F.struct(
+        v["a"].alias("a"), v["b"].alias("b"), squares(v["a"]).alias("x"), squares(v["b"]).alias("y")))
+    return F.transform(both, ratio)[0]

@@ -37,6 +37,8 @@ TIER_ACTIONS = {
     "P4": ("MONITOR", "LABEL_UPDATE"),
 }
 
+#: Presets: how much of an evidence text and of a claim the published audit looks at.
+PUBLISHED_EVIDENCE_CHARS, PUBLISHED_CLAIM_CHARS = 500, 100
 BRIEF_KEY = ("drug_key", "pt")
 _STRINGS = "array<string>"
 
@@ -160,8 +162,8 @@ def action_errors(
         allowed = allowed | ((tier == name) & action.isin(*actions))
         listed = F.when(tier == name, _quoted_list(actions)).otherwise(listed)
     mismatch = F.concat(
-        F.lit("Priority-action mismatch: "), tier, F.lit(" should use "), listed,
-        F.lit(", not "), action,
+        F.lit("Priority-action mismatch: "), F.coalesce(tier, F.lit("None")), F.lit(" should use "), listed,
+        F.lit(", not "), F.coalesce(action, F.lit("None")),
     )
 
     def note(*parts: str | Column) -> Column:
@@ -246,9 +248,12 @@ def judge_claims(
     evidence: DataFrame,
     similarity: Callable[[Column, Column], Column] = word_overlap,
     floor: float = MIN_CLAIM_SIMILARITY,
+    evidence_chars: int | None = None,
 ) -> DataFrame:
     """Verdict per citation: short, unknown, ungrounded or grounded.
 
+    The whole evidence is compared unless `evidence_chars` (published: PUBLISHED_EVIDENCE_CHARS) is given.
+
     `evidence` holds drug_key, pt, pmid, text. Pass a pandas UDF as `similarity` to
     compare embeddings instead of words.
     """
@@ -256,7 +261,7 @@ def judge_claims(
         F.max("text").alias("text")
     )
     joined = claims.join(known, [*BRIEF_KEY, "pmid"], "left")
-    score = similarity(F.col("claim"), F.substring("text", 1, 500))
+    score = similarity(F.col("claim"), F.substring("text", 1, evidence_chars) if evidence_chars else F.col("text"))
     rated = joined.withColumn("similarity", F.when(F.col("text").isNotNull(), score))
     verdict = (
         F.when(F.size(words(F.col("claim"))) < 5, "short")
@@ -272,13 +277,16 @@ def grounding_audit(
     evidence: DataFrame,
     similarity: Callable[[Column, Column], Column] = word_overlap,
     floor: float = MIN_CLAIM_SIMILARITY,
+    evidence_chars: int | None = None,
+    claim_chars: int | None = None,
 ) -> DataFrame:
     """Add `grounding_errors` and `grounding_rate` (ungrounded share of all citations).
 
     Briefs without any evidence are reported but not penalised; short claims and
-    unknown ids stay in the denominator only.
+    unknown ids stay in the denominator only. Texts are read and quoted whole; the published
+    lengths are PUBLISHED_EVIDENCE_CHARS and PUBLISHED_CLAIM_CHARS.
     """
-    judged = judge_claims(cited_claims(briefs), evidence, similarity, floor)
+    judged = judge_claims(cited_claims(briefs), evidence, similarity, floor, evidence_chars)
     message = F.when(
         F.col("verdict") == "unknown",
         F.concat(F.lit("Cited PMID "), F.col("pmid"), F.lit(" not in retrieved set")),
@@ -286,7 +294,8 @@ def grounding_audit(
         F.col("verdict") == "ungrounded",
         F.concat(
             F.lit("Claim not grounded in PMID "), F.col("pmid"), F.lit(" (similarity "),
-            fixed(F.col("similarity"), 2), F.lit(f" < {floor}): "), F.substring("claim", 1, 100),
+            fixed(F.col("similarity"), 2), F.lit(f" < {floor}): "),
+            F.substring("claim", 1, claim_chars) if claim_chars else F.col("claim"),
         ),
     )
     order = F.when(F.col("verdict") == "unknown", 0).otherwise(1)

@@ -57,19 +57,23 @@ def group_sizes(
 def new_documents(
     records: DataFrame,
     loaded: DataFrame,
-    full: int = FULL_GROUP,
+    full: int | None = None,
     embed: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Records to append: group not full yet, id not loaded in the group, text present.
+    """Records to append: id not loaded in the group, text present.
 
+    With `full` (a loading quota, published: FULL_GROUP) records of groups that hold
+    SKIP_SHARE of it already are left out as well.
     `embed` may be any Column function of the text, a pandas UDF for instance.
     """
-    full_groups = group_sizes(loaded, full=full).filter("skip_loading").select(
-        "group_key", F.lit(True).alias("_full")
-    )
-    open_records = attach(records, full_groups, ["group_key"]).filter(
-        F.col("_full").isNull()
-    ).drop("_full")
+    open_records = records
+    if full is not None:
+        full_groups = group_sizes(loaded, full=full).filter("skip_loading").select(
+            "group_key", F.lit(True).alias("_full")
+        )
+        open_records = attach(records, full_groups, ["group_key"]).filter(
+            F.col("_full").isNull()
+        ).drop("_full")
     fresh = open_records.join(
         distinct_keys(loaded, ["group_key", "pmid"]), ["group_key", "pmid"], "left_anti"
     )

@@ -104,6 +104,7 @@ class Index:
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    epsilon: float = EPSILON
 
 
 def postings(docs: DataFrame, group: str = "group_key") -> DataFrame:
@@ -160,7 +161,7 @@ def term_weights(docs: DataFrame, epsilon: float = EPSILON) -> DataFrame:
 
 def bm25_index(docs: DataFrame, group: str = "group_key", epsilon: float = EPSILON) -> Index:
     """The tables as plans over the documents; `store_index` makes them permanent."""
-    return Index(postings(docs, group), term_weights(docs, epsilon), corpus_stats(docs))
+    return Index(postings(docs, group), term_weights(docs, epsilon), corpus_stats(docs), epsilon)
 
 
 def store_index(index: Index, root: str, group: str = "group_key") -> None:
@@ -175,14 +176,15 @@ def store_index(index: Index, root: str, group: str = "group_key") -> None:
         .sortWithinPartitions("term", group)
         .write.mode("error").parquet(f"{root}/postings")
     )
-    index.stats.write.mode("error").parquet(f"{root}/stats")
+    index.stats.withColumn("epsilon", F.lit(index.epsilon)).write.mode("error").parquet(f"{root}/stats")
     stored = spark.read.parquet(f"{root}/postings")
     df = stored.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    _idf(df, spark.read.parquet(f"{root}/stats"), EPSILON).write.mode("error").parquet(f"{root}/terms")
+    _idf(df, spark.read.parquet(f"{root}/stats"), index.epsilon).write.mode("error").parquet(f"{root}/terms")
 
 
 def load_index(spark: SparkSession, root: str) -> Index:
-    return Index(*[spark.read.parquet(f"{root}/{t}") for t in ("postings", "terms", "stats")])
+    postings_, terms, stats = (spark.read.parquet(f"{root}/{t}") for t in ("postings", "terms", "stats"))
+    return Index(postings_, terms, stats.select("n_docs", "mean_tokens"), stats.first()["epsilon"])
 
 
 def query_terms(queries: DataFrame, group: str = "group_key") -> DataFrame:
@@ -370,13 +372,17 @@ def evidence_summary(signals: DataFrame, fused: DataFrame, n: int = 10) -> DataF
     return signals.join(counted, "signal_id", "left").fillna(zero)
 
 
-def evidence_block(signals: DataFrame, hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """One text per signal: numbered header and first 600 characters of each kept hit.
+#: Preset: characters of a hit that the published evidence text shows.
+PUBLISHED_HEAD_CHARS = 600
+
+
+def evidence_block(signals: DataFrame, hits: DataFrame, docs: DataFrame, head_chars: int | None = None) -> DataFrame:
+    """One text per signal: numbered header and text of each kept hit, whole unless `head_chars` is given.
 
     The sorted array holds the kept hits of one signal, at most `top_hits` of them.
     """
     texts = hits.join(docs.select("doc_id", "text"), "doc_id").select(
-        "signal_id", "fused_rank", "doc_id", "similarity", F.substring("text", 1, 600).alias("head")
+        "signal_id", "fused_rank", "doc_id", "similarity", (F.substring("text", 1, head_chars) if head_chars else F.col("text")).alias("head")
     )
     gathered = texts.groupBy("signal_id").agg(
         F.sort_array(

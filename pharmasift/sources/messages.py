@@ -64,16 +64,25 @@ def parse_entity(raw: DataFrame, spec: EntitySpec, period: str | None = None) ->
     return typed.filter(F.col("source_quarter") == period) if period else typed
 
 
+def first_messages(df: DataFrame, limit: int | None, *order: str) -> DataFrame:
+    """The first `limit` messages in a fixed order; None is no cap, 0 gives nothing."""
+    if limit is not None:
+        df = df.orderBy(*order, "value").limit(limit)
+    return df.select("value")
+
+
 def read_text(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Messages from text files, one per line; optional row cap."""
-    df = spark.read.text(path)
-    return df.limit(limit) if limit else df
+    """Messages from text files, one per line; optionally the first `limit` by value."""
+    return first_messages(spark.read.text(path), limit)
 
 
 def read_topic(
     spark: SparkSession, servers: str, topic: str, limit: int | None = None
 ) -> DataFrame:
-    """Whole Kafka topic as a batch. Needs the Spark Kafka connector on the class path."""
+    """Whole Kafka topic as a batch, optionally the oldest `limit` messages.
+
+    Needs the Spark Kafka connector on the class path.
+    """
     df = (
         spark.read.format("kafka")
         .option("kafka.bootstrap.servers", servers)
@@ -82,9 +91,9 @@ def read_topic(
         .option("endingOffsets", "latest")
         .option("failOnDataLoss", "false")
         .load()
-        .selectExpr("CAST(value AS STRING) AS value")
+        .selectExpr("CAST(value AS STRING) AS value", "timestamp", "partition", "offset")
     )
-    return df.limit(limit) if limit else df
+    return first_messages(df, limit, "timestamp", "partition", "offset")
 
 
 def write_topic(df: DataFrame, servers: str, topic: str) -> None:

@@ -26,11 +26,12 @@ def new_rows(incoming: DataFrame, existing: DataFrame, key: Sequence[str]) -> Da
 def append_new(
     incoming: DataFrame, path: str, key: Sequence[str] = PAIR_KEY, partition: str | None = None
 ) -> None:
-    """Append what is new; running it again adds nothing."""
+    """Append what is new, one row per key; running it again adds nothing."""
     spark = incoming.sparkSession
-    rows = incoming
     if path_exists(spark, path):
         rows = new_rows(incoming, spark.read.parquet(path), key)
+    else:
+        rows = best_row(incoming, list(key), [])
     writer = rows.write.mode("append")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
@@ -48,8 +49,14 @@ def upsert(
     return kept.select(*target.columns).unionByName(latest, allowMissingColumns=True)
 
 
-def clip_names(name_map: DataFrame, length: int = 1000) -> DataFrame:
-    """Name-map rows with names cut to the stored length."""
+#: Preset: length of a name in the published table.
+PUBLISHED_NAME_CHARS = 1000
+
+
+def clip_names(name_map: DataFrame, length: int | None = None) -> DataFrame:
+    """Name-map rows with names cut to the stored length, if there is one."""
+    if length is None:
+        return name_map
     return name_map.withColumns(
         {c: F.substring(c, 1, length) for c in ("prod_ai", "canonical_name")}
     )
@@ -87,15 +94,25 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def _pointer(root: str) -> str:
-    return f"{root}/CURRENT"
+def _pointer(root: str, number: int) -> str:
+    return f"{root}/_current-{number:010d}"
+
+
+def _last(spark: SparkSession, root: str) -> int:
+    """Number of the newest pointer, 0 if there is none."""
+    fs, p = _fs(spark, root)
+    if not fs.exists(p):
+        return 0
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return max((int(n.removeprefix("_current-")) for n in names if n.startswith("_current-")), default=0)
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
     """Path of the version readers should use; null before the first write."""
-    fs, p = _fs(spark, _pointer(root))
-    if not fs.exists(p):
+    number = _last(spark, root)
+    if not number:
         return None
+    fs, p = _fs(spark, _pointer(root, number))
     stream = fs.open(p)
     try:
         reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream))
@@ -112,7 +129,7 @@ def read_current(spark: SparkSession, root: str) -> DataFrame:
 
 
 def replace(df: DataFrame, root: str, partition: str | None = None) -> str:
-    """Write a new complete version, then point readers to it.
+    """Write a new complete version, then point readers to it. Older versions stay until `remove_old`.
 
     The data of the version being read is never touched, so a table may be replaced
     by a result computed from it, and a failed job leaves the old version in place.
@@ -121,13 +138,42 @@ def replace(df: DataFrame, root: str, partition: str | None = None) -> str:
     name = f"version-{uuid.uuid4().hex}"
     writer = df.write.mode("error")
     (writer.partitionBy(partition) if partition else writer).parquet(f"{root}/{name}")
-    fs, p = _fs(spark, _pointer(root))
-    out = fs.create(p, True)
+    _commit(spark, root, name)
+    return f"{root}/{name}"
+
+
+def _commit(spark: SparkSession, root: str, name: str) -> None:
+    """Publish a version under the next free number.
+
+    The pointer is written aside and renamed, which fails if the number is taken: readers
+    see a whole pointer or none, and of two writers the later one gets the next number.
+    """
+    fs, root_path = _fs(spark, root)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    aside = path(f"{root}/_pointer-{uuid.uuid4().hex}")
+    out = fs.create(aside, True)
     try:
         out.write(bytearray(f"{name}\n".encode()))
     finally:
         out.close()
-    return f"{root}/{name}"
+    number = _last(spark, root) + 1
+    while fs.exists(path(_pointer(root, number))) or not fs.rename(aside, path(_pointer(root, number))):
+        number += 1
+
+
+def remove_old(spark: SparkSession, root: str, keep: int = 2) -> int:
+    """Delete all but the newest `keep` versions; how many went. Nobody may be reading them."""
+    last, removed = _last(spark, root), 0
+    for number in range(1, last - keep + 1):
+        fs, pointer = _fs(spark, _pointer(root, number))
+        if fs.exists(pointer):
+            stream = fs.open(pointer)
+            name = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream)).readLine()
+            stream.close()
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"), True)
+            fs.delete(pointer, False)
+            removed += 1
+    return removed
 
 
 def upsert_into(source: DataFrame, root: str, key: Sequence[str], order: Sequence[str] = ()) -> str:

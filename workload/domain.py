@@ -155,31 +155,32 @@ def stored_signals(spark, sf_dir) -> DataFrame:
 
 
 def _claim(text) -> F.Column:
-    """First twelve words of a text without full stops."""
-    from pharmasift.functions.text import words
-
-    return F.regexp_replace(F.array_join(F.slice(words(text), 1, 12), " "), "[.]", " ")
+    """First sentence of a text."""
+    return F.substring_index(text, ".", 1)
 
 
 def evidence(spark, sf_dir) -> DataFrame:
-    """Three documents per signal as its retrieved literature."""
+    """Three documents per signal as its retrieved literature, spread over the whole table."""
+    from pharmasift.operators.joins import with_scalars
+
     s = stored_signals(spark, sf_dir).select(
-        "drug_key", "pt", F.col("drug_reaction_count").alias("a"),
+        "drug_key", "pt", F.col("drug_reaction_count").alias("a"), F.col("other_reaction_count").alias("c"),
         F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j"),
     )
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return s.join(docs, F.expr("(a + j) % 200") == F.col("doc_id")).select(
+    s = with_scalars(s, docs.agg(F.count(F.lit(1)).alias("n_docs")))
+    return s.join(docs, F.expr("(a * 7919 + c * 31 + j * 104729) % n_docs") == F.col("doc_id")).select(
         "drug_key", "pt", "j", (F.col("a") + F.col("j") + 1000000).cast("string").alias("pmid"), "text"
     )
 
 
 def briefs(spark, sf_dir) -> DataFrame:
-    """Deterministic briefs with planted faults for the stronger signals."""
+    """Deterministic briefs with planted faults; the length of its key leaves a signal uninvestigated."""
     from pharmasift.functions import scores
     from pharmasift.functions.text import fixed
     from pharmasift.operators.search_queries import template_queries
 
-    s = stored_signals(spark, sf_dir).filter(F.col("prr") >= 1.22)
+    s = stored_signals(spark, sf_dir).filter(F.length(F.concat("drug_key", "pt")) % 5 != 0)
     claims = evidence(spark, sf_dir)
     first = claims.filter(F.col("j") == 0).select("drug_key", "pt", _claim(F.col("text")).alias("claim0"))
     second = claims.filter(F.col("j") == 1).select("drug_key", "pt", _claim(F.col("text")).alias("claim1"))
@@ -274,9 +275,10 @@ def golden(spark, sf_dir) -> DataFrame:
 
 
 def corpus(spark, sf_dir) -> DataFrame:
+    """All documents; those without a vector are grouped by their id and can be found by words."""
     d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    return d.join(e, d.doc_id == e.vec_id).select(
-        "doc_id", F.col("label").cast("string").alias("group_key"), "text", "embedding"
+    return d.join(e, d.doc_id == e.vec_id, "left").select(
+        "doc_id", F.coalesce("label", F.col("doc_id") % 10).cast("string").alias("group_key"), "text", "embedding"
     )
 
 

@@ -150,13 +150,12 @@ def _(s, p):
     return reports.unpublished(demo, published).groupBy("source_quarter").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("row_cap", "SELECT 100 AS n, true AS from_source")
+@query("row_cap", """SELECT value FROM (SELECT '{"primaryid":"' || CAST(primaryid AS VARCHAR) || '","fda_dt":"' || fda_dt || '"}' AS value FROM demo)
+    ORDER BY value LIMIT 100""")
 def _(s, p):
-    capped = messages.to_messages(d.demo(s, p)).limit(100)
-    return capped.agg(
-        F.count(F.lit(1)).alias("n").cast("int").alias("n"),
-        F.every(F.col("value").contains("primaryid")).alias("from_source"),
-    )
+    path = d.fresh_path(s, "capped")
+    messages.to_messages(d.demo(s, p).select("primaryid", "fda_dt")).write.text(path)
+    return messages.read_text(s, path, 100)
 
 
 @query("name_map_load", "SELECT prod_ai_upper, canonical_name, rxcui FROM name_map")
@@ -767,7 +766,7 @@ def _(s, p):
 
 @query("evidence_blocks", f"""SELECT i.signal_id, coalesce(b, 'No abstracts retrieved above similarity threshold.') AS evidence
     FROM item_signals i LEFT JOIN (SELECT signal_id, string_agg('[' || CAST(fused_rank AS VARCHAR) || '] PMID:' || CAST(f.doc_id AS VARCHAR)
-      || ' | similarity=' || {fix('similarity', 3)} || chr(10) || substring(text, 1, 600), chr(10) || chr(10) ORDER BY fused_rank) AS b
+      || ' | similarity=' || {fix('similarity', 3)} || chr(10) || text, chr(10) || chr(10) ORDER BY fused_rank) AS b
       FROM fused f JOIN documents d ON f.doc_id = d.doc_id WHERE fused_rank <= 5 GROUP BY 1) x ON i.signal_id = x.signal_id""")
 def _(s, p):
     top = retrieval.top_hits(retrieval.fuse(d.stored_hits(s, p)))
@@ -809,11 +808,11 @@ def _records(s, p):
 
 @query("corpus_additions", """SELECT source AS group_key, CAST(doc_id AS VARCHAR) AS pmid, source || '_' || CAST(doc_id AS VARCHAR) AS doc_key,
     'Title ' || CAST(doc_id AS VARCHAR) || ' ' || lang || ' ' || text AS text, CAST(doc_id AS VARCHAR) AS pmid_again
-    FROM documents WHERE lang <> 'de' AND n_chars < 3000 AND source NOT IN (SELECT source FROM documents WHERE n_chars >= 3000 GROUP BY 1 HAVING count(*) >= 9)""")
+    FROM documents WHERE lang <> 'de' AND n_chars < 3000""")
 def _(s, p):
     records = _records(s, p)
     loaded = records.filter(F.col("n_chars") >= 3000)
-    added = corpus.new_documents(records.unionByName(records).drop("doc_id", "n_chars"), loaded, full=12)
+    added = corpus.new_documents(records.unionByName(records).drop("doc_id", "n_chars"), loaded)
     return added.select("group_key", "pmid", "doc_key", "text", corpus.pmid_of(F.col("doc_key")).alias("pmid_again"))
 
 

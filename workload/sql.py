@@ -68,7 +68,7 @@ def tier_rank(t: str, unknown: int = 5) -> str:
 
 
 L = d.LIMITS
-CLAIM = "replace(array_to_string(list_slice({words}, 1, 12), ' '), '.', ' ')".format(words=words("text"))
+CLAIM = "split_part(text, '.', 1)"
 P_ACTION = (
     "CASE WHEN a % 7 = 0 THEN 'withdraw from market' WHEN a % 5 = 1 THEN 'Consider label revision' "
     "WHEN a % 3 = 0 THEN 'RESTRICT FOR PATIENTS OR REMOVE' WHEN a % 2 = 0 THEN 'restrict use' "
@@ -176,14 +176,15 @@ CTES: dict[str, str] = {
         WHERE (drug_key, pt) IN (SELECT (drug_key, pt) FROM clean)""",
     "evidence": """SELECT drug_key, pt, j, CAST(drug_reaction_count + j + 1000000 AS VARCHAR) AS pmid, text
         FROM (SELECT *, unnest([0, 1, 2]) AS j FROM signals) s
-        JOIN documents ON (drug_reaction_count + j) % 200 = doc_id""",
+        JOIN documents ON (drug_reaction_count * 7919 + other_reaction_count * 31 + j * 104729)
+            % (SELECT count(*) FROM documents) = doc_id""",
     "brief_base": f"""SELECT s.*, drug_reaction_count AS a, CAST((drug_reaction_count % 10) AS DOUBLE) / 10.0 AS lit_score,
         e0.claim AS claim0, e1.claim AS claim1 FROM signals s
         JOIN (SELECT drug_key, pt, {CLAIM} AS claim FROM evidence WHERE j = 0) e0
           ON s.drug_key = e0.drug_key AND s.pt = e0.pt
         JOIN (SELECT drug_key, pt, {CLAIM} AS claim FROM evidence WHERE j = 1) e1
           ON s.drug_key = e1.drug_key AND s.pt = e1.pt
-        WHERE s.prr >= 1.22""",
+        WHERE length(s.drug_key || s.pt) % 5 <> 0""",
     "briefs": f"""SELECT a * 1000000 + other_reaction_count AS brief_id, drug_key, pt, stat_score, lit_score,
         {priority('stat_score', 'lit_score')} AS priority,
         array_to_string(list_transform(string_split(drug_key, ' '),
@@ -233,8 +234,8 @@ CTES: dict[str, str] = {
         m.drug_key IS NOT NULL AS flagged
         FROM golden g LEFT JOIN first_seen f ON g.drug_key = f.drug_key AND g.pt = f.pt
         LEFT JOIN meets m ON g.drug_key = m.drug_key AND g.pt = m.pt""",
-    "corpus": """SELECT doc_id, CAST(label AS VARCHAR) AS group_key, text, CAST(embedding AS DOUBLE[]) AS embedding
-        FROM documents JOIN embeddings ON doc_id = vec_id""",
+    "corpus": """SELECT doc_id, CAST(coalesce(label, doc_id % 10) AS VARCHAR) AS group_key, text,
+        CAST(embedding AS DOUBLE[]) AS embedding FROM documents LEFT JOIN embeddings ON doc_id = vec_id""",
     "items": """SELECT q.item_id, q.query_no, b.text FROM (
         SELECT item_id, unnest([1, 2, 3]) AS query_no, (SELECT count(*) FROM benchmark) AS n FROM benchmark) q
         JOIN benchmark b ON (q.item_id + q.query_no - 1) % q.n = b.item_id""",
@@ -333,16 +334,17 @@ CTES: dict[str, str] = {
     "judged": f"""SELECT *, CASE WHEN len({words('claim')}) < 5 THEN 'short' WHEN evidence_text IS NULL THEN 'unknown'
           WHEN similarity < 0.5 THEN 'ungrounded' ELSE 'grounded' END AS verdict FROM (
         SELECT *, CASE WHEN evidence_text IS NOT NULL THEN coalesce(
-            list_sum(list_transform(ct, lambda x: len(list_filter(et, lambda y: y = x))))
-            / nullif(sqrt(CAST(list_sum(list_transform(ct, lambda x: len(list_filter(ct, lambda y: y = x)))) AS DOUBLE))
-              * sqrt(CAST(list_sum(list_transform(et, lambda x: len(list_filter(et, lambda y: y = x)))) AS DOUBLE)), 0), 0.0) END AS similarity
-        FROM (SELECT c.*, e.text AS evidence_text, {tokens('c.claim')} AS ct, {tokens('left(e.text, 500)')} AS et
+            list_sum(list_transform(map_keys(ct), lambda x: ct[x] * coalesce(et[x], 0)))
+            / nullif(sqrt(CAST(list_sum(list_transform(map_values(ct), lambda n: n * n)) AS DOUBLE))
+              * sqrt(CAST(list_sum(list_transform(map_values(et), lambda n: n * n)) AS DOUBLE)), 0), 0.0) END AS similarity
+        FROM (SELECT c.*, e.text AS evidence_text, list_aggregate({tokens('c.claim')}, 'histogram') AS ct,
+          list_aggregate({tokens('e.text')}, 'histogram') AS et
           FROM claims c LEFT JOIN evidence e ON c.drug_key = e.drug_key AND c.pt = e.pt AND c.pmid = e.pmid))""",
     "grounding": f"""SELECT c.drug_key, c.pt, count(*) AS n_claims,
         count(*) FILTER (verdict = 'ungrounded') AS n_bad, count(*) FILTER (verdict = 'grounded') AS n_good,
         coalesce(list(CASE verdict WHEN 'unknown' THEN 'Cited PMID ' || pmid || ' not in retrieved set'
             ELSE 'Claim not grounded in PMID ' || pmid || ' (similarity ' || {fix('similarity', 2)}
-              || ' < 0.5): ' || left(claim, 100) END ORDER BY verdict DESC, pos)
+              || ' < 0.5): ' || claim END ORDER BY verdict DESC, pos)
             FILTER (verdict IN ('unknown', 'ungrounded')), CAST([] AS VARCHAR[])) AS grounding_errors
         FROM judged c GROUP BY 1, 2""",
     "audited": """SELECT n.drug_key, n.pt, numeric_errors, numeric_rate, action_errors, action_rate,
