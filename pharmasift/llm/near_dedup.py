@@ -2,10 +2,11 @@
 
 Documents with equal shingle sets form a class; from there on one node stands for the
 class. Nodes that share a band fall into a bucket, and all members of a bucket are compared
-with its centre only. Buckets whose members the verified links already join are finished.
-In the others the members outside the largest component become further centres, a
-bounded number at a time, until every two members that are not joined have been
-compared: stars bound the pairs of a step, and no link inside a bucket is lost.
+with its centre only. The buckets with the same centre make up its star. Stars whose
+members the verified links already join are finished. In the others, the members outside the
+largest component are compared with all members, block by block: a task compares the sets
+of two blocks of bounded size and returns at most one link per two components, so that no
+link inside a star is lost and no list of pairs is ever made.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ WORDS = 5
 SIMILARITY = 80  # per cent
 #: At 80 % similarity a pair shares no bucket with probability (1 - 0.8**6)**32 = 6e-5, at 85 % 2e-7.
 BANDS, ROWS = 32, 6
-#: Further centres of a bucket in one step.
-CENTRES = 64
+#: Shingles in a block of sets that are compared with another block: few at first, so that a star
+#: is spread over up to BLOCKS blocks a side, then more, up to what a task holds easily.
+BLOCK, BLOCKS, LARGE_BLOCK = 64_000, 64, 1_000_000
 
 _U = np.uint64
 
@@ -196,15 +198,17 @@ def _linked(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: int
 
 
 def links(
-    docs: DataFrame, classes: DataFrame, buckets: DataFrame, words: int, similarity: int, id: str, text: str, centres: int
+    docs: DataFrame, classes: DataFrame, buckets: DataFrame, words: int, similarity: int, id: str, text: str, block: int
 ) -> DataFrame:
     """Components (node, root) of the verified links between the nodes of the buckets."""
     ends = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
-    crowded = stored(buckets.join(ends.select("key", "centre"), "key"), "buckets")
-    wanted = stored(
-        crowded.select("node").distinct().join(classes, "node").select("node", F.col("rep").alias("_rep"), "hi", "lo", "n"),
-        "wanted",
+    pairs = stored(
+        buckets.join(stored(ends.select("key", "centre"), "crowded"), "key").where("node <> centre")
+        .select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(),
+        "stars",
     )
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stored(ends.join(classes, "node").select("node", F.col("rep").alias("_rep"), "hi", "lo", "n"), "wanted")
     reps = wanted.select("_rep")
     if small(reps):
         reps = F.broadcast(reps)
@@ -214,39 +218,122 @@ def links(
         "sets",
     )
     sizes = wanted.select("node", "n")
-    pairs = crowded.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     edges = stored(_linked(pairs, sizes, sets, similarity), "links")
     groups = components(edges)
-    crowded = crowded.where("node <> centre").select("key", "node")  # the centre has met all others
-    while True:
-        labelled = crowded.join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        several = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-        crowded = stored(labelled.join(several, "key", "left_semi"), "open-buckets")
-        if crowded.isEmpty():
-            return groups
-        largest = (
-            crowded.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("m")).select("key", "m.root")
-        )
-        outside = crowded.join(largest, ["key", "root"], "left_anti")
-        chosen = stored(_first(outside, centres), "centres")
-        pairs = (
-            crowded.join(chosen.select("key", F.col("node").alias("_c"), F.col("root").alias("_r")), "key")
-            .where("root <> _r")
-            .select(F.least("node", "_c").alias("a"), F.greatest("node", "_c").alias("b"))
-            .distinct()
-        )
-        edges = stored(edges.union(_linked(pairs, sizes, sets, similarity)), "links")
-        groups = components(edges)
-        # a centre has now met every member of another component: it leaves the bucket
-        crowded = stored(crowded.join(chosen, ["key", "node"], "left_anti").select("key", "node"), "open-buckets")
-
-
-def _first(rows: DataFrame, n: int) -> DataFrame:
-    """The first n rows of each key; Spark limits them before and after the shuffle."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("root", "node"))
-    return rows.withColumn("_n", rank).where(F.col("_n") <= n).drop("_n")
+    # a centre has met its whole star; what is left are links between its other members
+    stars = pairs.select(F.col("a").alias("star"), F.col("b").alias("node"))
+    more = stored(_within(stars, groups, sizes, sets, similarity, block), "more-links")
+    return groups if more.isEmpty() else components(edges.union(more))
+
+
+def _within(stars: DataFrame, groups: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: int, block: int) -> DataFrame:
+    """Links (a, b) between members of a star that are in different components."""
+    labelled = stars.join(groups, "node", "left").select("star", "node", F.coalesce("root", "node").alias("root")).join(sizes, "node")
+    labelled = stored(labelled, "members")
+    parts = labelled.groupBy("star", "root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n"))
+    largest = parts.groupBy("star").agg(
+        F.max(F.struct("members", "root", "n")).alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")
+    ).where("roots > 1")
+
+    def blocks(n):
+        return F.least(F.ceil(n / block), F.greatest(F.lit(BLOCKS), F.ceil(n / LARGE_BLOCK))).cast("int")
+
+    plan = stored(
+        largest.select("star", F.col("m.root").alias("main"), blocks(F.col("n") - F.col("m.n")).alias("rows"), blocks(F.col("n")).alias("columns")),
+        "open-stars",
+    )
+    rows = labelled.join(plan, "star")
+    at = F.xxhash64("node")
+    every = rows.select(
+        "star", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod(at, F.col("columns")).cast("int").alias("column"),
+        F.lit(False).alias("outside"), "node", "root",
+    )
+    outside = rows.where("root <> main").select(
+        "star", F.pmod(at, F.col("rows")).cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"),
+        F.lit(True).alias("outside"), "node", "root",
+    )
+    cells = every.union(outside).join(sets, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        out = table.column("outside").to_numpy(zero_copy_only=False)
+        nodes, roots = table.column("node").to_numpy(), table.column("root").to_numpy()
+        lists = table.column("shingles").combine_chunks()
+        values, offsets = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        left, right = np.flatnonzero(out), np.flatnonzero(~out)
+        a, b = linked_blocks(values, offsets, roots, left, right, similarity)
+        return pa.table({"a": pa.array(nodes[a], pa.int64()), "b": pa.array(nodes[b], pa.int64())})
+
+    return cells.groupBy("star", "row", "column").applyInArrow(compare, "a long, b long")
+
+
+def linked_blocks(values, offsets, roots, left, right, similarity):
+    """Indices of one pair of similar enough sets for every two roots that have such a pair."""
+    none = np.zeros(0, np.int64)
+    if not len(left) or not len(right):
+        return none, none
+    size = np.diff(offsets)
+    p, q = len(left), len(right)
+    la, lb = size[left][:, None], size[right][None, :]
+    able = (roots[left][:, None] != roots[right][None, :]) & (100 * np.minimum(la, lb) >= similarity * np.maximum(la, lb))
+    keep_l, keep_r = able.any(1), able.any(0)
+    if not keep_l.any():
+        return none, none
+    left, right, able = left[keep_l], right[keep_r], able[keep_l][:, keep_r]
+    x = shared_counts(values, offsets, left, right)
+    la, lb = size[left][:, None], size[right][None, :]
+    i, j = np.nonzero(able & (100 * x >= similarity * (la + lb - x)))
+    _, first = np.unique(np.stack([roots[left[i]], roots[right[j]]]), axis=1, return_index=True)
+    return left[i[first]], right[j[first]]
+
+
+def shared_counts(values, offsets, left, right, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each left set with each right set.
+
+    Shingles that many sets have are counted by matrix products, the others pair by pair.
+    """
+    def entries(some):
+        length = offsets[some + 1] - offsets[some]
+        row = np.repeat(np.arange(len(some)), length)
+        at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(offsets[some], length)
+        return row, values[at]
+
+    row_l, value_l = entries(left)
+    row_r, value_r = entries(right)
+    words, column_l = np.unique(value_l, return_inverse=True)
+    column_r = np.minimum(np.searchsorted(words, value_r), len(words) - 1)
+    met = words[column_r] == value_r
+    row_r, column_r = row_r[met], column_r[met]
+    n_l, n_r = np.bincount(column_l, minlength=len(words)), np.bincount(column_r, minlength=len(words))
+    total = np.zeros((len(left), len(right)), np.int64)
+    common = n_l * n_r * 64 > len(left) * len(right)
+    chosen = np.flatnonzero(common)
+    place = np.full(len(words), -1)
+    for at in range(0, len(chosen), width):
+        part = chosen[at : at + width]
+        place[part] = np.arange(len(part))
+        sides = []
+        for row, column, n in ((row_l, column_l, len(left)), (row_r, column_r, len(right))):
+            here = place[column] >= 0
+            side = np.zeros((n, len(part)), np.float32)
+            side[row[here], place[column[here]]] = 1
+            sides.append(side)
+        total += (sides[0] @ sides[1].T).astype(np.int64)
+        place[part] = -1
+    rare_l, rare_r = ~common[column_l], ~common[column_r]
+    row_l, column_l, row_r, column_r = row_l[rare_l], column_l[rare_l], row_r[rare_r], column_r[rare_r]
+    order = np.argsort(column_r, kind="stable")
+    row_r, column_r = row_r[order], column_r[order]
+    start, end = np.searchsorted(column_r, column_l), np.searchsorted(column_r, column_l, "right")
+    done = np.concatenate([[0], np.cumsum(end - start)])
+    at = 0
+    while at < len(row_l):  # about a million meetings at a time
+        to = max(at + 1, int(np.searchsorted(done, done[at] + 1_000_000)) - 1)
+        s, e, rows = start[at:to], end[at:to], row_l[at:to]
+        n, at = e - s, to
+        pick = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s, n)
+        flat = np.repeat(rows, n) * len(right) + row_r[pick]
+        total += np.bincount(flat, minlength=total.size).reshape(total.shape)
+    return total
 
 
 def near_duplicates(
@@ -257,7 +344,7 @@ def near_duplicates(
     text: str = "text",
     bands: int = BANDS,
     rows: int = ROWS,
-    centres: int = CENTRES,
+    block: int = BLOCK,
 ) -> DataFrame:
     """id, n_shingles, component_id, kept for every row.
 
@@ -279,7 +366,7 @@ def near_duplicates(
     )
     member = signed.join(classes.select("hi", "lo", "node", "rep"), ["hi", "lo"], "left")
     buckets = member.where(F.col("id").eqNullSafe(F.col("rep")) & F.col("node").isNotNull()).select(F.explode("bands").alias("key"), "node")
-    groups = links(docs, classes, buckets, words, similarity, id, text, centres)
+    groups = links(docs, classes, buckets, words, similarity, id, text, block)
     rooted = classes.select("node", "rep").join(groups, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = stored(rooted.join(smallest, "root").select("node", "component_id"), "components")

@@ -135,11 +135,11 @@ def varied(seed):
     return [*zip(ids, rows), (900, None), (901, ""), (902, " \n"), (903, "One"), (904, "one"), (905, "é É"), (906, "É é"), (950, "w1 w2 w3 w4"), (950, "w7 w8")]
 
 
-@pytest.mark.parametrize("seed, k, centres", [(0, 2, 64), (1, 2, 2), (2, 5, 64), (3, 1, 1)])
-def test_components_of_similar_texts(spark, as_list, seed, k, centres):
+@pytest.mark.parametrize("seed, k, block", [(0, 2, 64_000), (1, 2, 100), (2, 5, 64_000), (3, 1, 1)])
+def test_components_of_similar_texts(spark, as_list, seed, k, block):
     rows = varied(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS node", "2 AS id", "3 AS n_shingles", "4 AS hi")
-    assert as_list(near_dedup.near_duplicates(docs, words=k, centres=centres)) == near(rows, k)
+    assert as_list(near_dedup.near_duplicates(docs, words=k, block=block)) == near(rows, k)
 
 
 def test_near_duplicates_null_ids_and_nothing(spark, as_list):
@@ -171,3 +171,12 @@ def test_signatures_agree_as_often_as_sets_are_alike():
             hits.append((fold.bands_of(np.sort(a)) == fold.bands_of(np.sort(b))).mean())
         same, other = size - size // 5, 2 * (size // 5)
         assert abs(np.mean(hits) - same / (same + other)) < 0.05
+
+
+def test_counts_of_shared_shingles():
+    draw = np.random.RandomState(1)
+    sets = [np.unique(draw.randint(0, top, n)) for top, n in [(50, 40), (50, 30), (5000, 300), (40, 35), (10**6, 200), (60, 1), (50, 45)] * 6]
+    offsets = np.cumsum([0, *map(len, sets)])
+    left, right = np.arange(0, 20), np.arange(13, 42)
+    counts = near_dedup.shared_counts(np.concatenate(sets), offsets, left, right, width=16)
+    assert counts.tolist() == [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
