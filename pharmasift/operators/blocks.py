@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pharmasift.operators.joins import attach
 
-RESULT = "signal_id string, query_no int, doc_id long, score double"
+RESULT = "signal_id string, query_no int, doc_id {id_type}, score double"
 
 
 def block_grid(
@@ -57,7 +57,8 @@ def best_of_row(scores: np.ndarray, ids: np.ndarray, k: int, floor: float) -> np
     if len(hits) > k:
         cut = np.partition(scores[hits], len(hits) - k)[len(hits) - k]
         hits = hits[scores[hits] >= cut - 1e-8]
-    order = np.lexsort((ids[hits], -np.round(scores[hits], 9)))
+    _, rank = np.unique(ids[hits], return_inverse=True)  # ids may be texts
+    order = np.lexsort((rank, -np.round(scores[hits], 9)))
     return hits[order[:k]]
 
 
@@ -83,11 +84,13 @@ def blocked_topk(
         if qs.empty or docs.empty:
             return pd.DataFrame(
                 {"signal_id": pd.Series(dtype=str), "query_no": pd.Series(dtype="int32"),
-                 "doc_id": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)}
+                 "doc_id": docs["doc_id"].iloc[:0], "score": pd.Series(dtype=float)}
             )
         return score_block(qs, docs)
 
-    partial = q.groupBy(*keys).cogroup(i.groupBy(*keys)).applyInPandas(run, RESULT)
+    partial = q.groupBy(*keys).cogroup(i.groupBy(*keys)).applyInPandas(
+        run, RESULT.format(id_type=items.schema["doc_id"].dataType.simpleString())
+    )
     return rank_lists(partial, k)
 
 

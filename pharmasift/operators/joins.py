@@ -55,10 +55,11 @@ def spread_small(df: DataFrame, key: str, limit: int = 8 * BROADCAST_LIMIT) -> D
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     """Put the columns of a one-row DataFrame on every row.
 
-    The right side must be a global aggregate, so its size is one row whatever the
-    input is; that is the bound that makes the broadcast safe.
+    The right side is reduced to one row here (it must have one; of several, any would be
+    kept), so its size does not depend on what the caller passes; that makes the broadcast safe.
     """
-    return df.crossJoin(F.broadcast(scalars))
+    one = scalars.agg(*(F.first(c).alias(c) for c in scalars.columns))
+    return df.crossJoin(F.broadcast(one))
 
 
 def distinct_keys(df: DataFrame, keys: list[str]) -> DataFrame:

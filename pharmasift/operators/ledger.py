@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pharmasift.operators.joins import with_scalars
+
 # Price per thousand tokens, daily budget.
 INPUT_PER_1K = "0.00015"
 OUTPUT_PER_1K = "0.00060"
@@ -12,20 +14,27 @@ DAILY_BUDGET = "10.00"
 MONEY = "decimal(18,8)"
 
 
-def call_cost(input_tokens: Column, output_tokens: Column) -> Column:
+def call_cost(
+    input_tokens: Column, output_tokens: Column, input_price: str = INPUT_PER_1K, output_price: str = OUTPUT_PER_1K
+) -> Column:
     """Exact decimal cost of one call."""
     def part(tokens: Column, price: str) -> Column:
         return tokens.cast("decimal(12,0)") * F.lit(price).cast("decimal(9,8)") / F.lit(1000).cast("decimal(4,0)")
 
-    return (part(input_tokens, INPUT_PER_1K) + part(output_tokens, OUTPUT_PER_1K)).cast(MONEY)
+    return (part(input_tokens, input_price) + part(output_tokens, output_price)).cast(MONEY)
 
 
-def with_cost(calls: DataFrame) -> DataFrame:
-    return calls.withColumn("cost", call_cost(F.col("input_tokens"), F.col("output_tokens")))
+def with_cost(calls: DataFrame, prices: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Add `cost`; `prices` has (input, output) per thousand tokens for tasks that don't have the default price."""
+    tokens = F.col("input_tokens"), F.col("output_tokens")
+    cost = call_cost(*tokens)
+    for task, price in (prices or {}).items():
+        cost = F.when(F.col("task") == task, call_cost(*tokens, *price)).otherwise(cost)
+    return calls.withColumn("cost", cost)
 
 
-def usage_by_task(calls: DataFrame) -> DataFrame:
-    costed = with_cost(calls)
+def usage_by_task(calls: DataFrame, prices: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    costed = with_cost(calls, prices)
     return costed.groupBy("task").agg(
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
@@ -44,23 +53,31 @@ def spend_by_day(calls: DataFrame, budget: str = DAILY_BUDGET) -> DataFrame:
 
 
 def running_spend(
-    calls: DataFrame, budget: str = DAILY_BUDGET, bucket_calls: int = 100_000
+    calls: DataFrame, budget: str = DAILY_BUDGET, order: tuple[str, ...] = ("call_id",), runs: int = 200,
+    prices: dict[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
-    """Spend of the day up to and including each call, in call order.
+    """Spend of the day up to and including each call, in the order of the given columns.
 
     A day may hold a large share of all calls, so one window per day would put them on
-    one task. Calls are cut into runs of `bucket_calls` consecutive ids instead: a
-    window inside each run, plus the sum of the day's earlier runs, which is a small
-    aggregate with one row per run.
+    one task. Calls are cut into about `runs` equal parts at quantiles of the first order column
+    (a time or number) instead: a window inside each part, plus the sum of the day's earlier
+    parts, which is a small aggregate with one row per day and part.
     """
     limit = F.lit(budget).cast(MONEY)
-    costed = with_cost(calls).withColumn("_run", F.floor(F.col("call_id") / bucket_calls))
+    place = F.col(order[0])
+    if not calls.schema[order[0]].dataType.simpleString().startswith(("timestamp", "date")):
+        place = place.cast("double")
+    else:
+        place = F.unix_micros(place.cast("timestamp"))
+    cuts = calls.agg(F.percentile_approx(place, [n / runs for n in range(1, runs)] or [0.5], 10_000).alias("_cuts"))
+    run = F.coalesce(F.size(F.filter("_cuts", lambda c: c < place)), F.lit(0))
+    costed = with_scalars(with_cost(calls, prices), cuts).withColumn("_run", run).drop("_cuts")
     per_run = costed.groupBy("day", "_run").agg(F.sum("cost").alias("_sum"))
     earlier = Window.partitionBy("day").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_run.select(
         "day", "_run", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before")
     )
-    inside = Window.partitionBy("day", "_run").orderBy("call_id").rowsBetween(
+    inside = Window.partitionBy("day", "_run").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0
     )
     local = costed.withColumn("_local", F.sum("cost").over(inside))

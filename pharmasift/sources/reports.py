@@ -12,12 +12,52 @@ ENTITIES = ("DEMO", "DRUG", "REAC", "OUTC")
 PERIOD_PATTERN = r"(\d{4}Q[1-4])"
 
 
+def _headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Files of the paths (patterns and folders) by their first line.
+
+    The driver opens each file for one line; files are few and large here.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found: dict[str, list[str]] = {}
+    for path in paths:
+        pattern = jvm.org.apache.hadoop.fs.Path(path)
+        fs = pattern.getFileSystem(conf)
+        for top in fs.globStatus(pattern) or []:
+            files = fs.listFiles(top.getPath(), True)
+            while files.hasNext():
+                file = files.next().getPath()
+                if file.getName().startswith(("_", ".")):
+                    continue
+                stream = jvm.java.io.InputStreamReader(fs.open(file), "ISO-8859-1")
+                try:
+                    line = jvm.java.io.BufferedReader(stream).readLine()
+                finally:
+                    stream.close()
+                if line:
+                    found.setdefault(line, []).append(file.toString())
+    return found
+
+
 def read_files(spark: SparkSession, path: str | list[str], schema: str | None = None) -> DataFrame:
-    """`$`-separated Latin-1 files with a header, all columns as text.
+    """`$`-separated Latin-1 files with a header, all columns as text, tagged with their period.
 
     A backslash is data here (combination names), so the quote character escapes
-    itself. Without a schema the column names come from the header.
+    itself. Without a schema every file is read by its own header: columns may differ in
+    order and number from file to file, and a column that a file lacks is null.
     """
+    if not schema:
+        parts = [
+            _read(spark, files, None) for _, files in sorted(_headers(spark, [path] if isinstance(path, str) else path).items())
+        ]
+        if parts:
+            whole = parts[0]
+            for part in parts[1:]:
+                whole = whole.unionByName(part, allowMissingColumns=True)
+            return whole
+    return _read(spark, path, schema)
+
+
+def _read(spark: SparkSession, path: str | list[str], schema: str | None) -> DataFrame:
     reader = (
         spark.read.option("sep", "$")
         .option("encoding", "ISO-8859-1")
@@ -27,10 +67,10 @@ def read_files(spark: SparkSession, path: str | list[str], schema: str | None =
     )
     if schema:
         reader = reader.schema(schema)
-    return reader.csv(path)
+    return _with_period(reader.csv(path))
 
 
-def with_period(df: DataFrame) -> DataFrame:
+def _with_period(df: DataFrame) -> DataFrame:
     """Tag rows with the period label found in their file's path."""
     label = F.regexp_extract(F.col("_metadata.file_path"), PERIOD_PATTERN, 1)
     return df.withColumn("source_quarter", F.nullif(label, F.lit("")))
@@ -61,7 +101,7 @@ def read_reports(
     Year and entity become part of the path, so other files are never listed or read.
     """
     pattern = f"{root}/{year or '*'}/*/{entity}*.txt"
-    return select_periods(with_period(read_files(spark, pattern, schema)), year, quarters)
+    return select_periods(read_files(spark, pattern, schema), year, quarters)
 
 
 def entity_counts(frames: dict[str, DataFrame]) -> DataFrame:

@@ -29,6 +29,16 @@ def test_read_reports_by_folder(spark, tmp_path):
     assert rows(missing, "entity", "source_quarter") == [("DEMO", "2022Q4"), ("DEMO", "2023Q2")]
 
 
+def test_every_file_is_read_by_its_own_header(spark, tmp_path):
+    root = str(tmp_path)
+    write(f"{root}/2023/2023Q1/DRUG23Q1.txt", "primaryid$caseid$role_cod\n1$10$PS\n")
+    write(f"{root}/2023/2023Q2/DRUG23Q2.txt", "role_cod$primaryid$caseid$dose\nSS$2$20$5\n")
+    got = reports.read_reports(spark, root, "DRUG")
+    assert rows(got, "primaryid", "caseid", "role_cod", "dose", "source_quarter") == [
+        ("1", "10", "PS", None, "2023Q1"), ("2", "20", "SS", "5", "2023Q2"),
+    ]
+
+
 def test_unpublished_periods(frame):
     new = frame([(1, "2023Q1"), (2, "2023Q2")], "primaryid long, source_quarter string")
     old = frame([(9, "2023Q1"), (8, None)], "primaryid long, source_quarter string")

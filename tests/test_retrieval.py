@@ -139,7 +139,7 @@ def test_evidence_text_and_summary(frame):
     signals = frame([("s",), ("empty",)], "signal_id string")
     fused = retrieval.fuse(frame([hit("s", 1, "hnsw", 1, 5, 0.66666), hit("s", 1, "hnsw", 2, 6, 0.6)], HITS))
     docs = frame([(5, "x" * 700), (6, "short")], "doc_id long, text string")
-    got = {r.signal_id: r.evidence for r in retrieval.evidence_block(signals, fused, docs).collect()}
+    got = {r.signal_id: r.evidence for r in retrieval.evidence_block(signals, fused, docs, retrieval.PUBLISHED_HEAD_CHARS).collect()}
     assert got["s"] == "[1] PMID:5 | similarity=0.667\n" + "x" * 600 + "\n\n[2] PMID:6 | similarity=0.600\nshort"
     assert got["empty"].startswith("No abstracts retrieved")
     summary = {r.signal_id: tuple(r)[1:] for r in retrieval.evidence_summary(signals, fused, 1).collect()}

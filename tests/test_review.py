@@ -125,9 +125,9 @@ def test_ledger(frame):
                   "call_id long, day date, task string, input_tokens long, output_tokens long")
     got = {r.task: r for r in ledger.usage_by_task(calls).collect()}
     assert got["q"].total_calls == 33 and got["b"].total_tokens == sum(1001 * i for i in range(0, 50, 3))
-    assert rows(ledger.running_spend(calls, "0.05", 7)) == rows(ledger.running_spend(calls, "0.05"))
+    assert rows(ledger.running_spend(calls, "0.05", runs=7)) == rows(ledger.running_spend(calls, "0.05"))
     final = {r.day: r.spent for r in ledger.spend_by_day(calls).collect()}
-    running = ledger.running_spend(calls, "0.05", 7).groupBy("day").agg(F.max("spent").alias("m"))
+    running = ledger.running_spend(calls, "0.05", runs=7).groupBy("day").agg(F.max("spent").alias("m"))
     assert {r.day: r.m for r in running.collect()} == final
     one = ledger.with_cost(frame([(1, 7)], "input_tokens long, output_tokens long")).first().cost
     assert str(one) == "0.00000435"

@@ -12,7 +12,7 @@ from tests.conftest import rows
 def test_append_is_idempotent(spark, frame, tmp_path):
     path = str(tmp_path / "pairs")
     first = frame([(1, "a", "x", "2023Q1"), (1, "a", "x", "2023Q1"), (2, "a", "x", "2023Q1")], "primaryid long, drug_key string, pt string, source_quarter string")
-    tables.append_new(tables.new_rows(first, first.limit(0), tables.PAIR_KEY), path, partition="source_quarter")
+    tables.append_new(first, path, partition="source_quarter")
     tables.append_new(first, path, partition="source_quarter")
     more = frame([(2, "a", "x", "2023Q2"), (3, "b", "x", "2023Q2")], first.schema)
     tables.append_new(more, path, partition="source_quarter")
@@ -38,6 +38,7 @@ def test_versioned_table_can_replace_itself(spark, frame, tmp_path):
         tables.upsert_into(frame([("b", 5)], "k string, v int"), root, ["k"])
     assert rows(tables.read_current(spark, root)) == [("a", 1), ("b", 5)]
     assert rows(spark.read.parquet(old)) == [("a", 1), ("b", 1)]
+    assert tables.remove_old(spark, root, keep=1) == 2 and rows(tables.read_current(spark, root)) == [("a", 1), ("b", 5)]
 
 
 def test_decisions_are_checked_and_upper_cased(frame):
@@ -49,7 +50,9 @@ def test_decisions_are_checked_and_upper_cased(frame):
 
 
 def test_name_clip_and_nan(frame):
-    clipped = tables.clip_names(frame([("x" * 1200, "y" * 1200, "1")], "prod_ai string, canonical_name string, rxcui string")).first()
+    names = frame([("x" * 1200, "y" * 1200, "1")], "prod_ai string, canonical_name string, rxcui string")
+    assert len(tables.clip_names(names).first().prod_ai) == 1200
+    clipped = tables.clip_names(names, tables.PUBLISHED_NAME_CHARS).first()
     assert len(clipped.prod_ai) == len(clipped.canonical_name) == 1000
     cleaned = tables.null_nan(frame([(float("nan"), " ", 1), (1.5, "z", 2)], "d double, s string, n int"))
     assert rows(cleaned) == [(1.5, "z", 2), (None, None, 1)]

@@ -364,6 +364,7 @@ def calls(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
         F.col("event_id").alias("call_id"),
+        "ts",
         F.to_date("ts").alias("day"),
         F.when(F.col("event_type").isin("view", "click"), "query_generation")
         .otherwise("brief_generation").alias("task"),

@@ -70,13 +70,14 @@ def feed(s, p):
 def _(s, p):
     path = d.fresh_path(s, "files")
     demo = d.demo(s, p)
-    (
-        demo.withColumn("folder", F.col("source_quarter")).drop("source_quarter")
-        .write.partitionBy("folder").option("sep", "$").option("header", True)
-        .option("encoding", "ISO-8859-1").option("escape", '"').csv(path)
-    )
-    read = reports.with_period(reports.read_files(s, path))
-    return reports.select_periods(read, year=1997, quarters=[1, 3]).select(
+    first = F.col("source_quarter").endswith("1")
+    for rows, order in ((demo.where(first), demo.columns), (demo.where(~first), demo.columns[::-1])):  # two headers
+        (
+            rows.select(*order).withColumn("folder", F.col("source_quarter")).drop("source_quarter")
+            .write.mode("append").partitionBy("folder").option("sep", "$").option("header", True)
+            .option("encoding", "ISO-8859-1").option("escape", '"').csv(f"{path}/{'a' if order is demo.columns else 'b'}")
+        )
+    return reports.select_periods(reports.read_files(s, path), year=1997, quarters=[1, 3]).select(
         "primaryid", "caseid", "caseversion", "fda_dt", "source_quarter"
     )
 
@@ -214,12 +215,15 @@ def _(s, p):
     return tables.upsert(target, source, tables.SIGNAL_KEY)
 
 
-@query("upsert_name_map", """SELECT left(prod_ai, 6) AS prod_ai, left(canonical_name, 6) AS canonical_name,
-    max(rxcui) AS rxcui FROM raw_map GROUP BY 1, 2""")
+@query("upsert_name_map", """SELECT left(prod_ai, 8) AS prod_ai, left(canonical_name, 8) AS canonical_name, rxcui
+    FROM raw_map WHERE rxcui NOT LIKE '%5' UNION ALL SELECT left(prod_ai, 8), 'old', 'old' FROM raw_map WHERE rxcui LIKE '%5'""")
 def _(s, p):
-    raw = d.raw_name_map(s, p)
-    clipped = tables.clip_names(raw, 6)
-    return tables.upsert(clipped.limit(0), clipped, ["prod_ai"], ["rxcui"])
+    """Stored names, of which most are replaced by fresh ones and the rest stays as it was."""
+    fresh = tables.clip_names(d.raw_name_map(s, p), 8)
+    target = fresh.select("prod_ai", F.lit("old").alias("canonical_name"), F.lit("old").alias("rxcui"))
+    source = fresh.where(~F.col("rxcui").endswith("5"))
+    older = source.withColumn("rxcui", F.lit("A"))  # a second row of each key, lower in order
+    return tables.upsert(target, source.unionByName(older), ["prod_ai"], ["rxcui"])
 
 
 @query("decision_log_valid", f"SELECT drug_key, pt, decision, {MOMENT.format('decided_at')} FROM decisions")
@@ -329,10 +333,11 @@ def _(s, p):
     return dp.cell_counts(d.stored_pairs(s, p))
 
 
-@query("cell_counts_distinct", "SELECT * FROM cells")
+@query("cell_counts_distinct", """SELECT drug_key, pt, a, 2 * death_count AS death_count, 2 * hosp_count AS hosp_count,
+    2 * lt_count AS lt_count FROM cells""")
 def _(s, p):
-    doubled = d.stored_pairs(s, p).select("primaryid", "drug_key", "pt", "death_flag", "hosp_flag", "lt_flag")
-    return dp.cell_counts(doubled, unique=False)
+    once = d.stored_pairs(s, p).select("primaryid", "drug_key", "pt", "death_flag", "hosp_flag", "lt_flag")
+    return dp.cell_counts(once.unionAll(once), unique=False)
 
 
 @query("drug_totals", "SELECT * FROM by_drug")
@@ -865,7 +870,8 @@ def _(s, p):
 
 @query("query_term_coverage", """SELECT generator, count(*) AS n_signals, count(*) FILTER (hit) AS n_with_terms,
     count(*) FILTER (hit) >= count(*) * 0.7 AS ok FROM (
-      SELECT 'template' AS generator, contains(drug_key || pt, '1') OR true AS hit FROM signals UNION ALL
+      SELECT 'template' AS generator, contains(pt, 'nation_1') OR contains('mechanism pharmacology adverse reaction', 'pharmacology') AS hit
+     FROM signals UNION ALL
       SELECT 'naive', contains(drug_key || ' ' || pt || ' adverse safety', 'nation_1') FROM signals) GROUP BY 1""")
 def _(s, p):
     expected = F.array(F.lit("Pharmacology"), F.lit("NATION_1"))
@@ -1236,9 +1242,9 @@ def _(s, p):
 
 
 @query("running_spend", """SELECT call_id, CAST(spent AS DOUBLE) AS spent, spent > 0.04 AS over_budget FROM (
-    SELECT call_id, sum(cost) OVER (PARTITION BY day ORDER BY call_id) AS spent FROM costed)""")
+    SELECT call_id, sum(cost) OVER (PARTITION BY day ORDER BY ts, call_id) AS spent FROM costed)""")
 def _(s, p):
-    return ledger.running_spend(d.calls(s, p), "0.04", bucket_calls=500).select(
+    return ledger.running_spend(d.calls(s, p), "0.04", order=("ts", "call_id"), runs=20).select(
         "call_id", F.col("spent").cast("double").alias("spent"), "over_budget"
     )
 

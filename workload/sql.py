@@ -269,7 +269,7 @@ CTES: dict[str, str] = {
     "library": "SELECT doc_id, source AS group_key, text FROM documents",
     "lib_queries": """SELECT 'item-' || CAST(item_id AS VARCHAR) AS signal_id, query_no,
         'src' || CAST(item_id % 20 AS VARCHAR) AS group_key, text FROM items""",
-    "calls": """SELECT event_id AS call_id, CAST(ts AS DATE) AS day,
+    "calls": """SELECT event_id AS call_id, ts, CAST(ts AS DATE) AS day,
         CASE WHEN event_type IN ('view', 'click') THEN 'query_generation' ELSE 'brief_generation' END AS task,
         CAST(floor(value * 100) AS BIGINT) AS input_tokens, user_id AS output_tokens FROM events""",
     "costed": """SELECT *, CAST(CAST(input_tokens AS DECIMAL(18,8)) * 0.00000015
