@@ -748,6 +748,22 @@ def _(s, p):
     )
 
 
+@query("searched_additions", "SELECT signal_id, doc_id, fused_rank, round(rrf_score, 9) AS rrf_score, similarity, retriever FROM added_fused")
+def _(s, p):
+    """Half of the corpus is loaded; the other half is added as records, then searched by its text ids."""
+    whole = d.corpus(s, p).withColumn("pmid", F.col("doc_id").cast("string"))
+    records = whole.select(
+        "group_key", "pmid", F.concat(F.lit("Title "), "pmid").alias("title"), F.array("text").alias("abstract_parts"), F.lit("2023").alias("year")
+    )
+    added = corpus.new_documents(records, whole.where("doc_id % 2 = 0").select("group_key", "pmid"))
+    docs = added.join(whole.select("pmid", "embedding"), "pmid").withColumnRenamed("doc_key", "doc_id")
+    hits = retrieval.search(d.literature_queries(s, p), docs, min_similarity=0.2)
+    return retrieval.fuse(hits).select(
+        "signal_id", "doc_id", F.col("fused_rank").cast("long").alias("fused_rank"),
+        F.round("rrf_score", 9).alias("rrf_score"), "similarity", "retriever",
+    )
+
+
 LIT_SQL = f"""SELECT i.signal_id, coalesce(n, 0) AS n_hits, CASE WHEN coalesce(n, 0) = 0 THEN 0.0
       ELSE {rnd('coalesce(m, 0.65) * CAST(0.7 AS DOUBLE) + least(n / 5.0, 1.0) * CAST(0.3 AS DOUBLE)', 4)} END AS lit_score
     FROM item_signals i LEFT JOIN (SELECT signal_id, count(*) AS n, avg(CASE WHEN retriever = 'hnsw' THEN similarity END) AS m

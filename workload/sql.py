@@ -390,6 +390,17 @@ def bm25_ctes(prefix: str, docs: str, queries: str) -> dict[str, str]:
 
 
 CTES = {**CTES, **bm25_ctes("bm25_corpus", "corpus", "lit_queries"), **bm25_ctes("bm25_library", "library", "lib_queries")}
+# The same search over documents added by new_documents, whose ids are texts.
+CTES["added"] = """SELECT group_key || '_' || CAST(doc_id AS VARCHAR) AS doc_id, group_key,
+    'Title ' || CAST(doc_id AS VARCHAR) || ' ' || text AS text, embedding FROM corpus WHERE doc_id % 2 = 1"""
+CTES |= bm25_ctes("bm25_added", "added", "lit_queries")
+_RENAMED = {"corpus": "added", "bm25_corpus_scored": "bm25_added_scored"} | {
+    n: f"added_{n}" for n in ("dense_scored", "dense_hits", "sparse_hits", "hits", "grouped_hits", "fused")
+}
+for _name in ("dense_scored", "dense_hits", "sparse_hits", "hits", "grouped_hits", "fused"):
+    CTES[_RENAMED[_name]] = re.sub(
+        r"\b(FROM|JOIN)\s+(\w+)\b", lambda m: f"{m[1]} {_RENAMED.get(m[2], m[2])}", CTES[_name]
+    )
 _ORDER = list(CTES)
 
 
