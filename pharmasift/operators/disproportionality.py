@@ -95,7 +95,8 @@ def report_total(pairs: DataFrame) -> DataFrame:
 def ratio_table(
     cells: DataFrame, by_drug: DataFrame, by_reaction: DataFrame, total: DataFrame
 ) -> DataFrame:
-    """Cells A-D and the ratio; cells where the ratio is undefined are dropped."""
+    """Cells A-D and the ratio; cells where the ratio is undefined are dropped. Other columns of the cells stay."""
+    counts = ("drug_key", "pt", "a", "death_count", "hosp_count", "lt_count")
     joined = with_scalars(cells.join(by_drug, "drug_key").join(by_reaction, "pt"), total)
     counted = joined.select(
         "drug_key",
@@ -111,6 +112,7 @@ def ratio_table(
         "death_count",
         "hosp_count",
         "lt_count",
+        *(c for c in cells.columns if c not in counts),
     )
     exposed = F.col("a") / (F.col("a") + F.col("b"))
     unexposed = F.col("c") / (F.col("c") + F.col("d"))

@@ -47,24 +47,57 @@ def filter_periods(
 ) -> DataFrame:
     """Keep signals that are neither a one-period spike nor a late surge.
 
-    The spike rule does not apply to data of a single period and the surge rule not
-    to data without late periods. Both conditions come from a one-row aggregate of
-    the per-period counts, inside the same plan. `None` switches a rule off.
+    See `keep_even` for the rules. Only the rows of the signals' pairs are counted.
     """
+    own = pairs.join(signals.select("drug_key", "pt").distinct(), ["drug_key", "pt"], "left_semi")
+    kept = keep_even(period_shares(own, late_periods), pairs, spike_max, late_periods, late_max)
+    return signals.join(kept.select("drug_key", "pt"), ["drug_key", "pt"], "left_semi")
+
+
+def scope(pairs: DataFrame, late_periods: Sequence[str] = LATE_PERIODS) -> DataFrame:
+    """One row: how many periods the data has, and whether one of them is late. Reads the period only."""
+    periods = pairs.groupBy("source_quarter").agg(F.count(F.lit(1)).alias("_n"))
     is_late = F.coalesce(F.col("source_quarter").isin(list(late_periods)), F.lit(False))
-    scope = period_counts(pairs).agg(
-        (
-            F.countDistinct("source_quarter")
-            + F.coalesce(F.max(F.col("source_quarter").isNull().cast("int")), F.lit(0))
-        ).alias("n_periods"),
-        F.coalesce(F.max(is_late), F.lit(False)).alias("any_late"),
+    return periods.agg(
+        F.count(F.lit(1)).alias("n_periods"), F.coalesce(F.max(is_late), F.lit(False)).alias("any_late")
     )
-    judged = with_scalars(period_shares(pairs, late_periods), scope)
+
+
+def keep_even(
+    shares: DataFrame,
+    pairs: DataFrame,
+    spike_max: float | None = SPIKE_MAX_SHARE,
+    late_periods: Sequence[str] = LATE_PERIODS,
+    late_max: float | None = LATE_MAX_SHARE,
+) -> DataFrame:
+    """Rows with spike_share and late_share that pass the period rules.
+
+    The spike rule does not apply to data of a single period and the surge rule not
+    to data without late periods. `None` switches a rule off.
+    """
+    judged = with_scalars(shares, scope(pairs, late_periods))
     keep = F.lit(True)
     if spike_max is not None:
         keep = keep & ((F.col("n_periods") <= 1) | (F.col("spike_share") <= spike_max))
     if late_max is not None:
         keep = keep & (~F.col("any_late") | (F.col("late_share") <= late_max))
-    return signals.join(
-        judged.filter(keep).select("drug_key", "pt"), ["drug_key", "pt"], "left_semi"
+    return judged.filter(keep).select(*shares.columns)
+
+
+def cells_with_shares(pairs: DataFrame, late_periods: Sequence[str] = LATE_PERIODS) -> DataFrame:
+    """Cell counts and period shares of unique pairs, from one scan and one shuffle of partial counts."""
+    is_late = F.coalesce(F.col("source_quarter").isin(list(late_periods)), F.lit(False))
+    flags = {"death_count": "death_flag", "hosp_count": "hosp_flag", "lt_count": "lt_flag"}
+    by_period = pairs.groupBy("drug_key", "pt", "source_quarter").agg(
+        F.count("primaryid").alias("a"), F.count(F.lit(1)).alias("_rows"),
+        *(F.sum(flag).alias(name) for name, flag in flags.items()),
+    )
+    cells = by_period.groupBy("drug_key", "pt").agg(
+        F.sum("a").alias("a"), *(F.sum(name).alias(name) for name in flags),
+        F.max("_rows").alias("_max"), F.sum("_rows").alias("_all"),
+        F.coalesce(F.sum(F.when(is_late, F.col("_rows"))), F.lit(0)).alias("_late"),
+    )
+    return cells.select(
+        "drug_key", "pt", "a", *flags,
+        (F.col("_max") / F.col("_all")).alias("spike_share"), (F.col("_late") / F.col("_all")).alias("late_share"),
     )

@@ -22,7 +22,16 @@ def flag(
     late_max: float | None = temporal.LATE_MAX_SHARE,
     unique: bool = True,
 ) -> DataFrame:
-    """Flagged signals of a stored pairs table."""
+    """Flagged signals of a stored pairs table.
+
+    Of unique pairs, counts and period shares come from the same pass, and the period rules
+    are a filter of the candidates.
+    """
+    if unique:
+        marginals = dp.drug_totals(pairs), dp.reaction_totals(pairs), dp.report_total(pairs)
+        table = dp.ratio_table(temporal.cells_with_shares(pairs, late_periods), *marginals)
+        kept = temporal.keep_even(dp.threshold(table, limits, junk), pairs, spike_max, late_periods, late_max)
+        return dp.signal_table(kept)
     cells = dp.threshold(dp.contingency(pairs, unique), limits, junk)
     kept = temporal.filter_periods(cells, pairs, spike_max, late_periods, late_max)
     return dp.signal_table(kept)
