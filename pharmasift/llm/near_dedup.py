@@ -368,7 +368,8 @@ def near_duplicates(
     buckets = member.where(F.col("id").eqNullSafe(F.col("rep")) & F.col("node").isNotNull()).select(F.explode("bands").alias("key"), "node")
     groups = links(docs, classes, buckets, words, similarity, id, text, block)
     rooted = classes.select("node", "rep").join(groups, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    # stored, so that the join below stands alone in its stage and a large component's rows can be split
+    smallest = stored(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "smallest")
     named = stored(rooted.join(smallest, "root").select("node", "component_id"), "components")
     marked = member.select("id", "n_shingles", "node").join(named, "node", "left").select(
         "id", "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
