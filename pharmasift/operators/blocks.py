@@ -74,7 +74,7 @@ def blocked_topk(
     """Ranked top-k rows (signal_id, query_no, doc_id, score, rank).
 
     `grid` comes from `block_grid` and holds one short row per group that has a
-    query; `bound` is the size of the queries in bytes, which the grid cannot exceed.
+    query; `bound` is the counted size of these rows in bytes.
     """
     q = _place(queries, grid, group, ["signal_id", "query_no"], "q", "i", bound)
     i = _place(items, grid, group, ["doc_id"], "i", "q", bound)

@@ -31,8 +31,7 @@ def lead_times(
     golden: DataFrame, pairs: DataFrame, signals: DataFrame, min_prr: float, min_cases: int
 ) -> DataFrame:
     """Days from the first report to the notice, and whether the pair is flagged."""
-    seen = first_seen(pairs.join(F.broadcast(distinct_keys(golden, KEY)), KEY, "left_semi")
-                      if _small(golden) else pairs)
+    seen = first_seen(pairs.join(distinct_keys(golden, KEY), KEY, "left_semi"))
     flagged = distinct_keys(meets(signals, min_prr, min_cases), KEY).withColumn(
         "_flagged", F.lit(True)
     )
@@ -48,12 +47,6 @@ def lead_times(
     )
 
 
-def _small(df: DataFrame) -> bool:
-    from pharmasift.operators.joins import BROADCAST_LIMIT, estimated_bytes
-
-    return estimated_bytes(df) <= BROADCAST_LIMIT
-
-
 def with_lead_class(leads: DataFrame) -> DataFrame:
     return leads.withColumn(
         "lead_class", scores.lead_class(F.col("lead_time_days"), F.col("flagged"))

@@ -13,6 +13,28 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: What an estimate is multiplied by: files are compressed, and texts count as 20 bytes in it.
+EXPANSION = 8
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes that the rows take in memory, counted by running the plan: for small look-ups only."""
+    sizes = [
+        F.coalesce(F.octet_length(c), F.lit(0)) + 16 if kind in ("string", "binary") else F.lit(16) for c, kind in df.dtypes
+    ]
+    row = F.lit(32)
+    for size in sizes:
+        row = row + size
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
+def trusted_bytes(df: DataFrame) -> int | None:
+    """A cautious size without running anything; None if the plan multiplies rows, which no estimate sees."""
+    if "Generate " in df._jdf.queryExecution().optimizedPlan().toString():
+        return None
+    return estimated_bytes(df) * EXPANSION
+
+
 def attach(
     facts: DataFrame,
     lookup: DataFrame,
@@ -25,15 +47,14 @@ def attach(
     """Join a large side to a look-up side that is unique on `on`.
 
     The look-up is broadcast only while its size stays under `limit`. The size is
-    Catalyst's estimate or, when smaller, `bound`: an upper limit the caller can
-    prove, such as the size of the table the look-up is an aggregate of, where
-    estimates multiply over joins and become useless. Beyond the limit both sides are shuffled on the key plus a salt: fact rows of a hot
+    `bound`, which the caller has measured, or else a cautious multiple of Catalyst's
+    estimate. Beyond the limit both sides are shuffled on the key plus a salt: fact rows of a hot
     key spread over `salts` tasks and the look-up is repeated once per salt. Fact
     rows with the same content may share a salt; no row is lost or doubled because
     every salt meets exactly one copy of the look-up row.
     """
-    size = estimated_bytes(lookup)
-    if min(size, size if bound is None else bound) <= limit:
+    size = trusted_bytes(lookup) if bound is None else bound
+    if size is not None and size <= limit:
         return facts.join(F.broadcast(lookup), on, how)
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -17,7 +17,7 @@ from pharmasift.functions import scores
 from pharmasift.functions.rounding import half_even
 from pharmasift.functions.text import fixed, tokens
 from pharmasift.operators.blocks import best_of_row, block_grid, blocked_topk
-from pharmasift.operators.joins import attach, estimated_bytes, spread_small, with_scalars
+from pharmasift.operators.joins import attach, measured_bytes, spread_small, with_scalars
 
 # List length, similarity floor, score floor, fusion constant,
 # hits kept per signal and the published default BM25 parameters.
@@ -77,7 +77,7 @@ def dense_topk(
     )
     d = docs.filter(F.col("embedding").isNotNull()).select("doc_id", group, "embedding")
     grid = block_grid(q, d, group, *DENSE_BLOCK)
-    ranked = blocked_topk(q, d, grid, group, score_block, k, estimated_bytes(queries))
+    ranked = blocked_topk(q, d, grid, group, score_block, k, _groups_bytes(queries, group))
     return ranked.select(
         "signal_id",
         "query_no",
@@ -198,6 +198,11 @@ def query_terms(queries: DataFrame, group: str = "group_key") -> DataFrame:
     )
 
 
+def _groups_bytes(queries: DataFrame, group: str) -> int:
+    """Size of a table with a few numbers per group of the queries, counted."""
+    return 2 * measured_bytes(queries.select(group).distinct())
+
+
 def asked_postings(
     source: DataFrame | Index, queries: DataFrame, group: str = "group_key", k1: float = K1, b: float = B
 ) -> DataFrame:
@@ -208,7 +213,7 @@ def asked_postings(
     shuffle, so what moves is a small part of the corpus.
     """
     asked = queries.select(group, "term").distinct()
-    bound = estimated_bytes(queries)  # distinct rows of it cannot be larger
+    bound = measured_bytes(asked)
     if isinstance(source, Index):
         counted, stats = attach(source.postings, asked, [group, "term"], "inner", bound=bound), source.stats
     else:
@@ -268,7 +273,7 @@ def bm25_topk(
     q, items = weighted_terms(source, words), asked_postings(source, words, group)
     docs = source.postings.select(group, "doc_id").distinct() if isinstance(source, Index) else source
     grid = block_grid(queries, docs, group, *SPARSE_BLOCK)
-    ranked = blocked_topk(q, items, grid, group, score_block, k, estimated_bytes(queries))
+    ranked = blocked_topk(q, items, grid, group, score_block, k, _groups_bytes(queries, group))
     similarity = F.least(F.col("score") / 10.0, F.lit(1.0))
     return ranked.select(
         "signal_id",

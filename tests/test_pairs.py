@@ -1,8 +1,10 @@
 import random
 from itertools import product
 
+from pyspark.sql import functions as F
+
 from pharmasift.operators import cases, naming, pairs
-from pharmasift.operators.joins import attach, estimated_bytes
+from pharmasift.operators.joins import attach, estimated_bytes, measured_bytes, trusted_bytes
 from tests.conftest import rows
 
 DEMO = "primaryid long, caseid long, caseversion int, fda_dt string, source_quarter string"
@@ -108,6 +110,11 @@ def test_salted_look_up_equals_broadcast(frame, spark):
     assert 0 < estimated_bytes(lookup) < 10_000
     for how in ("left", "inner"):
         assert rows(attach(facts, lookup, ["k"], how, limit=0, salts=4)) == rows(attach(facts, lookup, ["k"], how))
+    exploded = lookup.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(1))))
+    assert trusted_bytes(exploded) is None  # no estimate sees what an explode makes
+    salted = attach(facts, exploded, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in salted and "_salt" in salted
+    assert measured_bytes(lookup) >= 32 * lookup.count()
     assert "BroadcastHashJoin" in attach(facts, lookup, ["k"])._jdf.queryExecution().executedPlan().toString()
 
 
