@@ -16,7 +16,7 @@ from typing import Any
 #: Bytes of text looked at together: missing words are encoded in one batch.
 GROUP_BYTES = 512 * 1024
 #: Words remembered at once; the memory is emptied beyond it, which changes no result.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 500_000
 
 _LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
 #: Letters (ASCII and Latin-1), then ASCII symbols other than the apostrophe, up to the end.
@@ -59,8 +59,8 @@ def slices(text: bytes, limit: int = GROUP_BYTES) -> Iterator[bytes]:
     yield text[at:]
 
 
-class Words(dict):
-    """What `keep` makes of the ids of each piece."""
+class Words:
+    """What `keep` makes of the ids of each piece; `known` remembers it."""
 
     def __init__(self, path: str, pieces: Callable, keep: Callable[[list[int]], Any], add: Callable):
         import os
@@ -75,8 +75,18 @@ class Words(dict):
         self.pieces, self.keep, self.add = pieces, keep, add
         self.lower = pieces is bare_pieces
         self.letters = byte_letters()
+        self.known: dict[bytes, Any] = {}
+
+    def spelled(self, word: bytes) -> str:
+        """The word in the letters of the vocabulary; ASCII letters stand for themselves."""
+        if self.lower:
+            word = word.lower() if word.isascii() else word.decode().lower().encode()
+        if word.isascii():
+            return word.decode().replace(" ", self.letters[0x20])
+        return "".join(map(self.letters.__getitem__, word))
 
     def learn(self, new: set[bytes]) -> None:
+        known, keep, tokenize = self.known, self.keep, self.model.tokenize
         other = []
         for piece in new:
             plain = _PLAIN.fullmatch(piece)
@@ -84,27 +94,25 @@ class Words(dict):
                 other.append(piece)
                 continue
             word, tail = plain.groups()
-            known = self.get(word)
-            if known is None:
-                shown = word.decode().lower().encode() if self.lower else word
-                ids = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, shown)))]
-                known = self[word] = self.keep(ids)
+            value = known.get(word)
+            if value is None:
+                value = known[word] = keep([t.id for t in tokenize(self.spelled(word))])
             if tail:
-                if tail not in self:
-                    self[tail] = self.keep(self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids)
-                self[piece] = self.add([known, self[tail]])
+                if tail not in known:
+                    known[tail] = keep(self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids)
+                known[piece] = self.add([value, known[tail]])
         if other:
             texts = [piece.decode() for piece in other]
             for piece, e in zip(other, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                self[piece] = self.keep(e.ids)
+                known[piece] = keep(e.ids)
 
     def encode(self, texts: list[bytes]) -> list[Any]:
         """For each text the joined values of its pieces."""
-        if len(self) > MEMORY_WORDS:
-            self.clear()
+        if len(self.known) > MEMORY_WORDS:
+            self.known.clear()
         cut = [self.pieces(text) for text in texts]
-        self.learn(set().union(*cut).difference(self))
-        return [self.add(map(self.__getitem__, pieces)) for pieces in cut]
+        self.learn(set().union(*cut).difference(self.known))
+        return [self.add(map(self.known.__getitem__, pieces)) for pieces in cut]
 
 
 def grouped(texts: Iterator[tuple[Any, bytes]], limit: int = GROUP_BYTES) -> Iterator[list[tuple[Any, bytes]]]:
