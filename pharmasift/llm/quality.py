@@ -11,6 +11,7 @@ documents labelled toxic; that list is learned from a bounded sample of labelled
 
 from __future__ import annotations
 
+import itertools
 import math
 import operator
 import re
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pharmasift.llm.common import need
+from pharmasift.llm.common import need, small, stored
 
 #: Labelled rows the toxic word list is learned from, and rows the scorer is trained on, in expectation.
 LABELLED_ROWS = 20_000
@@ -67,10 +68,34 @@ def starts(words, size: int | None):
     return words if size is None else [w[:size] for w in words if len(w) >= size]
 
 
-def spoken(text: str) -> list[str]:
-    """Lower-case words; a word repeated on the spot counts once, as that says nothing new."""
+def spoken(text: str) -> tuple[list[str], int]:
+    """Lower-case words, and how many repeat the word before them.
+
+    A word repeated on the spot stays only once, as that says nothing new.
+    """
     words = _WORD.findall(text.lower())
-    return [w for w, before in zip(words, ["", *words]) if w != before]
+    echoes = sum(map(operator.eq, words, itertools.islice(words, 1, None)))
+    if echoes:
+        words = [w for w, before in zip(words, ["", *words]) if w != before]
+    return words, echoes
+
+
+class Words:
+    """The words of a text, read whole and by their first letters; counted only where needed."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.n = words, len(words)
+        self.known = set(words)
+        self.starts = Counter([w[:5] for w in words])
+
+    def counts(self, terms, size: int | None) -> dict[str, int]:
+        """How often each of the terms occurs."""
+        if size == 5:
+            return {t: self.starts[t] for t in terms if t in self.starts}
+        if size is None:
+            return {t: self.words.count(t) for t in terms if t in self.known}
+        hits = terms & {w[:size] for w in self.known}
+        return Counter(w[:size] for w in self.words if w[:size] in hits) if hits else {}
 
 
 @dataclass
@@ -80,22 +105,20 @@ class Terms:
     weights: list[dict[str, float]] = field(default_factory=lambda: [{} for _ in TERM_SIZES])
     excess: list[float] = field(default_factory=lambda: [0.0 for _ in TERM_SIZES])
 
-    def evidence(self, words: list[str], k: int) -> float:
+    def evidence(self, words: Words, k: int) -> float:
         """Log-likelihood ratio of the listed terms as independent rare events."""
         weights = self.weights[k]
-        read = starts(words, TERM_SIZES[k])
-        hits = weights.keys() & set(read)
-        if not hits:
-            return -len(words) * self.excess[k]
-        return sum(weights[w] for w in read if w in hits) - len(words) * self.excess[k]
+        found = words.counts(weights.keys(), TERM_SIZES[k])
+        return sum(weights[t] * n for t, n in found.items()) - words.n * self.excess[k]
 
 
-def votes(text: str, terms: Terms) -> tuple[list[int], list[str]]:
-    """1 for a defect, 0 against it, -1 for no opinion, per labeller; and the lower-case words."""
+def votes(text: str, terms: Terms) -> tuple[list[int], Words]:
+    """1 for a defect, 0 against it, -1 for no opinion, per labeller; and the words."""
     b = text.encode("utf-8", "surrogatepass")
     tokens = b.split()
     n = len(tokens)
-    words = spoken(text)
+    spoken_words, echoes = spoken(text)
+    words = Words(spoken_words)
     letters, upper = count_of(b, _LETTERS), count_of(b, _UPPER)
     visible, symbols = len(b) - count_of(b, _SPACES), count_of(b, _SYMBOLS)
     bars = b.count(b"|")
@@ -115,12 +138,13 @@ def votes(text: str, terms: Terms) -> tuple[list[int], list[str]]:
     say("barred_lines", n >= 4, bars > 0 and sum(b"|" in x for x in lines) >= 0.3 * len(lines))
     say("bar_pairs", n >= 4, b.count(b" | ") >= 0.08 * n)
     say("few_words", n >= 40, len(set(tokens)) <= 0.4 * n)
-    say("echoes", n >= 10, sum(map(operator.eq, tokens, tokens[1:])) >= 0.3 * n)
+    say("echoes", n >= 10, echoes >= 0.3 * n)
     say("compressible", len(b) >= 300, len(zlib.compress(b, 1)) <= 0.3 * len(b))
     sentences = [s for x in _SENTENCE.split(b) if (s := x.strip())]
     say("same_sentences", len(sentences) >= 4, len(set(sentences)) <= 0.5 * len(sentences))
     for k, name in enumerate(FAMILIES["toxic"]):
-        say(name, bool(words) and bool(terms.weights[k]), bool(words) and terms.evidence(words, k) >= TOXIC_EVIDENCE)
+        able = bool(words.n and terms.weights[k])
+        say(name, able, able and terms.evidence(words, k) >= TOXIC_EVIDENCE)
     return [out[name] for name in LABELLERS], words
 
 
@@ -137,15 +161,28 @@ def learn_terms(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: st
     """
     need(labels, id, "toxic")
     known = labels.where(F.col(id).isNotNull() & F.col("toxic").isNotNull()).groupBy(id).agg(F.max("toxic").alias("_toxic"))
-    chosen = known.where(_share(F.xxhash64(id), rows, labels.count())).select(F.col(id).alias("_id"), "_toxic")
+    chosen = stored(known.where(_share(F.xxhash64(id), rows, labels.count())).select(F.col(id).alias("_id"), "_toxic"), "labelled")
+    chosen = F.broadcast(chosen) if small(chosen) else chosen
     picked = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).where("_text IS NOT NULL").join(chosen, "_id")
     texts = picked.dropDuplicates(["_text"]).select("_text", F.col("_toxic").cast("int").alias("_toxic"))
 
+    def rows_of(found, totals):
+        rows = [(k, t, *x) for (k, t), x in found.items()]
+        rows.append((-1, "", totals[0], totals[1], totals["docs", 1]))
+        found.clear()
+        totals.clear()
+        for at in range(0, len(rows), 10_000):
+            k, t, a, b, c = zip(*rows[at : at + 10_000])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(k, pa.int32()), pa.array(t), *(pa.array(x, pa.int64()) for x in (a, b, c))],
+                names=["k", "term", "other", "toxic", "docs"],
+            )
+
     def count(batches):
         totals, found = Counter(), {}
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                words = spoken(text.as_py())
+                words, _ = spoken(text.as_py())
                 totals[toxic] += len(words)
                 totals["docs", toxic] += 1
                 for k, size in enumerate(TERM_SIZES):
@@ -153,18 +190,14 @@ def learn_terms(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: st
                         entry = found.setdefault((k, term), [0, 0, 0])
                         entry[toxic] += n
                         entry[2] += toxic
-        rows = [(k, t, *x) for (k, t), x in found.items()]
-        rows.append((-1, "", totals[0], totals[1], totals["docs", 1]))
-        for at in range(0, len(rows), 50_000):
-            k, t, a, b, c = zip(*rows[at : at + 50_000])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k, pa.int32()), pa.array(t), *(pa.array(x, pa.int64()) for x in (a, b, c))],
-                names=["k", "term", "other", "toxic", "docs"],
-            )
+                if len(found) > 50_000:  # Spark adds up what a task returns in parts
+                    yield from rows_of(found, totals)
+        yield from rows_of(found, totals)
 
-    summed = texts.mapInArrow(count, "k int, term string, other long, toxic long, docs long").groupBy("k", "term").agg(
+    counted = texts.mapInArrow(count, "k int, term string, other long, toxic long, docs long").groupBy("k", "term").agg(
         *(F.sum(c).alias(c) for c in ("other", "toxic", "docs"))
     )
+    summed = stored(counted.where(f"k < 0 OR docs >= {TERM_DOCS}"), "terms")
     total = summed.where("k = -1").first()
     terms = Terms()
     if total is None or not total["toxic"] or not total["other"]:
@@ -240,16 +273,22 @@ def fit_labels(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> LabelM
     return LabelModel(prior, hit, alarm)
 
 
-def features(vote: list[int], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+class Hashed(dict):
+    """Feature number of each text asked for; emptied when it has grown large."""
+
+    def __missing__(self, key: str) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        at = self[key] = zlib.crc32(key.encode("utf-8", "surrogatepass")) % FEATURES
+        return at
+
+
+def features(vote: list[int], words: Words, hashed: Hashed) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features: each vote, and the share of each word beginning."""
-    keys = [f"vote {name} {v}".encode() for name, v in zip(LABELLERS, vote) if v >= 0]
-    values = [1.0] * len(keys)
-    if words:
-        for start, n in Counter(w[:5] for w in words).items():
-            keys.append(start.encode("utf-8", "surrogatepass"))
-            values.append(n / len(words))
-    at = np.fromiter((zlib.crc32(k) % FEATURES for k in keys), np.int64, len(keys))
-    return at, np.array(values)
+    said = [hashed[f"vote {name} {v}"] for name, v in zip(LABELLERS, vote) if v >= 0]
+    at = np.array([*said, *map(hashed.__getitem__, words.starts)], np.int64)
+    shares = np.fromiter(words.starts.values(), float, len(words.starts)) / max(1, words.n)
+    return at, np.concatenate([np.ones(len(said)), shares])
 
 
 def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 300, rate: float = 0.5, ridge: float = 1e-4) -> np.ndarray:
@@ -281,10 +320,11 @@ class Classifier:
     terms: Terms
     labels: LabelModel
     weights: np.ndarray
+    hashed: Hashed = field(default_factory=Hashed)
 
     def score(self, text: str) -> float:
         vote, words = votes(text, self.terms)
-        at, values = features(vote, words)
+        at, values = features(vote, words, self.hashed)
         z = float(self.weights[at] @ values) + self.weights[-1]
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
@@ -308,20 +348,32 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     patterns = {tuple(b - 1 for b in r["votes"]): r["n"] for r in counted}
     model = fit_labels(patterns)
 
+    kinds = pa.schema([("at", pa.list_(pa.int64())), ("x", pa.list_(pa.float64())), ("y", pa.float64())])
+
     def featured(batches):
+        hashed = Hashed()
         for batch in batches:
             rows = []
             for t in batch.column(0):
                 v, words = votes(t.as_py(), terms)
-                at, values = features(v, words)
+                at, values = features(v, words, hashed)
                 rows.append({"at": at, "x": values, "y": model.posterior(v)})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("at", pa.list_(pa.int64())), ("x", pa.list_(pa.float64())), ("y", pa.float64())]))
-
-    sample = texts.where(_share(F.xxhash64("_text"), train_rows, sum(patterns.values())))
-    rows = sample.mapInArrow(featured, "at array<long>, x array<double>, y double").toArrow().to_pydict()
-    order = sorted(range(len(rows["y"])), key=lambda i: (rows["y"][i], rows["at"][i], rows["x"][i]))  # no matter which task came first
-    weights = fit_scorer([(np.array(rows["at"][i], np.int64), np.array(rows["x"][i])) for i in order], np.array([rows["y"][i] for i in order]))
-    return Classifier(terms, model, weights)
+                if len(rows) == 200:
+                    yield pa.RecordBatch.from_pylist(rows, kinds)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, kinds)
+
+    # equal texts fall together, so each is taken once: a copied document cannot swell the sample
+    sample = texts.where(_share(F.xxhash64("_text"), train_rows, sum(patterns.values()))).dropDuplicates(["_text"])
+    got = sample.mapInArrow(featured, "at array<long>, x array<double>, y double").toArrow()
+    y = got.column("y").to_numpy()
+    at, x = (got.column(c).combine_chunks() for c in ("at", "x"))
+    ends = np.concatenate([[0], np.cumsum(at.value_lengths().to_numpy())]) if len(y) else np.zeros(1, int)
+    at, x = at.flatten().to_numpy(), x.flatten().to_numpy()
+    rows = [(at[a:b], x[a:b]) for a, b in zip(ends, ends[1:])]
+    order = sorted(range(len(y)), key=lambda i: (y[i], rows[i][0].tobytes(), rows[i][1].tobytes()))  # no matter which task came first
+    return Classifier(terms, model, fit_scorer([rows[i] for i in order], y[order]))
 
 
 def score(docs: DataFrame, model: Classifier, text: str = "text", name: str = "reject_score") -> DataFrame:
