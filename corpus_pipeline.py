@@ -26,19 +26,27 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.drop_duplicates(docs)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a stored row number `_row`: ids may be null or repeated, and each row is decided by itself."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each group linked by 80 % of their five-word shingles.
+    """One row of each group linked by 80 % of their five-word shingles.
 
-    Rows that share an id stay or go together.
+    The smallest id stays, a null id comes last; of rows that share it, the first.
     """
-    marks = near_dedup.near_duplicates(docs)
-    return without(docs, stored(marks.where(~F.col("kept")).select("doc_id"), "dropped"), "doc_id")
+    rows = numbered(docs)
+    keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("key"), "text")
+    marks = near_dedup.near_duplicates(keyed, id="key")
+    return without(rows, stored(marks.where(~F.col("kept")).select("key._row"), "dropped"), "_row").drop("_row")
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    found = contamination.contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, stored(found.select("doc_id"), "contaminated"), "doc_id")
+    """Rows that contain no benchmark item."""
+    rows = numbered(docs)
+    found = contamination.contained(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id="_row")
+    return without(rows, stored(found.select("_row"), "contaminated"), "_row").drop("_row")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

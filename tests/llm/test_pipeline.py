@@ -73,3 +73,27 @@ def test_odd_documents_go_through(spark):
             step = common.stored(stage(spark, step, DIR), name)
         assert step.columns[:2] == ["doc_id", "piece"]
         assert step.isEmpty() == table.isEmpty()
+
+
+def test_rows_are_decided_one_by_one(spark):
+    schema = spark.read.parquet(f"{DIR}/documents.parquet").schema
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").first().text
+
+    def text(n, *last):
+        return " ".join([*(f"w{n}x{i}" for i in range(60)), *last])
+
+    def left(stage, rows):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+        return sorted(pairs(stage(spark, docs, DIR)), key=str)
+
+    clean = [(None, text(1)), (7, text(2))]
+    # near copies of a document with an id, of each other under one id, and of each other without ids
+    kept = [(3, text(3)), (4, text(4, "a")), (5, text(6)), (5, text(7))]
+    gone = [(None, text(3, "a")), (7, text(3, "b")), (5, text(6, "a"))]
+    got = left(corpus_pipeline.near_copies, [*clean, *kept, *gone, (4, text(4, "b")), (None, text(8, "a")), (None, text(8, "b"))])
+    one_of = [{(5, text(6)), (5, text(6, "a"))}, {(4, text(4, "a")), (4, text(4, "b"))}, {(None, text(8, "a")), (None, text(8, "b"))}]
+    assert all(len(group & set(got)) == 1 for group in one_of)
+    sure = {*clean, (3, text(3)), (5, text(7))}
+    assert len(got) == len(sure) + len(one_of) and sure <= set(got)
+    dirty = [(None, f"{text(1)} {item}"), (7, f"{item} {text(2)}")]
+    assert left(corpus_pipeline.clean_of_benchmark, [*clean, *dirty]) == sorted(clean, key=str)
