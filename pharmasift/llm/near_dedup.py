@@ -29,6 +29,8 @@ BANDS, ROWS = 32, 6
 #: Shingles in a block of sets that are compared with another block: few at first, so that a star
 #: is spread over up to BLOCKS blocks a side, then more, up to what a task holds easily.
 BLOCK, BLOCKS, LARGE_BLOCK = 64_000, 64, 1_000_000
+#: Sets a side that are compared at once within two blocks: short sets make a block of many.
+SIDE = 2_048
 
 _U = np.uint64
 
@@ -266,13 +268,44 @@ def _within(stars: DataFrame, groups: DataFrame, sizes: DataFrame, sets: DataFra
     return cells.groupBy("star", "row", "column").applyInArrow(compare, "a long, b long")
 
 
-def linked_blocks(values, offsets, roots, left, right, similarity):
-    """Indices of one pair of similar enough sets for every two roots that have such a pair."""
+def linked_blocks(values, offsets, roots, left, right, similarity, side: int = SIDE):
+    """Indices of one pair of similar enough sets for every two roots that have such a pair.
+
+    Tables of pairs are made for `side` sets a side at a time, however many sets there are.
+    """
+    left, right = (
+        some[may_link(values, offsets, roots, some, others, similarity)] for some, others in ((left, right), (right, left))
+    )
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for i in range(0, len(left), side):
+        for j in range(0, len(right), side):
+            found = _linked_slices(values, offsets, roots, left[i : i + side], right[j : j + side], similarity)
+            if len(found[0]):
+                a, b = np.concatenate([a, found[0]]), np.concatenate([b, found[1]])
+                _, first = np.unique(np.stack([roots[a], roots[b]]), axis=1, return_index=True)
+                a, b = a[first], b[first]
+    return a, b
+
+
+def may_link(values, offsets, roots, some, others, similarity) -> np.ndarray:
+    """Whether enough shingles of each set of `some` occur in `others` under another root; the rest are linked with none."""
+    if not len(some) or not len(others):
+        return np.zeros(len(some), bool)
+    row, value = entries(values, offsets, some)
+    row_o, value_o = entries(values, offsets, others)
+    order = np.argsort(value_o, kind="stable")
+    value_o, root_o = value_o[order], roots[others[row_o[order]]]
+    start = np.flatnonzero(np.r_[True, value_o[1:] != value_o[:-1]])
+    words, low, high = value_o[start], np.minimum.reduceat(root_o, start), np.maximum.reduceat(root_o, start)
+    at = np.minimum(np.searchsorted(words, value), len(words) - 1)
+    own = roots[some[row]]
+    met = (words[at] == value) & ((low[at] != own) | (high[at] != own))
+    return 100 * np.bincount(row[met], minlength=len(some)) >= similarity * np.diff(offsets)[some]
+
+
+def _linked_slices(values, offsets, roots, left, right, similarity):
     none = np.zeros(0, np.int64)
-    if not len(left) or not len(right):
-        return none, none
     size = np.diff(offsets)
-    p, q = len(left), len(right)
     la, lb = size[left][:, None], size[right][None, :]
     able = (roots[left][:, None] != roots[right][None, :]) & (100 * np.minimum(la, lb) >= similarity * np.maximum(la, lb))
     keep_l, keep_r = able.any(1), able.any(0)
@@ -286,19 +319,21 @@ def linked_blocks(values, offsets, roots, left, right, similarity):
     return left[i[first]], right[j[first]]
 
 
+def entries(values, offsets, some):
+    """The place in `some` and the shingle, for each shingle of these sets."""
+    length = offsets[some + 1] - offsets[some]
+    row = np.repeat(np.arange(len(some)), length)
+    at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(offsets[some], length)
+    return row, values[at]
+
+
 def shared_counts(values, offsets, left, right, width: int = 4096) -> np.ndarray:
     """Sizes of the intersections of each left set with each right set.
 
     Shingles that many sets have are counted by matrix products, the others pair by pair.
     """
-    def entries(some):
-        length = offsets[some + 1] - offsets[some]
-        row = np.repeat(np.arange(len(some)), length)
-        at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(offsets[some], length)
-        return row, values[at]
-
-    row_l, value_l = entries(left)
-    row_r, value_r = entries(right)
+    row_l, value_l = entries(values, offsets, left)
+    row_r, value_r = entries(values, offsets, right)
     words, column_l = np.unique(value_l, return_inverse=True)
     column_r = np.minimum(np.searchsorted(words, value_r), len(words) - 1)
     met = words[column_r] == value_r

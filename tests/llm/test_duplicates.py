@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -180,3 +181,33 @@ def test_counts_of_shared_shingles():
     left, right = np.arange(0, 20), np.arange(13, 42)
     counts = near_dedup.shared_counts(np.concatenate(sets), offsets, left, right, width=16)
     assert counts.tolist() == [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
+
+
+def blocks_of(sets):
+    return np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+
+
+@pytest.mark.parametrize("side", [1, 3, 2048])
+def test_linked_blocks_find_every_two_linked_components(side):
+    draw = np.random.RandomState(2)
+    base = [draw.choice(60, 12, replace=False) for _ in range(6)]
+    sets = [np.unique(np.r_[draw.permutation(base[i % 6])[: draw.randint(10, 13)], draw.randint(60, 70, i % 2)]) for i in range(60)]
+    roots = draw.randint(0, 25, 60)
+    left, right = np.arange(0, 35), np.arange(20, 60)
+    a, b = near_dedup.linked_blocks(*blocks_of(sets), roots, left, right, 80, side)
+    alike = {(i, j) for i in left for j in right if roots[i] != roots[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert alike and set(zip(a, b)) <= alike
+    assert sorted(zip(roots[a], roots[b])) == sorted({(roots[i], roots[j]) for i, j in alike})
+
+
+def test_blocks_of_many_short_sets_take_little_memory():
+    one = [np.array([0, i]) for i in range(1, 30_001)]  # like 'thank you X'
+    two = [np.array([0, i, j]) for i in range(1, 101) for j in range(101, 201)]
+    for sets, links in ((one, 0), ([*two, np.array([0, 1, 101, 102, 103]), np.array([0, 1, 101, 102])], 1)):
+        every = np.arange(len(sets))
+        tracemalloc.start()
+        a, b = near_dedup.linked_blocks(*blocks_of(sets), every, every, every, 80)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert {*zip(a, b)} == ({(10_000, 10_001), (10_001, 10_000)} if links else set())
+        assert peak < 500e6
