@@ -7,7 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pharmasift.llm import chat, contamination, exact_dedup, langid, near_dedup, packing, quality, secrets, token_counts, warc
+from pharmasift.llm import (
+    alignment,
+    chat,
+    contamination,
+    exact_dedup,
+    langid,
+    near_dedup,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    token_counts,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -180,3 +193,14 @@ def op9(spark, sf_dir):
 @query("op10_secrets")
 def op10(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op12_alignment")
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_sharding")
+def op13(spark, sf_dir):
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
