@@ -57,38 +57,41 @@ def place(vectors: np.ndarray, bins: int) -> np.ndarray:
 
 
 def settle(vectors: np.ndarray, out: np.ndarray, bins: int, even: float = EVEN, steps: int = 500) -> np.ndarray:
-    """Move or swap placed items between the two bins that differ most, while that brings them closer.
+    """Move or swap placed items between two bins, those that differ most first, while that brings them closer.
 
     With residuals r, moving w from bin a to b helps if w . (r_b - r_a) > w . w, and best if w is
-    half of the difference; w is one item, or the difference of two. Ends when all bins are `even`.
+    half of the difference; w is one item, or the difference of two. Ends when all bins are `even`
+    or no two bins can be brought closer.
     """
     totals = vectors.sum(axis=0)
     scaled = vectors / np.where(totals > 0, totals, 1) * bins
     loads = np.zeros((bins, vectors.shape[1]))
     np.add.at(loads, out, scaled)
     members = [list(np.flatnonzero(out == b)) for b in range(bins)]
-    for _ in range(steps):
-        spread = loads.max(axis=0) - loads.min(axis=0)
-        d = int(spread.argmax())
-        if spread[d] <= even:
-            break
-        a, b = int(loads[:, d].argmax()), int(loads[:, d].argmin())
+    pairs = [(a, b) for a in range(bins) for b in range(bins) if a < b]
+
+    def move(a: int, b: int) -> bool:
         half = (loads[a] - loads[b]) / 2
-        give = scaled[members[a]]
-        take = np.vstack([np.zeros(vectors.shape[1]), scaled[members[b]]])  # the first is a plain move
-        # squared distance of give - take from half
+        give, take = (np.vstack([np.zeros(vectors.shape[1]), scaled[members[x]]]) for x in (a, b))  # the first is nothing
         x = give - half
         far = (x * x).sum(axis=1)[:, None] + (take * take).sum(axis=1)[None, :] - 2 * x @ take.T
         i, j = np.unravel_index(far.argmin(), far.shape)
         if far[i, j] >= (half * half).sum() * 0.999:
-            break
+            return False
         moved = give[i] - take[j]
         loads[a] -= moved
         loads[b] += moved
-        item = members[a].pop(i)
-        if j:
-            members[a].append(members[b].pop(j - 1))
-        members[b].append(item)
+        given = [members[a].pop(i - 1)] if i else []
+        members[a] += [members[b].pop(j - 1)] if j else []
+        members[b] += given
+        return True
+
+    for _ in range(steps):
+        if (loads.max(axis=0) - loads.min(axis=0)).max() <= even:
+            break
+        apart = [(((loads[a] - loads[b]) ** 2).sum(), a, b) for a, b in pairs]
+        if not any(move(a, b) for far, a, b in sorted(apart, reverse=True) if far > even**2):
+            break
     for b, ids in enumerate(members):
         out[ids] = b
     return out
@@ -104,17 +107,19 @@ def _round(items: DataFrame, tasks: int, bins: int) -> DataFrame:
         table = pa.Table.from_batches(held).sort_by("item")  # the same result whatever the order of arrival
         ids = table.column("item").to_numpy()
         vectors = np.stack([table.column(c).to_numpy().astype(float) for c in SIZES], axis=1)
-        bins_of = place(vectors, bins)
+        some = bins if tasks == 1 else max(1, min(bins, len(ids) // 8))  # every round must leave fewer items
+        bins_of = place(vectors, some)
         if tasks == 1:
             bins_of = settle(vectors, bins_of, bins)
         else:  # the smallest item of a bundle names it
-            first = np.full(bins, np.iinfo(np.int64).max)
+            first = np.full(some, np.iinfo(np.int64).max)
             np.minimum.at(first, bins_of, ids)
             bins_of = first[bins_of]
         columns = [pa.array(ids), pa.array(bins_of.astype(np.int64)), *(table.column(c).combine_chunks() for c in SIZES)]
         yield pa.RecordBatch.from_arrays(columns, names=["item", "bin", *SIZES])
 
-    dealt = items.select("item", *SIZES).repartition(tasks, F.xxhash64("item", F.lit(tasks)))
+    items = items.select("item", *SIZES)
+    dealt = items.coalesce(1) if tasks == 1 else items.repartition(tasks, F.xxhash64("item", F.lit(tasks)))
     return dealt.mapInArrow(pack, "item long, bin long, bytes long, tokens long, rows long")
 
 
@@ -127,7 +132,7 @@ def assign(units: DataFrame, shards: int = SHARDS, task_items: int = TASK_ITEMS,
     items, home = units, None
     while True:
         tasks = max(1, -(-items.count() // task_items))
-        bins = shards if tasks == 1 else min(shards * bundles, task_items // 8)
+        bins = shards if tasks == 1 else shards * bundles
         placed = stored(_round(items, tasks, bins), "placed")
         step = placed.select(F.col("item").alias("_item"), F.col("bin").alias("_bin"))
         home = step if home is None else stored(
