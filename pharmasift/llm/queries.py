@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pharmasift.llm import (
     alignment,
     chat,
+    collocations,
     contamination,
     exact_dedup,
     langid,
@@ -195,6 +196,49 @@ def op10(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op11_collocations",
+    r"""
+    WITH p AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece
+        FROM documents
+    ), w AS (
+        SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS w FROM p
+    ), g AS (
+        SELECT lang, unnest(flatten(list_transform([1, 2, 3, 4], lambda m:
+            list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))))) AS phrase
+        FROM w
+    ), f AS (
+        SELECT lang, phrase, count(*) AS a, string_split(phrase, ' ') AS w FROM g GROUP BY lang, phrase
+    ), n AS (
+        SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE len(w) = 1 GROUP BY lang
+    ), c AS (SELECT * FROM f WHERE len(w) > 1 AND a >= 30),
+    k AS (SELECT lang, phrase, a, w, unnest(range(1, len(w))) AS k FROM c),
+    s AS (
+        SELECT k.lang, k.phrase, k.a, k.k, x.a AS l, y.a AS r, CAST(2000000 * k.a::HUGEINT // (x.a + y.a) AS BIGINT) AS score
+        FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1:k.k], ' ')
+        JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[k.k + 1:], ' ')
+    ), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    i AS (
+        SELECT lang, a, unnest(flatten(list_transform(range(2, len(w)), lambda m:
+            list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))))) AS phrase
+        FROM c
+    ), o AS (SELECT lang, phrase, max(a) AS around FROM i GROUP BY lang, phrase),
+    t AS (
+        SELECT b.lang, b.phrase, b.a, b.l, b.r, b.score,
+               row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+        FROM b LEFT JOIN o USING (lang, phrase)
+        WHERE around IS NULL OR 100 * around < 80 * b.a
+    )
+    SELECT lang, rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE rank <= 2000
+    """,
+)
+def op11(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op12_alignment")
 def op12(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
