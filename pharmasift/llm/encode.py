@@ -15,8 +15,10 @@ from typing import Any
 
 #: Bytes of text looked at together: missing words are encoded in one batch.
 GROUP_BYTES = 512 * 1024
-#: Words remembered at once; the memory is emptied beyond it, which changes no result.
-MEMORY_WORDS = 500_000
+#: Estimated bytes of remembered pieces; the memory is emptied beyond it, which changes no result.
+MEMORY_BYTES = 96 * 1024 * 1024
+#: Longer pieces (whole paragraphs in scripts without spaces) are encoded anew each time.
+LONG_PIECE = 64
 
 _LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
 #: Letters (ASCII and Latin-1), then ASCII symbols other than the apostrophe, up to the end.
@@ -76,6 +78,7 @@ class Words:
         self.lower = pieces is bare_pieces
         self.letters = byte_letters()
         self.known: dict[bytes, Any] = {}
+        self.held = 0
 
     def spelled(self, word: bytes) -> str:
         """The word in the letters of the vocabulary; ASCII letters stand for themselves."""
@@ -95,12 +98,18 @@ class Words:
                 continue
             word, tail = plain.groups()
             value = known.get(word)
-            if value is None:
+            if value is None and len(word) > LONG_PIECE:
+                value = keep([t.id for t in tokenize(self.spelled(word))])
+            elif value is None:
                 value = known[word] = keep([t.id for t in tokenize(self.spelled(word))])
             if tail:
-                if tail not in known:
-                    known[tail] = keep(self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids)
-                known[piece] = self.add([value, known[tail]])
+                end = known.get(tail)
+                if end is None:
+                    end = keep(self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids)
+                    if len(tail) <= LONG_PIECE:
+                        known[tail] = end
+                value = self.add([value, end])
+            known[piece] = value
         if other:
             texts = [piece.decode() for piece in other]
             for piece, e in zip(other, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
@@ -108,11 +117,18 @@ class Words:
 
     def encode(self, texts: list[bytes]) -> list[Any]:
         """For each text the joined values of its pieces."""
-        if len(self.known) > MEMORY_WORDS:
+        if self.held > MEMORY_BYTES:
             self.known.clear()
+            self.held = 0
         cut = [self.pieces(text) for text in texts]
-        self.learn(set().union(*cut).difference(self.known))
-        return [self.add(map(self.known.__getitem__, pieces)) for pieces in cut]
+        new, before = set().union(*cut).difference(self.known), len(self.known)
+        self.learn(new)
+        values = [self.add(map(self.known.__getitem__, pieces)) for pieces in cut]
+        for piece in new:
+            if len(piece) > LONG_PIECE:
+                del self.known[piece]
+        self.held += 150 * (len(self.known) - before) + 5 * sum(len(p) for p in new if len(p) <= LONG_PIECE)
+        return values
 
 
 def grouped(texts: Iterator[tuple[Any, bytes]], limit: int = GROUP_BYTES) -> Iterator[list[tuple[Any, bytes]]]:

@@ -81,7 +81,7 @@ def test_counts_of_rows(spark, byte):
 
 
 def test_memory_of_words_may_be_emptied(monkeypatch, byte):
-    monkeypatch.setattr(encode, "MEMORY_WORDS", 2)
+    monkeypatch.setattr(encode, "MEMORY_BYTES", 300)
     counts = encode.Words(BYTE, encode.spaced_pieces, len, sum)
     for text in HARD * 2:
         assert by_pieces(counts, text) == len(whole(byte, text))
@@ -136,3 +136,25 @@ def test_packing_repeated_rows_and_nothing(spark):
 def test_best_fit_takes_the_tightest_bin():
     placed = packing.best_fit([6, 5, 4, 3], 10)
     assert placed == [(0, 0), (1, 0), (0, 6), (1, 5)]
+
+
+def test_word_memory_is_bounded_in_bytes(byte):
+    """Long pieces without spaces are not remembered, and short ones only up to a number of bytes."""
+    words = encode.Words(BYTE, encode.spaced_pieces, len, sum)
+    draw = random.Random(4)
+    han = ["".join(chr(draw.randrange(0x4E00, 0x9FA5)) for _ in range(300)) for _ in range(50)]
+    assert words.encode([" ".join(han[:25]).encode(), "\n".join(han[25:]).encode()]) == [
+        len(whole(byte, " ".join(han[:25]))), len(whole(byte, "\n".join(han[25:])))
+    ]
+    assert sum(map(len, words.known)) < 10_000
+    long = ("x" * 100 + "!" * 100) + " " + "y" * 100
+    assert words.encode([long.encode()] * 2) == [len(whole(byte, long))] * 2
+    assert all(len(p) <= encode.LONG_PIECE for p in words.known)
+
+
+def test_forgetting_changes_nothing(byte, monkeypatch):
+    monkeypatch.setattr(encode, "MEMORY_BYTES", 300)
+    words = encode.Words(BYTE, encode.spaced_pieces, len, sum)
+    for text in HARD * 2:
+        assert words.encode([text.encode()])[0] == len(whole(byte, text))
+    assert words.held <= 5000
