@@ -9,6 +9,8 @@ Candidates are then verified by the shingles themselves.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +36,25 @@ def _windows(words: Column, k: int, make) -> Column:
     return let(words, windows)
 
 
-def hashed(words: Column, k: int) -> Column:
-    return _windows(words, k, F.xxhash64)
+def _shingles(words: Column, lengths: Iterable[int], make, kind: str) -> Column:
+    """make(window) for every run of each of the lengths; null if there are none."""
+    none = F.array().cast(f"array<{kind}>")
+    all = F.concat(*(F.coalesce(_windows(words, k, make), none) for k in lengths))
+    return F.when(F.size(all) > 0, all)
+
+
+def hashed(words: Column, *lengths: int) -> Column:
+    return _shingles(words, lengths, F.xxhash64, "bigint")
+
+
+def spelled(words: Column, *lengths: int) -> Column:
+    return F.array_distinct(_shingles(words, lengths, lambda w: F.array_join(w, " "), "string"))
 
 
-def spelled(words: Column, k: int) -> Column:
-    return F.array_distinct(_windows(words, k, lambda w: F.array_join(w, " ")))
+def item_shingles(words: Column, k: int, make) -> Column:
+    """An item's shingles of k words; of one with fewer words its whole sequence; null without words."""
+    short = F.when((F.size(words) > 0) & (F.size(words) < k), F.array(make(words)))
+    return F.coalesce(short, F.array_distinct(_windows(words, k, make)))
 
 
 def _attached(df: DataFrame, lookup: DataFrame, on: str) -> DataFrame:
@@ -49,7 +64,7 @@ def _attached(df: DataFrame, lookup: DataFrame, on: str) -> DataFrame:
 
 def sketches(items: DataFrame, words: int, containment: int) -> DataFrame:
     """item, n, need, size_class and h: one row per sketch entry."""
-    sets = items.select("item", F.array_distinct(hashed(F.col("words"), words)).alias("s")).where("s IS NOT NULL")
+    sets = items.select("item", item_shingles(F.col("words"), words, F.xxhash64).alias("s")).where("s IS NOT NULL")
     sized = sets.select("item", "s", F.size("s").alias("n")).withColumn("need", F.expr(f"({containment} * n + 99) div 100").cast("int"))
     return sized.select(
         "item", "n", "need",
@@ -71,8 +86,8 @@ def contained(
     """One row per document and item it contains: id, item_id, n_item, n_shared.
 
     Contained means that at least `containment` per cent of the item's distinct `words`-word
-    shingles occur in the document. Null and empty texts, and items with fewer words
-    than a shingle, have no shingles and match nothing. Repeated documents or items with the same id and
+    shingles occur in the document; an item with fewer words has its whole sequence as its only
+    shingle. Null and empty texts have no shingles and match nothing. Repeated documents or items with the same id and
     text give one row; rows with the same id and different texts are looked at separately
     and give the best row of them. Null ids are kept as they are. Other columns are not read.
     """
@@ -86,12 +101,14 @@ def contained(
         ),
         "items",
     )
+    short = F.size("words")  # documents are asked for windows of the few lengths that occur
+    lengths = sorted({words, *(r["n"] for r in known.where((short > 0) & (short < words)).select(short.alias("n")).distinct().collect())})
     sketch = stored(sketches(known, words, containment), "sketches")
     classes = sketch.groupBy("size_class").agg(F.min("need").alias("least"))
     entries = stored(sketch.join(F.broadcast(classes), "size_class").groupBy("h").agg(F.min("least").alias("least")), "sketch-hashes")
 
     key = docs.select(F.col(id).alias("id"), F.col(text).alias("_text"), F.xxhash64(text).alias("version"))
-    grams = key.select("id", "version", hashed(words_of(F.col("_text")), words).alias("s")).where("s IS NOT NULL")
+    grams = key.select("id", "version", hashed(words_of(F.col("_text")), *lengths).alias("s")).where("s IS NOT NULL")
     probes = grams.select("id", "version", F.size("s").alias("size"), F.explode("s").alias("h"))
     # a partition of items is asked only of documents that can hold its smallest item
     hits = _attached(probes, entries, "h").where("size >= least").select("id", "version").distinct()
@@ -100,9 +117,9 @@ def contained(
     match = key["id"].eqNullSafe(candidates["id"]) & (key["version"] == candidates["version"])
     few = F.broadcast(candidates) if small(candidates) else candidates
     again = key.join(few, match, "left_semi")
-    found = again.select("id", "version", F.explode(spelled(words_of(F.col("_text")), words)).alias("shingle"))
+    found = again.select("id", "version", F.explode(spelled(words_of(F.col("_text")), *lengths)).alias("shingle"))
     parts = stored(
-        known.select("item", "item_id", F.explode(spelled(F.col("words"), words)).alias("shingle")), "item-shingles"
+        known.select("item", "item_id", F.explode(item_shingles(F.col("words"), words, lambda w: F.array_join(w, " "))).alias("shingle")), "item-shingles"
     )
     sizes = stored(parts.groupBy("item", "item_id").agg(F.count(F.lit(1)).alias("n_item")), "item-sizes")
     shared = (

@@ -171,15 +171,17 @@ def op8(spark, sf_dir):
     WITH w AS (
         SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
         FROM documents
-    ), g AS (
-        SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
-        FROM w WHERE len(w) >= 5
     ), b AS (
         SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
         FROM benchmark
+    ), z AS (SELECT DISTINCT least(len(w), 5) AS m FROM b WHERE len(w) > 0),
+    g AS (
+        SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS s
+        FROM w CROSS JOIN z WHERE len(w) >= m
     ), i AS (
-        SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
-        FROM b WHERE len(w) >= 5
+        SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2),
+            lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) AS s
+        FROM b WHERE len(w) > 0
     ), n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id)
     SELECT doc_id, i.item_id, n_item, count(*) AS n_shared
     FROM g JOIN i USING (s) JOIN n ON n.item_id = i.item_id
@@ -202,7 +204,8 @@ def op10(spark, sf_dir):
     WITH p AS (
         SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece
+-
+]')) AS piece
         FROM documents
     ), w AS (
         SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS w FROM p

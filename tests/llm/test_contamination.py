@@ -16,9 +16,10 @@ def grams(text, k=5):
 def brute(docs, items):
     out = {}
     for d, t in docs:
-        g = grams(t)
+        g = set().union(*(grams(t, k) for k in range(1, 6)))
         for i, u in items:
-            s = grams(u)
+            n = len(regex.findall(r"[\p{L}\p{N}]+", u or ""))
+            s = grams(u, min(n, 5)) if n else set()
             if s and 100 * len(s & g) >= 80 * len(s):
                 out[d, i, len(s)] = max(len(s & g), out.get((d, i, len(s)), 0))
     return sorted(((*k, v) for k, v in out.items()), key=str)
@@ -54,6 +55,17 @@ def test_like_brute_force(spark, as_list, monkeypatch, seed, rows):
     assert as_list(contamination.contained(d, i)) == brute(docs, items)
 
 
+def test_short_items(spark, as_list):
+    """Items of one to four words match where all their words follow each other."""
+    docs = [(1, "What is it? Yes, it is so."), (2, "is so it"), (3, "yes"), (4, "no"), (5, None), (6, "a b c d"), (7, "a b c x d e")]
+    items = [(1, "it is so"), (2, "YES!"), (3, "a b c d"), (4, "..."), (5, "b c"), (6, "a b c d e")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    found = as_list(contamination.contained(d, i))
+    assert found == brute(docs, items)
+    assert {(r[0], r[1]) for r in found} == {(1, 1), (1, 2), (3, 2), (6, 3), (6, 5), (7, 5)}
+
+
 def test_nothing(spark):
     docs, items = table(3)
     d = spark.createDataFrame(docs, "doc_id long, text string")
