@@ -14,7 +14,7 @@ BUCKETS = 1 << 16
 ALPHA = 0.1
 #: Documents a language is learned from, in expectation: a fixed share by hash of the id.
 TRAIN_DOCS = 5000
-#: More languages than this are an error: counts and matrix would not be small any more.
+#: More languages than this (a parameter) are an error: the broadcast matrix has 65,537 numbers for each.
 LANGUAGES = 256
 #: Characters scored together.
 GROUP_CHARS = 256 * 1024
@@ -38,20 +38,24 @@ class Grams:
                 known[codes == c] = chr(c).isalpha()
         return known
 
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(self, texts: list[str], context: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Buckets (n-gram orders side by side), start of each text, letters of each text.
 
-        Case is dropped and every other character than a letter becomes a blank; n-grams of
-        blanks only go to the spare bucket. Texts are parted by blanks, so none sees another.
+        Texts are in lower case; every other character than a letter becomes a blank; n-grams of
+        blanks only go to the spare bucket. Texts are parted by blanks, so none sees another. The last
+        `context` characters of a text end n-grams but begin none.
         """
         wide = max(self.orders)
-        parts = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+        parts = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
         pad = np.zeros(wide, np.uint32)
         codes = np.concatenate([x for part in parts for x in (part, pad)])
         starts = np.cumsum([0, *(len(p) + wide for p in parts)])[:-1]
         letter = self.letters(codes)
         codes = np.where(letter, codes, np.uint32(0))
-        counts = np.add.reduceat(letter, starts, dtype=np.int64)
+        begins = np.ones(len(codes), bool)
+        for start, part, more in zip(starts, parts, context):
+            begins[start + len(part) - more : start + len(part)] = False
+        counts = np.add.reduceat(letter & begins, starts, dtype=np.int64)
         n = len(codes) - wide + 1
         out = np.empty((n + wide - 1, len(self.orders)), np.int64)
         for k, order in enumerate(self.orders):
@@ -62,18 +66,24 @@ class Grams:
             h ^= h >> np.uint32(15)
             h *= np.uint32(0x2C1B3C6D)
             h ^= h >> np.uint32(13)
-            out[:n, k] = np.where(some, h % np.uint32(self.buckets), self.buckets)
+            out[:n, k] = np.where(some & begins[:n], h % np.uint32(self.buckets), self.buckets)
             out[n:, k] = self.buckets
         return out, starts, counts
 
 
-def grouped(texts, limit: int = GROUP_CHARS):
-    """[(row, text)] lists of about `limit` characters; a long text is cut into several entries."""
+def grouped(texts, wide: int, limit: int = GROUP_CHARS):
+    """[(row, text in lower case, context)] lists of about `limit` characters.
+
+    A long text is cut into several entries; each but the last also has the next `wide` - 1 characters, so
+    that the n-grams of the entries are those of the whole text.
+    """
     group, size = [], 0
     for row, text in texts:
+        text = text.lower()
         for at in range(0, max(1, len(text)), limit):
-            group.append((row, text[at : at + limit]))
-            size += len(group[-1][1])
+            some = text[at : at + limit + wide - 1]
+            group.append((row, some, max(0, len(some) - limit)))
+            size += len(some)
             if size >= limit:
                 yield group
                 group, size = [], 0
@@ -94,6 +104,7 @@ class Model:
 def train(
     docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang",
     train_docs: int = TRAIN_DOCS, orders=ORDERS, buckets: int = BUCKETS, alpha: float = ALPHA,
+    most_languages: int = LANGUAGES,
 ) -> Model:
     """Log-probabilities per bucket and language.
 
@@ -105,9 +116,9 @@ def train(
     labelled = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(
         "text IS NOT NULL AND lang IS NOT NULL"
     )
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((buckets + 1, 0)), np.zeros(0))
@@ -118,19 +129,19 @@ def train(
 
     def count(batches):
         grams = Grams(orders, buckets)
-        counts = np.zeros((len(number), buckets + 1), np.int64)
+        counts: dict[int, np.ndarray] = {}  # of the languages that this task meets
         for batch in batches:
             langs = batch.column(1).to_pylist()
-            for group in grouped((i, t.as_py()) for i, t in enumerate(batch.column(0))):
-                found, starts, _ = grams.of([t for _, t in group])
+            for group in grouped(((i, t.as_py()) for i, t in enumerate(batch.column(0))), max(orders)):
+                found, starts, _ = grams.of([t for _, t, _ in group], [more for *_, more in group])
                 ends = [*starts[1:], len(found)]
-                for (i, _), a, b in zip(group, starts, ends):
-                    counts[number[langs[i]]] += np.bincount(found[a:b].ravel(), minlength=buckets + 1)
-        at = np.nonzero(counts[:, :buckets])
-        for a in range(0, len(at[0]), 100_000):
-            l, b = at[0][a : a + 100_000], at[1][a : a + 100_000]
+                for (i, *_), a, b in zip(group, starts, ends):
+                    own = counts.setdefault(number[langs[i]], np.zeros(buckets + 1, np.int64))
+                    own += np.bincount(found[a:b].ravel(), minlength=buckets + 1)
+        for language, own in counts.items():
+            b = np.flatnonzero(own[:buckets])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (l, b, counts[l, b])], names=["language", "bucket", "n"]
+                [pa.array(x, pa.int64()) for x in (np.full(len(b), language), b, own[b])], names=["language", "bucket", "n"]
             )
 
     summed = sample.mapInArrow(count, "language long, bucket long, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
@@ -162,9 +173,9 @@ def predict(docs: DataFrame, model: Model, keep=("doc_id",), text: str = "text",
         for batch in batches:
             n = batch.num_rows
             total, letters = np.zeros((n, len(languages))), np.zeros(n, np.int64)
-            for group in grouped((i, t.as_py()) for i, t in enumerate(batch.column(batch.num_columns - 1))):
-                found, starts, some = grams.of([t for _, t in group])
-                at = [i for i, _ in group]
+            for group in grouped(((i, t.as_py()) for i, t in enumerate(batch.column(batch.num_columns - 1))), max(orders)):
+                found, starts, some = grams.of([t for _, t, _ in group], [more for *_, more in group])
+                at = [i for i, *_ in group]
                 if languages:
                     each = sum(matrix[found[:, k]] for k in range(found.shape[1]))
                     np.add.at(total, at, np.add.reduceat(each, starts, axis=0))
