@@ -57,6 +57,11 @@ def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
+def header_uri(url: str) -> str:
+    """The URL as it is, but for blanks, control and other characters that no header may hold: these are percent-encoded."""
+    return "".join(c if "!" <= c <= "~" else urllib.parse.quote(c) for c in url)
+
+
 def record_bytes(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     """One uncompressed record: response with the whole payload, or revisit without it.
 
@@ -73,7 +78,7 @@ def record_bytes(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
         ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"),
     ]
     if url is not None:
-        fields.append(("WARC-Target-URI", urllib.parse.quote(url, safe="!#$&'()*+,/:;=?@[]~-._")))
+        fields.append(("WARC-Target-URI", header_uri(url)))
     if page_id is not None:
         fields.append(("X-Page-ID", str(page_id)))
     if refers_to is not None:
@@ -218,7 +223,7 @@ def read_record(parts: Iterator[bytes]) -> dict:
     uri = warc.get("warc-target-uri")
     return {
         "page_id": None if page is None else int(page),
-        "url": None if uri is None else urllib.parse.unquote(uri),
+        "url": uri,
         "payload_bytes": declared,
         "payload_digest": digest if revisit else payload.hexdigest(),
         "record_type": warc["warc-type"],

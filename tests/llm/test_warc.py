@@ -34,7 +34,8 @@ def test_pages_come_back(spark, as_list):
     found = warc.round_trip(pages).cache()
     assert as_list(found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) == expected(ROWS)
     assert found.where("NOT verified").isEmpty()
-    assert sorted((r.page_id or 0, r.url or "") for r in found.collect()) == sorted((p or 0, u or "") for p, u, _ in ROWS)
+    plain = [(r.page_id or 0, r.url or "") for r in found.collect()]
+    assert sorted(plain) == sorted((p or 0, warc.header_uri(u or "")) for p, u, _ in ROWS)
     assert warc.round_trip(pages.limit(0)).collect() == []
 
 
@@ -85,3 +86,8 @@ def test_very_compressible_payload_in_small_pieces():
     data = gzip.compress(warc.record_bytes(1, "u", payload, hashlib.sha256(payload).hexdigest(), None))
     for parts in warc.members(chunks(data, 512)):
         assert warc.read_record(parts)["verified"]
+
+
+def test_urls_are_written_as_they_are():
+    assert warc.header_uri("http://a.b/x%20y?q=1&r=%2F#z") == "http://a.b/x%20y?q=1&r=%2F#z"
+    assert warc.header_uri("http://a.b/é x\r\n") == "http://a.b/%C3%A9%20x%0D%0A"
