@@ -45,7 +45,9 @@ def fold(events: DataFrame) -> DataFrame:
     far, `regenerate` empties the message and drops the messages opened after it so far.
     Events delivered twice count once; other kinds say nothing. The log is partitioned by conversation and
     message and sorted by sequence, so a hot conversation is folded by many tasks;
-    only numbers meet per conversation, to see which messages a regeneration dropped.
+    only the sequences of openings and regenerations meet per conversation, to see which messages were dropped.
+    Null conversations, messages and roles are values like any other (a null role folds to an empty one), null texts say
+    nothing, an empty log gives no rows, and other columns are not read.
     """
     need(events, "conv_id", "message", "seq", "kind", "role", "text")
     entry = F.struct("seq", "kind", "role", "text")
@@ -56,26 +58,32 @@ def fold(events: DataFrame) -> DataFrame:
         start = F.when(F.size(resets) > 0, F.element_at(resets, -1)["seq"])
         said = F.filter(log, lambda e: e["kind"].isin("delta", "edit", "regenerate") & (start.isNull() | (e["seq"] >= start)))
         roles = F.filter(log, lambda e: e["role"].isNotNull())
-        again = F.filter(log, lambda e: e["kind"] == "regenerate")
         return F.struct(
             log[0]["seq"].alias("position"),
             F.coalesce(F.when(F.size(roles) > 0, roles[0]["role"]), F.lit("")).alias("role"),
             F.array_join(F.transform(said, lambda e: F.when(e["kind"] != "regenerate", e["text"])), "").alias("text"),
-            F.when(F.size(again) > 0, F.element_at(again, -1)["seq"]).alias("again"),
         )
 
-    messages = logs.select("conv_id", let(F.col("log"), last).alias("m")).select("conv_id", "m.*")
+    messages = logs.select("conv_id", "message", let(F.col("log"), last).alias("m")).select("conv_id", "message", "m.*")
     if not events.where("kind = 'regenerate'").isEmpty():
+        # without texts: where each message was opened, and when it was last regenerated
+        first = F.min(F.struct("seq"))["seq"].alias("position")
+        again = F.max(F.when(F.col("kind") == "regenerate", F.struct("seq")))["seq"].alias("again")
+        places = events.groupBy("conv_id", "message").agg(first, again)
         earlier = Window.partitionBy("conv_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-        dropped = F.coalesce(F.max("again").over(earlier) > F.col("position"), F.lit(False))
-        messages = messages.withColumn("_dropped", dropped).where(~F.col("_dropped")).drop("_dropped")
-    return messages.drop("again")
+        dropped = places.withColumn("latest", F.max("again").over(earlier)).where("latest > position").select(
+            F.col("conv_id").alias("_conv"), F.col("message").alias("_message")
+        )
+        same = messages["conv_id"].eqNullSafe(dropped["_conv"]) & messages["message"].eqNullSafe(dropped["_message"])
+        messages = messages.join(dropped, same, "left_anti")
+    return messages.drop("message")
 
 
 def render(messages: DataFrame) -> DataFrame:
     """Adds formatted and, for trained turns, the loss mask [loss_start, loss_end) in code points of it.
 
-    The mask covers the (escaped) text of assistant turns and nothing else. Null role and text count as empty.
+    The mask covers the (escaped) text of assistant turns and nothing else. Null role and text count as empty;
+    repeated rows are turns of their own, an empty table stays empty, and columns of these three names are replaced.
     """
     need(messages, "role", "text")
     role = F.coalesce("role", F.lit(""))
@@ -114,7 +122,8 @@ def read_back(rendered: DataFrame) -> DataFrame:
     """One row per conversation, from its formatted rows and loss masks alone.
 
     A digest runs over a conversation in order, so its rows stream through one task; only hash states
-    and one row are held, however long the conversation is.
+    and one row are held, however long the conversation is. A null conversation is one of its own; an empty
+    table gives no rows; other columns are not read.
     """
     kind = rendered.schema["conv_id"].dataType.simpleString()
     rows = rendered.repartition("conv_id").sortWithinPartitions("conv_id", "position").select("conv_id", "formatted", "loss_start", "loss_end")
@@ -157,9 +166,12 @@ def read_back(rendered: DataFrame) -> DataFrame:
 
 
 def log_of(conversations: DataFrame) -> DataFrame:
-    """The rows of a table (conv_id, turn, role, text) as events: each message opened, then streamed in two deltas.
+    """The rows of a table (conv_id, turn, role, text) as a log of events that folds to them.
 
-    Rows that share conversation and turn are messages of their own, in the order of the table.
+    Each message is opened and streamed in two deltas. By a hash of the turn, a third of the messages
+    begins with a wrong draft that is edited into the final text, another third with one that is
+    regenerated. Rows that share conversation and turn are messages of their own, in the order of the
+    table; null texts stream nothing, an empty table gives no events, and other columns are not read.
     """
     need(conversations, "conv_id", "turn", "role", "text")
     rows = conversations.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("message"))
@@ -169,10 +181,14 @@ def log_of(conversations: DataFrame) -> DataFrame:
     def event(kind: str, role: Column, text: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
 
-    steps = F.array(
-        event("open", F.col("role"), nothing),
-        event("delta", nothing, F.left("text", half)),
-        event("delta", nothing, F.substr(F.col("text"), half + 1)),
+    start = event("open", F.col("role"), nothing)
+    draft = event("delta", nothing, F.concat(F.lit("draft: "), F.reverse(F.coalesce("text", F.lit("")))))
+    deltas = (event("delta", nothing, F.left("text", half)), event("delta", nothing, F.substr(F.col("text"), half + 1)))
+    way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    steps = (
+        F.when(way == 0, F.array(start, *deltas))
+        .when(way == 1, F.array(start, draft, event("edit", nothing, F.coalesce("text", F.lit("")))))
+        .otherwise(F.array(start, draft, event("regenerate", nothing, nothing), *deltas))
     )
     return rows.select("conv_id", "turn", "message", F.posexplode(steps).alias("step", "e")).select(
         "conv_id", "message", F.struct("turn", "message", "step").alias("seq"), "e.kind", "e.role", "e.text"

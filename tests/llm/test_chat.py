@@ -63,3 +63,15 @@ def test_one_long_conversation(spark):
     table = spark.range(20_000).selectExpr("5 AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
     (found,) = chat.read_back(chat.format_log(chat.log_of(table))).collect()
     assert tuple(found)[1:5] == digest([("assistant" if i % 2 else "user", f"t{i}") for i in range(20_000)])
+
+
+def test_logs_hold_edits_and_regenerations(spark):
+    """The log of a table has drafts that are edited or regenerated, and folds to the table's texts."""
+    rows = [(c, t, "assistant" if t % 2 else "user", None if t == 3 else f"t{c}-{t} é") for c in range(20) for t in range(6)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.log_of(table)
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds["edit"] > 20 and kinds["regenerate"] > 20 and kinds["open"] == len(rows)
+    assert log.where("text LIKE 'draft: %'").count() == kinds["edit"] + kinds["regenerate"]
+    found = chat.fold(log).orderBy("conv_id", "position").select("conv_id", "role", "text").collect()
+    assert [tuple(r) for r in found] == [(c, r, t or "") for c, _, r, t in rows]
