@@ -5,8 +5,8 @@ are one token against one token of the same bytes: an identity map (id of A to t
 with the same bytes) describes them, and a vector over the vocabulary of A counts them.
 Only the other groups are counted as pairs of ids in a shuffle.
 
-Texts are cut where both vocabularies always end a token, before a space that follows a
-visible character, and each distinct piece is aligned once per task.
+Texts are cut where both vocabularies always end a token (before a blank after a
+visible character, or between a letter and a symbol), and each distinct piece is aligned once per task.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,13 @@ LONG_PIECE = 64
 #: A pair that holds at least this part of all irregular links is frequent, so at most this many are.
 FREQUENT_PART = 100_000
 
-#: Before a space that follows visible ASCII or a Latin-1 letter.
-_SAFE = re.compile(rb"(?:(?<=[!-~])|(?<=\xc3[\x80-\xbf]))(?= )")
+_LETTER = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+#: Where both vocabularies end a token: visible ASCII or Latin-1 before a blank or line feed, and a letter before an ASCII
+#: symbol other than the apostrophe (no token of B has a letter before a symbol, or a line feed).
+_SAFE = re.compile(
+    rb"(?=[ \n])(?:(?<=[!-~])|(?<=\xc3[\x80-\xbf]))|(?=[!-&(-/:-@\[-`{-~])(?:(?<=[A-Za-z])|(?<=" + _LETTER + rb"))"
+)
+_PLAIN = re.compile(rb" (?:[A-Za-z]|" + _LETTER + rb")+")
 
 LINKS = (
     "n_a long, n_b long, n_groups long, groups_sha256 string, "
@@ -68,7 +74,12 @@ class Vocabularies:
         self.a.no_padding()
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.space = self.b.piece_to_id("▁")
+        self.space, self.line = self.b.piece_to_id("▁"), self.b.piece_to_id("<0x0A>")
+        plain = (i for i in range(self.b.get_piece_size()) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)))
+        if any(re.search(r"\n|[^▁]▁|[A-Za-zÀ-ÖØ-öø-ÿ][!-&(-/:-@\[-`{-~]", self.b.id_to_piece(i)) for i in plain):
+            raise ValueError("the second vocabulary has tokens across places where texts are cut")
+        self.letters = byte_letters()
+        self.model = self.a.model
         bytes_of = {letter: bytes([b]) for b, letter in byte_letters().items()}
         self.bytes_a: list[bytes] = [b""] * self.a.get_vocab_size()
         for token, i in self.a.get_vocab().items():
@@ -83,29 +94,32 @@ class Vocabularies:
         ids = {x: i for i, x in enumerate(self.bytes_b) if not (self.b.is_control(i) or self.b.is_unknown(i))}
         return np.array([ids.get(x, -1) for x in self.bytes_a], np.int64)
 
-    def encode(self, pieces: list[bytes]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of each piece; every piece begins with a space, which B adds by itself."""
-        texts = [p.decode() for p in pieces]
-        a = self.a.encode_batch_fast(texts, add_special_tokens=False)
-        b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        for text, x, y in zip(texts, a, b):
-            yield x.ids, (y if len(text) > 1 else [self.space])
-
-
-def groups_of(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Ids between common ends, in order; both sides cover the same bytes."""
-    found, i, j, ia, jb, end_a, end_b = [], 0, 0, 0, 0, 0, 0
-    while i < len(a) or j < len(b):
-        if end_a <= end_b and i < len(a):
-            end_a += size_a[a[i]]
-            i += 1
-        else:
-            end_b += size_b[b[j]]
-            j += 1
-        if end_a == end_b:
-            found.append((a[ia:i], b[jb:j]))
-            ia, jb = i, j
-    return found
+    def ids_a(self, pieces: list[bytes]) -> list[list[int]]:
+        """Words straight from the merge model, all others through the whole tokenizer."""
+        found: list = [None] * len(pieces)
+        tokenize, letters, other = self.model.tokenize, self.letters, []
+        for n, piece in enumerate(pieces):
+            if _PLAIN.fullmatch(piece):
+                word = "Ġ" + piece[1:].decode() if piece.isascii() else "".join(map(letters.__getitem__, piece))
+                found[n] = [t.id for t in tokenize(word)]
+            else:
+                other.append(n)
+        done = self.a.encode_batch_fast([pieces[n].decode() for n in other], add_special_tokens=False)
+        for n, e in zip(other, done):
+            found[n] = e.ids
+        return found
+
+    def ids_b(self, pieces: list[bytes]) -> list[list[int]]:
+        """B puts a blank before each text: that of the piece, or one that a line feed keeps apart from the piece."""
+        texts = [p[1:].decode() if p[:1] == b" " else "\n" + p.decode() for p in pieces]
+        found = []
+        for piece, text, ids in zip(pieces, texts, self.b.encode(texts, num_threads=1)):
+            if piece[:1] != b" ":
+                if ids[:2] != [self.space, self.line]:
+                    raise ValueError("the second vocabulary joins line feeds to other characters")
+                ids = ids[2:]
+            found.append(ids if text else [self.space])
+        return found
 
 
 class Aligner:
@@ -115,23 +129,60 @@ class Aligner:
         self.words = Vocabularies(path_a, path_b)
         self.size_a = [len(x) for x in self.words.bytes_a]
         self.size_b = [len(x) for x in self.words.bytes_b]
+        self.name_a = [str(i) for i in range(len(self.size_a))]
+        self.name_b = [str(i) for i in range(len(self.size_b))]
         self.same = self.words.identity().tolist()
         self.known: dict[bytes, tuple | None] = {}
+        self.older: dict[bytes, tuple | None] = {}
         self.held = 0
 
     def align(self, piece: bytes, a: list[int], b: list[int]) -> tuple | None:
-        words = self.words
+        """Groups of ids between common ends, in order."""
+        words, size_a, size_b, name_a, name_b = self.words, self.size_a, self.size_b, self.name_a, self.name_b
         if b"".join([words.bytes_a[i] for i in a]) != piece or b"".join([words.bytes_b[i] for i in b]) != piece:
             return None
         shown, same, pairs = [], [], []
-        groups = groups_of(a, b, self.size_a, self.size_b)
-        for x, y in groups:
-            shown.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
-            if len(x) == 1 and len(y) == 1 and self.same[x[0]] == y[0]:
-                same.append(x[0])
+        i = j = first_a = first_b = 0
+        last_a, last_b = len(a) - 1, len(b) - 1
+        end_a, end_b = size_a[a[0]], size_b[b[0]]
+        while True:
+            if end_a < end_b:
+                i += 1
+                end_a += size_a[a[i]]
+            elif end_b < end_a:
+                j += 1
+                end_b += size_b[b[j]]
+            else:
+                x, y = a[i], b[j]
+                if i == first_a and j == first_b:
+                    shown.append(f"{name_a[x]}|{name_b[y]}")
+                    regular = self.same[x] == y
+                else:
+                    shown.append(f"{','.join([name_a[t] for t in a[first_a : i + 1]])}|{','.join([name_b[t] for t in b[first_b : j + 1]])}")
+                    regular = False
+                if regular:
+                    same.append(x)
+                else:
+                    pairs.append(x << 32 | y)
+                if i == last_a and j == last_b:
+                    return last_a + 1, last_b + 1, len(shown), ";".join(shown), same, pairs
+                i += 1
+                j += 1
+                first_a, first_b = i, j
+                end_a += size_a[a[i]]
+                end_b += size_b[b[j]]
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Align pieces not known; what was known of them before the last forgetting is taken over."""
+        older, known = self.older, self.known
+        new = []
+        for p in pieces:
+            if p in older:
+                known[p] = older[p]
             else:
-                pairs.append(x[-1] << 32 | y[-1])
-        return len(a), len(b), len(groups), ";".join(shown), same, pairs
+                new.append(p)
+        for p, a, b in zip(new, self.words.ids_a(new), self.words.ids_b(new)):
+            known[p] = self.align(p, a, b)
 
     def document(self, text: bytes) -> tuple | None:
         """n_a, n_b, n_groups, digest, identity ids and pair codes with their counts; None without tokens."""
@@ -141,33 +192,27 @@ class Aligner:
         pairs: Counter = Counter()
         for part in slices(b" " + text):
             pieces = _SAFE.split(part)
-            if self.held > MEMORY_BYTES:
-                self.known.clear()
-                self.held = 0
+            if self.held > MEMORY_BYTES // 2:  # what was not used lately is forgotten
+                self.older, self.known, self.held = self.known, {}, 0
             known = self.known
-            counts = Counter(pieces)
-            new = [p for p in counts if p not in known]
-            for p, (a, b) in zip(new, self.words.encode(new)):
-                known[p] = self.align(p, a, b)
-            aligned = [known[p] for p in pieces]
+            new = list(set(pieces).difference(known))
+            self.learn(new)
+            aligned = list(map(known.__getitem__, pieces))
             whole = None not in aligned
             if whole:
-                digest.update((sep + ";".join([x[3] for x in aligned])).encode())
+                count_a, count_b, count_groups, shown, links, others = zip(*aligned)
+                digest.update((sep + ";".join(shown)).encode())
                 sep = ";"
-                for p, n in counts.items():
-                    x = known[p]
-                    n_a += n * x[0]
-                    n_b += n * x[1]
-                    n_groups += n * x[2]
-                    for i in x[4]:
-                        same[i] += n
-                    for i in x[5]:
-                        pairs[i] += n
+                n_a += sum(count_a)
+                n_b += sum(count_b)
+                n_groups += sum(count_groups)
+                same.update(chain.from_iterable(links))
+                pairs.update(chain.from_iterable(others))
             for p in new:
                 if len(p) > LONG_PIECE:
                     del known[p]
                 else:
-                    self.held += 500 + 25 * len(p)
+                    self.held += 400 + 12 * len(p)
             if not whole:
                 return None
         return n_a, n_b, n_groups, digest.hexdigest(), same, pairs
