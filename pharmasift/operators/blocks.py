@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pharmasift.operators.joins import attach
+from pharmasift.operators.joins import attach, measured_bytes
 
 RESULT = "signal_id string, query_no int, doc_id {id_type}, score double"
 
@@ -70,14 +70,24 @@ def blocked_topk(
     score_block: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
     k: int,
     bound: int,
+    word: str | None = None,
 ) -> DataFrame:
     """Ranked top-k rows (signal_id, query_no, doc_id, score, rank).
 
     `grid` comes from `block_grid` and holds one short row per group that has a
-    query; `bound` is the counted size of these rows in bytes.
+    query; `bound` is the counted size of these rows in bytes. With `word`, a column of both sides, an item goes
+    only to the query blocks that ask for its word, not to all of its group.
     """
     q = _place(queries, grid, group, ["signal_id", "query_no"], "q", "i", bound)
-    i = _place(items, grid, group, ["doc_id"], "i", "q", bound)
+    if word is None:
+        i = _place(items, grid, group, ["doc_id"], "i", "q", bound)
+    else:
+        own = attach(queries, grid, [group], "inner", bound=bound)
+        number = F.pmod(F.xxhash64("signal_id", "query_no"), F.col("_nq")).cast("int").alias("_bq")
+        asked = own.select(group, word, number).distinct()
+        item = F.pmod(F.xxhash64("doc_id"), F.col("_ni")).cast("int")
+        placed = attach(items, grid, [group], "inner", bound=bound).withColumn("_bi", item).drop("_nq", "_ni")
+        i = attach(placed, asked, [group, word], "inner", bound=2 * measured_bytes(asked))
     keys = [group, "_bq", "_bi"]
 
     def run(qs: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:

@@ -18,6 +18,8 @@ from pharmasift.functions.rounding import half_even
 from pharmasift.functions.text import fixed, tokens
 from pharmasift.operators.blocks import best_of_row, block_grid, blocked_topk
 from pharmasift.operators.joins import attach, measured_bytes, spread_small, with_scalars
+from pharmasift.operators.storage import stored
+from pharmasift.operators.text_index import TextIndex
 
 # List length, similarity floor, score floor, fusion constant,
 # hits kept per signal and the published default BM25 parameters.
@@ -76,8 +78,8 @@ def dense_topk(
         "signal_id", "query_no", group, "embedding"
     )
     d = docs.filter(F.col("embedding").isNotNull()).select("doc_id", group, "embedding")
-    grid = block_grid(q, d, group, *DENSE_BLOCK)
-    ranked = blocked_topk(q, d, grid, group, score_block, k, _groups_bytes(queries, group))
+    grid = stored(block_grid(q, d, group, *DENSE_BLOCK), "grid")
+    ranked = blocked_topk(q, d, grid, group, score_block, k, 2 * measured_bytes(grid))
     return ranked.select(
         "signal_id",
         "query_no",
@@ -107,18 +109,30 @@ class Index:
     epsilon: float = EPSILON
 
 
+def tokenized(docs: DataFrame, group: str = "group_key") -> DataFrame:
+    """group, doc_id, n_tokens, words: the texts split once; a null text has no words.
+
+    Stored, it serves everything below in place of the documents.
+    """
+    texts = spread_small(docs.select(group, "doc_id", "text"), "doc_id")
+    words = F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))
+    return texts.select(group, "doc_id", words.alias("words")).select(group, "doc_id", F.size("words").alias("n_tokens"), "words")
+
+
+def _split(docs: DataFrame, group: str) -> DataFrame:
+    return docs if "words" in docs.columns else tokenized(docs, group)
+
+
 def postings(docs: DataFrame, group: str = "group_key") -> DataFrame:
     """Term frequency per (document, term) over the whole text."""
     return _count_words(_doc_words(docs, group), group)
 
 
 def _doc_words(docs: DataFrame, group: str) -> DataFrame:
-    texts = spread_small(docs.select(group, "doc_id", "text"), "doc_id")
-    split = texts.select(group, "doc_id", tokens(F.col("text")).alias("words"))
     # outer, because a plain explode makes Spark split the text once more as a filter
-    return split.select(
-        group, "doc_id", F.size("words").alias("n_tokens"), F.explode_outer("words").alias("term")
-    ).filter(F.col("term").isNotNull())
+    return _split(docs, group).select(group, "doc_id", "n_tokens", F.explode_outer("words").alias("term")).filter(
+        F.col("term").isNotNull()
+    )
 
 
 def _count_words(words: DataFrame, group: str, *extra: str) -> DataFrame:
@@ -129,17 +143,24 @@ def _count_words(words: DataFrame, group: str, *extra: str) -> DataFrame:
 
 def document_frequency(docs: DataFrame) -> DataFrame:
     """Documents per term over the whole corpus; one count per document and term."""
-    words = F.array_distinct(tokens(F.col("text")))
-    texts = spread_small(docs.select("doc_id", "text"), "doc_id")
-    terms = texts.select(F.explode_outer(words).alias("term")).filter(F.col("term").isNotNull())
+    if "words" in docs.columns:
+        terms = docs.select(F.explode(F.array_distinct("words")).alias("term"))
+    else:
+        words = F.array_distinct(tokens(F.col("text")))
+        texts = spread_small(docs.select("doc_id", "text"), "doc_id")
+        terms = texts.select(F.explode_outer(words).alias("term")).filter(F.col("term").isNotNull())
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """One row: number of documents and mean length in tokens."""
     n = F.count(F.lit(1))
-    texts = spread_small(docs.select("doc_id", "text"), "doc_id")
-    return texts.select(F.size(tokens(F.col("text"))).alias("n_tokens")).agg(
+    if "words" in docs.columns:
+        lengths = docs.select("n_tokens")
+    else:
+        texts = spread_small(docs.select("doc_id", "text"), "doc_id")
+        lengths = texts.select(F.size(tokens(F.col("text"))).alias("n_tokens"))
+    return lengths.agg(
         n.alias("n_docs"), F.try_divide(F.sum("n_tokens"), n).alias("mean_tokens")
     )
 
@@ -198,11 +219,6 @@ def query_terms(queries: DataFrame, group: str = "group_key") -> DataFrame:
     )
 
 
-def _groups_bytes(queries: DataFrame, group: str) -> int:
-    """Size of a table with a few numbers per group of the queries, counted."""
-    return 2 * measured_bytes(queries.select(group).distinct())
-
-
 def asked_postings(
     source: DataFrame | Index, queries: DataFrame, group: str = "group_key", k1: float = K1, b: float = B
 ) -> DataFrame:
@@ -227,53 +243,64 @@ def asked_postings(
 def weighted_terms(
     source: DataFrame | Index, queries: DataFrame
 ) -> DataFrame:
-    """Query words times their inverse document frequency; unknown words drop out."""
+    """Query words times their inverse document frequency; unknown words drop out.
+
+    The terms asked for are distinct before they meet the corpus's terms, so neither side has a hot key
+    there; then their weights, a counted few bytes each, are attached to the words.
+    """
     terms = source.terms if isinstance(source, Index) else term_weights(source)
-    return queries.join(terms.select("term", "idf"), "term").withColumn(
-        "qtf", F.col("qtf") * F.col("idf")
-    ).drop("idf")
+    asked = queries.select("term").distinct()
+    bound = 2 * measured_bytes(asked)
+    idf = attach(terms.select("term", "idf"), asked, ["term"], "inner", bound=bound)
+    return attach(queries, idf, ["term"], "inner", bound=bound).withColumn("qtf", F.col("qtf") * F.col("idf")).drop("idf")
+
+
+def best_by_words(qs: pd.DataFrame, ds: pd.DataFrame, k: int, min_score: float) -> pd.DataFrame:
+    """Best k documents of a block for each query: words (term, qtf) against items (doc_id, term, weight)."""
+    ids, position = np.unique(ds["doc_id"].to_numpy(), return_inverse=True)
+    weights = ds["weight"].to_numpy()
+    lists = {term: (position[rows], weights[rows]) for term, rows in ds.groupby("term").indices.items()}
+    out = [
+        pd.DataFrame(
+            {"signal_id": pd.Series(dtype=str), "query_no": pd.Series(dtype="int32"), "doc_id": ids[:0], "score": pd.Series(dtype=float)}
+        )
+    ]
+    for (signal, number), words in qs.groupby(["signal_id", "query_no"], sort=False):
+        total = np.zeros(len(ids))
+        for term, count in sorted(zip(words["term"], words["qtf"])):
+            if term in lists:
+                where, weight = lists[term]
+                total[where] += count * weight
+        best = best_of_row(total, ids, k, min_score)
+        if len(best):
+            out.append(pd.DataFrame({"signal_id": signal, "query_no": number, "doc_id": ids[best], "score": total[best]}))
+    return pd.concat(out[1:] or out, ignore_index=True)
 
 
 def bm25_topk(
     queries: DataFrame,
-    source: DataFrame | Index,
+    source: DataFrame | Index | TextIndex,
     group: str = "group_key",
     k: int = LIST_LENGTH,
     min_score: float = MIN_BM25,
 ) -> DataFrame:
     """BM25 top-k per query in its group; term statistics come from the whole corpus.
 
-    `source` is a stored index, or documents when the corpus is searched only once.
+    `source` is an index of segments, a stored index, or documents when the corpus is searched only once; their
+    texts are then split once, into a stored table.
     """
-
-    def score_block(qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
-        ids, position = np.unique(ds["doc_id"].to_numpy(), return_inverse=True)
-        weights = ds["weight"].to_numpy()
-        lists = {
-            term: (position[rows], weights[rows])
-            for term, rows in ds.groupby("term").indices.items()
-        }
-        out = []
-        for (signal, number), words in qs.groupby(["signal_id", "query_no"], sort=False):
-            total = np.zeros(len(ids))
-            for term, count in sorted(zip(words["term"], words["qtf"])):
-                if term in lists:
-                    where, weight = lists[term]
-                    total[where] += count * weight
-            best = best_of_row(total, ids, k, min_score)
-            out.append(
-                pd.DataFrame(
-                    {"signal_id": signal, "query_no": number, "doc_id": ids[best],
-                     "score": total[best]}
-                )
-            )
-        return pd.concat(out, ignore_index=True)
-
     words = query_terms(queries, group)
-    q, items = weighted_terms(source, words), asked_postings(source, words, group)
-    docs = source.postings.select(group, "doc_id").distinct() if isinstance(source, Index) else source
-    grid = block_grid(queries, docs, group, *SPARSE_BLOCK)
-    ranked = blocked_topk(q, items, grid, group, score_block, k, _groups_bytes(queries, group))
+    if isinstance(source, TextIndex):
+        ranked = source.topk(words.withColumnRenamed(group, "group_key"), k, min_score)
+    else:
+        if isinstance(source, DataFrame) and "words" not in source.columns:
+            source = stored(tokenized(source, group), "tokenized")
+        q, items = weighted_terms(source, words), asked_postings(source, words, group)
+        docs = source.postings.select(group, "doc_id").distinct() if isinstance(source, Index) else source
+        grid = stored(block_grid(queries, docs, group, *SPARSE_BLOCK), "grid")
+        ranked = blocked_topk(
+            q, items, grid, group, lambda qs, ds: best_by_words(qs, ds, k, min_score), k, 2 * measured_bytes(grid), "term"
+        )
     similarity = F.least(F.col("score") / 10.0, F.lit(1.0))
     return ranked.select(
         "signal_id",
@@ -338,7 +365,7 @@ def search(
     k: int = LIST_LENGTH,
     min_similarity: float = MIN_SIMILARITY,
     min_score: float = MIN_BM25,
-    index: Index | None = None,
+    index: Index | TextIndex | None = None,
 ) -> DataFrame:
     """All dense and sparse result lists of all signals, in one job.
 

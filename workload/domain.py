@@ -7,15 +7,14 @@ the shared work folder, as the products they stand for are stored tables too.
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import threading
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pharmasift.operators import disproportionality as dp
 from pharmasift.operators import naming, pairs
+from pharmasift.operators.storage import fresh_path
 from pharmasift.plans import flagging
 
 LIMITS = dp.Thresholds(prr=1.2, cases=30, other_cases=100, drug_cases=200)
@@ -26,26 +25,6 @@ SPIKE_MAX = 0.12
 LATE_MAX = 0.15
 
 _lock = threading.RLock()
-_local_folders: dict[str, str] = {}
-
-
-def work_folder(spark: SparkSession) -> str:
-    """Shared folder named by `spark.checkpoint.dir`; a temporary one only in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return f"{named}/pharmasift-{spark.sparkContext.applicationId}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _local_folders[app]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 _stored: dict[tuple[str, str, str], str] = {}
 
 

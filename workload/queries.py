@@ -13,7 +13,7 @@ from pharmasift.functions.text import contains_ci, name_join_key, tokens
 from pharmasift.functions.vectors import cosine
 from pharmasift.operators import audit, cases, corpus, evaluate, ledger, naming, pairs, quality
 from pharmasift.operators import disproportionality as dp
-from pharmasift.operators import retrieval, review, rubric, search_queries, temporal
+from pharmasift.operators import retrieval, review, rubric, search_queries, storage, temporal, text_index
 from pharmasift.operators.joins import with_scalars
 from pharmasift.plans import brief_audit, flagging, investigation
 from pharmasift.sources import messages, reports, tables
@@ -704,6 +704,32 @@ def _(s, p):
     return ranked(retrieval.bm25_topk(d.library_queries(s, p), retrieval.load_index(s, root)))
 
 
+def _grown_library(s, p):
+    """The library as three segments, added one after the other; the last two are united afterwards."""
+    docs = d.library(s, p)
+    part = [docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == i) for i in range(3)]
+    index = text_index.TextIndex(s, (text_index.write_segment(part[0], d.fresh_path(s, "segment"), block_docs=128),))
+    for more in part[1:]:
+        index = index.add(more, d.fresh_path(s, "segment"), block_docs=128)
+    return index
+
+
+@query("bm25_topk_segments", ranked_sql("bm25_library_scored", 0.1, 10))
+def _(s, p):
+    return ranked(retrieval.bm25_topk(d.library_queries(s, p), _grown_library(s, p)))
+
+
+@query("bm25_topk_merged_segments", ranked_sql("bm25_library_scored", 0.1, 10))
+def _(s, p):
+    index = _grown_library(s, p)
+    return ranked(retrieval.bm25_topk(d.library_queries(s, p), index.merge(index.segments[1:], d.fresh_path(s, "segment"))))
+
+
+@query("segment_frequencies", "SELECT term, CAST(sum(df) AS BIGINT) AS df FROM bm25_library_idf GROUP BY term")
+def _(s, p):
+    return _grown_library(s, p).frequencies()
+
+
 VECTOR_SCORED = """(SELECT 'v' || CAST(q.vec_id AS VARCHAR) AS signal_id, 1 AS query_no, e.vec_id AS doc_id,
     list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))
       / (sqrt(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))
@@ -748,16 +774,26 @@ def _(s, p):
     )
 
 
-@query("searched_additions", "SELECT signal_id, doc_id, fused_rank, round(rrf_score, 9) AS rrf_score, similarity, retriever FROM added_fused")
-def _(s, p):
-    """Half of the corpus is loaded; the other half is added as records, then searched by its text ids."""
+def _added_corpus(s, p):
+    """Half of the corpus is loaded; the other half is added as records. The corpus by text ids, and its index."""
     whole = d.corpus(s, p).withColumn("pmid", F.col("doc_id").cast("string"))
+    loaded = storage.stored(
+        whole.where("doc_id % 2 = 0").select("group_key", "pmid", corpus.doc_key(F.col("group_key"), F.col("pmid")).alias("doc_id"), "text", "embedding"),
+        "loaded",
+    )
     records = whole.select(
         "group_key", "pmid", F.concat(F.lit("Title "), "pmid").alias("title"), F.array("text").alias("abstract_parts"), F.lit("2023").alias("year")
     )
-    added = corpus.new_documents(records, whole.where("doc_id % 2 = 0").select("group_key", "pmid"))
-    docs = added.join(whole.select("pmid", "embedding"), "pmid").withColumnRenamed("doc_key", "doc_id")
-    hits = retrieval.search(d.literature_queries(s, p), docs, min_similarity=0.2)
+    fresh = corpus.new_documents(records, loaded.select("group_key", "pmid")).join(whole.select("pmid", "embedding"), "pmid")
+    added = storage.stored(fresh.withColumnRenamed("doc_key", "doc_id").select(loaded.columns), "additions")
+    index = text_index.TextIndex(s, (text_index.write_segment(loaded, d.fresh_path(s, "segment")),)).add(added, d.fresh_path(s, "segment"))
+    return loaded.unionByName(added), index
+
+
+@query("searched_additions", "SELECT signal_id, doc_id, fused_rank, round(rrf_score, 9) AS rrf_score, similarity, retriever FROM added_fused")
+def _(s, p):
+    docs, index = _added_corpus(s, p)
+    hits = retrieval.search(d.literature_queries(s, p), docs, min_similarity=0.2, index=index)
     return retrieval.fuse(hits).select(
         "signal_id", "doc_id", F.col("fused_rank").cast("long").alias("fused_rank"),
         F.round("rrf_score", 9).alias("rrf_score"), "similarity", "retriever",
@@ -970,6 +1006,16 @@ def _(s, p):
     return assessed.select("drug_key", "pt", "stat_score", "lit_score", "n_hits", "priority", "severity")
 
 
+@query("investigated_additions", f"""SELECT s.drug_key, s.pt, s.stat_score, coalesce(l.lit_score, 0.0) AS lit_score, coalesce(l.n_hits, 0) AS n_hits,
+    {priority('s.stat_score', 'coalesce(l.lit_score, 0.0)')} AS priority
+    FROM {MATCHED} s LEFT JOIN ({LIT_SQL.replace("FROM fused", "FROM added_fused")}) l ON s.item = l.signal_id""")
+def _(s, p):
+    """New documents, search and assessment in one flow."""
+    docs, index = _added_corpus(s, p)
+    assessed, _hits = investigation.investigate(d.stored_signals(s, p), _signal_queries(s, p), docs, min_similarity=0.2, index=index)
+    return assessed.select("drug_key", "pt", "stat_score", "lit_score", "n_hits", "priority")
+
+
 # --- brief audit -----------------------------------------------------------------
 
 

@@ -377,8 +377,8 @@ def bm25_ctes(prefix: str, docs: str, queries: str) -> dict[str, str]:
             FROM {p}_tokens""",
         f"{p}_raw": f"""SELECT term, df, ln(n_docs - df + CAST(0.5 AS DOUBLE)) - ln(df + CAST(0.5 AS DOUBLE)) AS raw
             FROM (SELECT term, count(*) AS df FROM {p}_postings GROUP BY term) CROSS JOIN {p}_stats""",
-        f"{p}_idf": f"""SELECT term, df, CASE WHEN raw < 0 THEN (SELECT avg(raw) FROM {p}_raw) * 0.25 ELSE raw END AS idf
-            FROM {p}_raw""",
+        f"{p}_idf": f"""SELECT term, df, CASE WHEN raw < 0 THEN mean_raw * 0.25 ELSE raw END AS idf
+            FROM (SELECT *, avg(raw) OVER () AS mean_raw FROM {p}_raw)""",
         f"{p}_terms": f"""SELECT signal_id, query_no, group_key, term, count(*) AS qtf
             FROM (SELECT signal_id, query_no, group_key, unnest({tokens('text')}) AS term FROM {queries}) GROUP BY ALL""",
         f"{p}_scored": f"""SELECT signal_id, query_no, o.doc_id, sum(qtf * idf * (tf * 2.5)
@@ -390,9 +390,10 @@ def bm25_ctes(prefix: str, docs: str, queries: str) -> dict[str, str]:
 
 
 CTES = {**CTES, **bm25_ctes("bm25_corpus", "corpus", "lit_queries"), **bm25_ctes("bm25_library", "library", "lib_queries")}
-# The same search over documents added by new_documents, whose ids are texts.
+# The same search over a corpus whose second half was added by new_documents; ids are texts.
 CTES["added"] = """SELECT group_key || '_' || CAST(doc_id AS VARCHAR) AS doc_id, group_key,
-    'Title ' || CAST(doc_id AS VARCHAR) || ' ' || text AS text, embedding FROM corpus WHERE doc_id % 2 = 1"""
+    CASE WHEN doc_id % 2 = 1 THEN 'Title ' || CAST(doc_id AS VARCHAR) || ' ' || text ELSE text END AS text, embedding
+    FROM corpus WHERE doc_id % 2 = 0 OR trim(text) <> ''"""
 CTES |= bm25_ctes("bm25_added", "added", "lit_queries")
 _RENAMED = {"corpus": "added", "bm25_corpus_scored": "bm25_added_scored"} | {
     n: f"added_{n}" for n in ("dense_scored", "dense_hits", "sparse_hits", "hits", "grouped_hits", "fused")
