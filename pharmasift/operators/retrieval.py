@@ -19,7 +19,9 @@ from pharmasift.functions.text import fixed, tokens
 from pharmasift.operators.blocks import best_of_row, block_grid, blocked_topk
 from pharmasift.operators.joins import attach, measured_bytes, spread_small, with_scalars
 from pharmasift.operators.storage import stored
+from pharmasift.operators import vector_index
 from pharmasift.operators.text_index import TextIndex
+from pharmasift.operators.vector_index import VectorIndex
 
 # List length, similarity floor, score floor, fusion constant,
 # hits kept per signal and the published default BM25 parameters.
@@ -48,17 +50,22 @@ def _unit(rows: pd.Series) -> np.ndarray:
 
 def dense_topk(
     queries: DataFrame,
-    docs: DataFrame,
+    docs: DataFrame | VectorIndex,
     group: str = "group_key",
     k: int = LIST_LENGTH,
     min_similarity: float = MIN_SIMILARITY,
+    probes: int | None = vector_index.PROBES,
 ) -> DataFrame:
-    """Exact cosine top-k per query among the documents of its group.
+    """Cosine top-k per query among the documents of its group.
 
+    Exact over documents; with a vector index, of its `probes` cells nearest to each query (exact if None).
     Dropping documents below the floor before ranking gives the same rows as ranking
     first, and keeps the lists short.
     """
 
+    if isinstance(docs, VectorIndex):
+        return vector_index.dense_topk(queries, docs, group, k, min_similarity, DENSE, probes)
+
     def score_block(qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
         ids = ds["doc_id"].to_numpy()
         similarity = _unit(qs["embedding"]) @ _unit(ds["embedding"]).T
@@ -366,12 +373,14 @@ def search(
     min_similarity: float = MIN_SIMILARITY,
     min_score: float = MIN_BM25,
     index: Index | TextIndex | None = None,
+    vectors: VectorIndex | None = None,
 ) -> DataFrame:
     """All dense and sparse result lists of all signals, in one job.
 
-    With a stored `index` the texts are not read again for the sparse half.
+    With a stored `index` the texts are not read again for the sparse half, with stored `vectors` the
+    documents not for the dense half.
     """
-    dense = dense_topk(queries, docs, group, k, min_similarity)
+    dense = dense_topk(queries, vectors or docs, group, k, min_similarity)
     sparse = bm25_topk(queries, index or docs, group, k, min_score)
     return dense.select(*HIT_COLUMNS).unionByName(sparse.select(*HIT_COLUMNS))
 

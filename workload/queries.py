@@ -13,7 +13,7 @@ from pharmasift.functions.text import contains_ci, name_join_key, tokens
 from pharmasift.functions.vectors import cosine
 from pharmasift.operators import audit, cases, corpus, evaluate, ledger, naming, pairs, quality
 from pharmasift.operators import disproportionality as dp
-from pharmasift.operators import retrieval, review, rubric, search_queries, storage, temporal, text_index
+from pharmasift.operators import retrieval, review, rubric, search_queries, storage, temporal, text_index, vector_index
 from pharmasift.operators.joins import with_scalars
 from pharmasift.plans import brief_audit, flagging, investigation
 from pharmasift.sources import messages, reports, tables
@@ -742,6 +742,13 @@ def _(s, p):
     return ranked(retrieval.dense_topk(d.vector_queries(s, p), d.vectors(s, p), min_similarity=0.2))
 
 
+@query("dense_topk_cells", ranked_sql(VECTOR_SCORED, 0.2, 10))
+def _(s, p):
+    """The vector index with all of its cells, which is the exact search."""
+    index = vector_index.VectorIndex.build(d.vectors(s, p), d.fresh_path(s, "vectors"))
+    return ranked(retrieval.dense_topk(d.vector_queries(s, p), index, min_similarity=0.2, probes=None))
+
+
 NEXT_COSINE = rnd("list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y)))", 4)
 
 
