@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pharmasift.functions import scores
@@ -131,6 +131,50 @@ def contingency(pairs: DataFrame, unique: bool = True) -> DataFrame:
     )
 
 
+#: Sums of a partial cell; the last three count each report once per drug, per reaction and over all.
+PARTIAL_SUMS = ("a", "n_rows", "death_count", "hosp_count", "lt_count", "for_drug", "for_reaction", "for_all")
+
+
+def marked(pairs: DataFrame) -> DataFrame:
+    """Unique pairs with 0/1 marks: the one row of its report that counts for its drug, its reaction, and the total.
+
+    One shuffle on the report, or none where the pairs are stored bucketed by `primaryid`; a report's rows are few.
+    """
+    report = Window.partitionBy("primaryid")
+    drug, reaction = Window.partitionBy("primaryid", "drug_key"), Window.partitionBy("primaryid", "pt")
+    first = F.struct("drug_key", "pt")
+    known = F.col("primaryid").isNotNull()
+    return pairs.withColumns(
+        {
+            "for_all": (known & (first == F.min(first).over(report))).cast("long"),
+            "for_drug": (known & (F.col("pt") == F.min("pt").over(drug))).cast("long"),
+            "for_reaction": (known & (F.col("drug_key") == F.min("drug_key").over(reaction))).cast("long"),
+        }
+    )
+
+
+def partial_cells(pairs: DataFrame, sign: int = 1) -> DataFrame:
+    """PARTIAL_SUMS per (drug, reaction, period) of marked pairs; with sign -1 they take these pairs back."""
+    sums = {
+        "a": F.count("primaryid"), "n_rows": F.count(F.lit(1)), "death_count": F.sum("death_flag"), "hosp_count": F.sum("hosp_flag"),
+        "lt_count": F.sum("lt_flag"), "for_drug": F.sum("for_drug"), "for_reaction": F.sum("for_reaction"), "for_all": F.sum("for_all"),
+    }
+    return pairs.groupBy("drug_key", "pt", "source_quarter").agg(*((sums[c] * sign).cast("long").alias(c) for c in PARTIAL_SUMS))
+
+
+def contingency_of(partials: DataFrame) -> DataFrame:
+    """2x2 table of every cell from stored partial cells: marginals are sums over the cells, whatever the number of reports."""
+    cells = partials.groupBy("drug_key", "pt").agg(
+        *(F.sum(c).alias(c) for c in ("a", "death_count", "hosp_count", "lt_count"))
+    ).filter(F.col("a") > 0)
+    return ratio_table(
+        cells,
+        partials.groupBy("drug_key").agg(F.sum("for_drug").alias("drug_total")),
+        partials.groupBy("pt").agg(F.sum("for_reaction").alias("reaction_total")),
+        partials.agg(F.sum("for_all").alias("n_total")),
+    )
+
+
 def threshold(
     cells: DataFrame, limits: Thresholds, junk: DataFrame | Sequence[str] = JUNK_TERMS
 ) -> DataFrame:

@@ -38,6 +38,16 @@ def period_shares(pairs: DataFrame, late_periods: Sequence[str] = LATE_PERIODS)
     )
 
 
+def shares_of(partials: DataFrame, late_periods: Sequence[str] = LATE_PERIODS) -> DataFrame:
+    """Period shares of stored partial cells (see `disproportionality.partial_cells`)."""
+    is_late = F.coalesce(F.col("source_quarter").isin(list(late_periods)), F.lit(False))
+    per_period = partials.groupBy("drug_key", "pt", "source_quarter").agg(F.sum("n_rows").alias("_rows")).filter("_rows > 0")
+    return per_period.groupBy("drug_key", "pt").agg(
+        (F.max("_rows") / F.sum("_rows")).alias("spike_share"),
+        (F.coalesce(F.sum(F.when(is_late, F.col("_rows"))), F.lit(0)) / F.sum("_rows")).alias("late_share"),
+    )
+
+
 def filter_periods(
     signals: DataFrame,
     pairs: DataFrame,

@@ -46,8 +46,11 @@ def flag_reports(
     limits: dp.Thresholds,
     junk: DataFrame | Sequence[str] = dp.JUNK_TERMS,
     roles: Sequence[str] = ("PS",),
+    spike_max: float | None = temporal.SPIKE_MAX_SHARE,
+    late_periods: Sequence[str] = temporal.LATE_PERIODS,
+    late_max: float | None = temporal.LATE_MAX_SHARE,
 ) -> DataFrame:
-    """Threshold-flagged signals in one plan, without storing the pairs.
+    """Flagged signals in one plan, without storing the pairs; the same as those of `flag`.
 
     The marginal totals do not need the drug x reaction product: a report counts
     towards a drug when it is current and has a reaction, and towards a reaction when
@@ -66,7 +69,23 @@ def flag_reports(
     by_drug = current_drugs.groupBy("drug_key").agg(F.count(F.lit(1)).alias("drug_total"))
     by_reaction = current_reactions.groupBy("pt").agg(F.count(F.lit(1)).alias("reaction_total"))
     total = valid.agg(F.count(F.lit(1)).alias("n_total"))
-    cells = dp.cell_counts(combine(facts, drugs, reactions, report_shards(drug, roles)))
-    return dp.signal_table(
-        dp.threshold(dp.ratio_table(cells, by_drug, by_reaction, total), limits, junk)
-    )
+    pairs = combine(facts, drugs, reactions, report_shards(drug, roles))
+    table = dp.ratio_table(temporal.cells_with_shares(pairs, late_periods), by_drug, by_reaction, total)
+    # every valid report has a pair, so its periods are those of the pairs
+    return dp.signal_table(temporal.keep_even(dp.threshold(table, limits, junk), valid, spike_max, late_periods, late_max))
+
+
+def flag_partials(
+    partials: DataFrame,
+    limits: dp.Thresholds,
+    junk: DataFrame | Sequence[str] = dp.JUNK_TERMS,
+    spike_max: float | None = temporal.SPIKE_MAX_SHARE,
+    late_periods: Sequence[str] = temporal.LATE_PERIODS,
+    late_max: float | None = temporal.LATE_MAX_SHARE,
+) -> DataFrame:
+    """Flagged signals of stored partial cells: no pair is read."""
+    passing = dp.threshold(dp.contingency_of(partials), limits, junk)
+    shares = temporal.shares_of(partials, late_periods)
+    judged = passing.join(shares, ["drug_key", "pt"])
+    periods = partials.groupBy("source_quarter").agg(F.sum("n_rows").alias("_rows")).filter("_rows > 0")
+    return dp.signal_table(temporal.keep_even(judged, periods, spike_max, late_periods, late_max))

@@ -15,7 +15,7 @@ from pharmasift.operators import audit, cases, corpus, evaluate, ledger, naming,
 from pharmasift.operators import disproportionality as dp
 from pharmasift.operators import retrieval, review, rubric, search_queries, storage, temporal, text_index, vector_index
 from pharmasift.operators.joins import with_scalars
-from pharmasift.plans import brief_audit, flagging, investigation
+from pharmasift.plans import brief_audit, flagging, incremental, investigation
 from pharmasift.sources import messages, reports, tables
 from pharmasift.streaming import ingest
 from workload import domain as d
@@ -411,13 +411,43 @@ def _(s, p):
 
 
 @query("flagged_from_reports", f"""SELECT drug_key, pt, prr, a AS drug_reaction_count, c AS other_reaction_count, drug_total, death_count
-    FROM candidates""")
+    FROM signals_with_totals""")
 def _(s, p):
     return flagging.flag_reports(
-        d.demo(s, p), d.drug(s, p), d.reac(s, p), d.outc(s, p), d.name_map(s, p), d.LIMITS, d.JUNK
+        d.demo(s, p), d.drug(s, p), d.reac(s, p), d.outc(s, p), d.name_map(s, p), d.LIMITS, d.JUNK,
+        spike_max=d.SPIKE_MAX, late_periods=d.LATE, late_max=d.LATE_MAX,
     ).select("drug_key", "pt", "prr", "drug_reaction_count", "other_reaction_count", "drug_total", "death_count")
 
 
+@query("contingency_from_partials", "SELECT drug_key, pt, a, b, c, d, drug_total, reaction_total, prr FROM contingency")
+def _(s, p):
+    partials = storage.stored(dp.partial_cells(dp.marked(d.stored_pairs(s, p))), "cells")
+    return dp.contingency_of(partials).select("drug_key", "pt", "a", "b", "c", "d", "drug_total", "reaction_total", "prr")
+
+
+def _kept_signals(s, p):
+    """Reports that arrive period by period, so that most cases are superseded once on the way."""
+    state = incremental.SignalState(s, d.fresh_path(s, "state"))
+    demo, drug, reac, outc = (storage.stored(f(s, p), f.__name__) for f in (d.demo, d.drug, d.reac, d.outc))
+    names = storage.stored(d.name_map(s, p), "names")
+    for year in (("1992", "1993", "1994"), ("1995", "1996"), ("1997", "1998"), None):
+        own = F.substring("source_quarter", 1, 4)
+        late = own > "1998"
+        some = demo.where(F.coalesce(late, F.lit(True)) if year is None else own.isin(*year))
+        ids = some.select("primaryid")
+        parts = (x.join(ids, "primaryid", "left_semi") for x in (drug, reac, outc))
+        state.add(str(year[0]) if year else "rest", some, *parts, names)
+    return state
+
+
+@query("flagged_by_differences", """SELECT drug_key, pt, prr, a AS drug_reaction_count, c AS other_reaction_count, drug_total, death_count
+    FROM signals_with_totals""")
+def _(s, p):
+    return _kept_signals(s, p).signals(d.LIMITS, d.JUNK, d.SPIKE_MAX, d.LATE, d.LATE_MAX).select(
+        "drug_key", "pt", "prr", "drug_reaction_count", "other_reaction_count", "drug_total", "death_count"
+    )
+
+
 @query("stat_scores", """SELECT drug_key, pt, stat_score, CASE WHEN stat_score >= 0.7 THEN 'high'
     WHEN stat_score >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM (
       SELECT drug_key, pt, """ + STAT + " AS stat_score FROM contingency)")

@@ -174,6 +174,7 @@ CTES: dict[str, str] = {
         c AS other_reaction_count, d AS other_no_reaction_count, death_count, hosp_count, lt_count,
         drug_total, {STAT} AS stat_score FROM candidates
         WHERE (drug_key, pt) IN (SELECT (drug_key, pt) FROM clean)""",
+    "signals_with_totals": "SELECT * FROM candidates WHERE (drug_key, pt) IN (SELECT (drug_key, pt) FROM clean)",
     "evidence": """SELECT drug_key, pt, j, CAST(drug_reaction_count + j + 1000000 AS VARCHAR) AS pmid, text
         FROM (SELECT *, unnest([0, 1, 2]) AS j FROM signals) s
         JOIN documents ON (drug_reaction_count * 7919 + other_reaction_count * 31 + j * 104729)
