@@ -12,6 +12,8 @@ INPUT_PER_1K = "0.00015"
 OUTPUT_PER_1K = "0.00060"
 DAILY_BUDGET = "10.00"
 MONEY = "decimal(18,8)"
+#: Keys that the cuts of a running sum are chosen from at most.
+CUT_SAMPLE = 20_000
 
 
 def call_cost(
@@ -44,9 +46,9 @@ def usage_by_task(calls: DataFrame, prices: dict[str, tuple[str, str]] | None =
     )
 
 
-def spend_by_day(calls: DataFrame, budget: str = DAILY_BUDGET) -> DataFrame:
+def spend_by_day(calls: DataFrame, budget: str = DAILY_BUDGET, prices: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     limit = F.lit(budget).cast(MONEY)
-    daily = with_cost(calls).groupBy("day").agg(F.sum("cost").cast(MONEY).alias("spent"))
+    daily = with_cost(calls, prices).groupBy("day").agg(F.sum("cost").cast(MONEY).alias("spent"))
     return daily.withColumns(
         {"remaining": (limit - F.col("spent")).cast(MONEY), "over_budget": F.col("spent") > limit}
     )
@@ -59,18 +61,17 @@ def running_spend(
     """Spend of the day up to and including each call, in the order of the given columns.
 
     A day may hold a large share of all calls, so one window per day would put them on
-    one task. Calls are cut into about `runs` equal parts at quantiles of the first order column
-    (a time or number) instead: a window inside each part, plus the sum of the day's earlier
-    parts, which is a small aggregate with one row per day and part.
+    one task. Calls are cut into about `runs` equal parts of the whole order key (any sortable types; calls
+    of one time are told apart by the next column) instead: a window inside each part, plus the sum of the day's earlier
+    parts, which is a small aggregate with one row per day and part. The cuts come from CUT_SAMPLE keys
+    at most, chosen by hash; they decide about sizes only.
     """
     limit = F.lit(budget).cast(MONEY)
-    place = F.col(order[0])
-    if not calls.schema[order[0]].dataType.simpleString().startswith(("timestamp", "date")):
-        place = place.cast("double")
-    else:
-        place = F.unix_micros(place.cast("timestamp"))
-    cuts = calls.agg(F.percentile_approx(place, [n / runs for n in range(1, runs)] or [0.5], 10_000).alias("_cuts"))
-    run = F.coalesce(F.size(F.filter("_cuts", lambda c: c < place)), F.lit(0))
+    place = F.struct(*order)
+    sample = calls.select(place.alias("_k")).orderBy(F.xxhash64(*order)).limit(CUT_SAMPLE).agg(F.array_sort(F.collect_list("_k")).alias("_s"))
+    steps = F.sequence(F.lit(1), F.lit(max(1, runs - 1)))
+    cuts = sample.select(F.transform(steps, lambda n: F.get("_s", (n * F.size("_s") / runs).cast("int"))).alias("_cuts"))
+    run = F.size(F.filter("_cuts", lambda c: c < place))
     costed = with_scalars(with_cost(calls, prices), cuts).withColumn("_run", run).drop("_cuts")
     per_run = costed.groupBy("day", "_run").agg(F.sum("cost").alias("_sum"))
     earlier = Window.partitionBy("day").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pharmasift.operators.cases import best_row
 from pharmasift.operators.joins import distinct_keys
+from pharmasift.operators.storage import stored
 from pharmasift.operators.quality import decision_rules, split_valid
 
 PAIR_KEY = ("primaryid", "drug_key", "pt")
@@ -23,17 +24,40 @@ def new_rows(incoming: DataFrame, existing: DataFrame, key: Sequence[str]) -> Da
     return unique.join(distinct_keys(existing, keys), keys, "left_anti").select(*incoming.columns)
 
 
+#: Buckets of a key-bucketed table; fixed for its life.
+BUCKETS = 32
+BUCKET = "_bucket"
+
+
+def bucketed(df: DataFrame, key: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """With the hash bucket of the key, the partition column of a key-bucketed table."""
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+
+
+def touched(df: DataFrame) -> list[int]:
+    """The buckets that occur; at most as many numbers as there are buckets."""
+    return [r[0] for r in df.select(BUCKET).distinct().collect()]
+
+
 def append_new(
-    incoming: DataFrame, path: str, key: Sequence[str] = PAIR_KEY, partition: str | None = None
+    incoming: DataFrame, path: str, key: Sequence[str] = PAIR_KEY, partition: str | None = None, buckets: int | None = None
 ) -> None:
-    """Append what is new, one row per key; running it again adds nothing."""
+    """Append what is new, one row per key; running it again adds nothing.
+
+    With `buckets` the table is partitioned by a hash of the key, and only the keys of buckets that incoming
+    rows fall into are read and compared.
+    """
     spark = incoming.sparkSession
+    rows = best_row(incoming, list(key), [])
+    parts = [partition] if partition else []
+    if buckets:
+        rows, parts = stored(bucketed(rows, key, buckets), "incoming"), [*parts, BUCKET]
     if path_exists(spark, path):
-        rows = new_rows(incoming, spark.read.parquet(path), key)
-    else:
-        rows = best_row(incoming, list(key), [])
-    writer = rows.write.mode("append")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
+        existing = spark.read.parquet(path)
+        if buckets:
+            existing = existing.where(F.col(BUCKET).isin(touched(rows)))
+        rows = rows.join(distinct_keys(existing, list(key)), list(key), "left_anti").select(*rows.columns)
+    rows.write.mode("append").partitionBy(*parts).parquet(path)
 
 
 def upsert(
@@ -81,107 +105,47 @@ def null_nan(df: DataFrame) -> DataFrame:
     return df.withColumns(cleaned) if cleaned else df
 
 
-# --- versioned replacement -------------------------------------------------
-
-
-def _fs(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+# --- replacing and key-bucketed tables ---------------------------------------
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
-def _pointer(root: str, number: int) -> str:
-    return f"{root}/_current-{number:010d}"
+def replace(df: DataFrame, root: str, partition: str | None = None) -> DataFrame:
+    """Write the rows as a new complete table below `root` and return it for readers.
 
-
-def _last(spark: SparkSession, root: str) -> int:
-    """Number of the newest pointer, 0 if there is none."""
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
-        return 0
-    names = [f.getPath().getName() for f in fs.listStatus(p)]
-    return max((int(n.removeprefix("_current-")) for n in names if n.startswith("_current-")), default=0)
-
-
-def current_version(spark: SparkSession, root: str) -> str | None:
-    """Path of the version readers should use; null before the first write."""
-    number = _last(spark, root)
-    if not number:
-        return None
-    fs, p = _fs(spark, _pointer(root, number))
-    stream = fs.open(p)
-    try:
-        reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream))
-        return f"{root}/{reader.readLine()}"
-    finally:
-        stream.close()
-
-
-def read_current(spark: SparkSession, root: str) -> DataFrame:
-    version = current_version(spark, root)
-    if version is None:
-        raise FileNotFoundError(f"no version of {root} has been written")
-    return spark.read.parquet(version)
-
-
-def replace(df: DataFrame, root: str, partition: str | None = None) -> str:
-    """Write a new complete version, then point readers to it. Older versions stay until `remove_old`.
-
-    The data of the version being read is never touched, so a table may be replaced
-    by a result computed from it, and a failed job leaves the old version in place.
+    What was read to compute them, an earlier table of `root` for instance, is not touched, and a failed job
+    leaves it in place.
     """
-    spark = df.sparkSession
-    name = f"version-{uuid.uuid4().hex}"
+    path = f"{root}/{uuid.uuid4().hex}"
     writer = df.write.mode("error")
-    (writer.partitionBy(partition) if partition else writer).parquet(f"{root}/{name}")
-    _commit(spark, root, name)
-    return f"{root}/{name}"
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _commit(spark: SparkSession, root: str, name: str) -> None:
-    """Publish a version under the next free number.
+def upsert_into(source: DataFrame, path: str, key: Sequence[str], order: Sequence[str] = (), buckets: int = BUCKETS) -> list[int]:
+    """Upsert into a table partitioned by hash bucket of the key, creating it when needed; the buckets rewritten.
 
-    The pointer is written aside and renamed, which fails if the number is taken: readers
-    see a whole pointer or none, and of two writers the later one gets the next number.
+    Only buckets that source rows fall into are read and overwritten; the files of all others stay. The
+    new content of these buckets is stored before the overwrite, and upserting the same rows again gives the same table.
+    An empty source changes nothing. The bucket is the last column of the table.
     """
-    fs, root_path = _fs(spark, root)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    aside = path(f"{root}/_pointer-{uuid.uuid4().hex}")
-    out = fs.create(aside, True)
-    try:
-        out.write(bytearray(f"{name}\n".encode()))
-    finally:
-        out.close()
-    number = _last(spark, root) + 1
-    while fs.exists(path(_pointer(root, number))) or not fs.rename(aside, path(_pointer(root, number))):
-        number += 1
-
-
-def remove_old(spark: SparkSession, root: str, keep: int = 2) -> int:
-    """Delete all but the newest `keep` versions; how many went. Nobody may be reading them."""
-    last, removed = _last(spark, root), 0
-    for number in range(1, last - keep + 1):
-        fs, pointer = _fs(spark, _pointer(root, number))
-        if fs.exists(pointer):
-            stream = fs.open(pointer)
-            name = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream)).readLine()
-            stream.close()
-            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"), True)
-            fs.delete(pointer, False)
-            removed += 1
-    return removed
-
-
-def upsert_into(source: DataFrame, root: str, key: Sequence[str], order: Sequence[str] = ()) -> str:
-    """Upsert into a versioned table, creating it when needed."""
     spark = source.sparkSession
-    if current_version(spark, root) is None:
-        return replace(best_row(source, list(key), list(order)), root)
-    return replace(upsert(read_current(spark, root), source, key, order), root)
+    latest = stored(bucketed(best_row(source, list(key), list(order)), key, buckets), "upserts")
+    numbers = touched(latest)
+    if not numbers and path_exists(spark, path):
+        return []
+    merged = latest
+    if path_exists(spark, path):
+        current = spark.read.parquet(path)
+        current = current.where(F.col(BUCKET).isin(numbers))
+        merged = stored(upsert(current, latest, [*key, BUCKET], order), "merged")
+    (
+        merged.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    )
+    return sorted(numbers)
 
 
 # --- exports and JDBC ------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pharmasift.operators.cases import latest_version
 from pharmasift.sources.messages import EntitySpec, parse_entity
+from pharmasift.sources.tables import BUCKET, BUCKETS, upsert_into
 
 
 def message_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -65,6 +66,35 @@ def track_versions(demo_stream: DataFrame, target: str, checkpoint: str) -> Stre
     )
 
 
+def newest_by_case(demo_stream: DataFrame) -> DataFrame:
+    """The newest version per case as a stateful streaming aggregate; its state store holds one row per case."""
+    return latest_version(demo_stream)
+
+
+def keep_versions(demo_stream: DataFrame, target: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep a table of one row per case up to date with everything not seen yet, then stop.
+
+    The aggregate emits the cases a batch changed (update mode), which are upserted into their hash buckets: the
+    table stays one row per case, however many batches there were. After a restart the state comes from the
+    checkpoint; a batch run again upserts the same rows.
+    """
+
+    def store(batch: DataFrame, _batch_id: int) -> None:
+        upsert_into(batch, target, ["caseid"], ["caseversion", "primaryid"], buckets)
+
+    return (
+        newest_by_case(demo_stream).writeStream.outputMode("update").foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def kept_versions(spark: SparkSession, target: str) -> DataFrame:
+    """The table that `keep_versions` keeps."""
+    return spark.read.parquet(target).drop(BUCKET)
+
+
 def current_versions(spark: SparkSession, target: str) -> DataFrame:
     """Newest version per case over all stored batches; late lower versions lose."""
     return latest_version(spark.read.parquet(target).drop("batch_id"))

@@ -129,5 +129,12 @@ def test_ledger(frame):
     final = {r.day: r.spent for r in ledger.spend_by_day(calls).collect()}
     running = ledger.running_spend(calls, "0.05", runs=7).groupBy("day").agg(F.max("spent").alias("m"))
     assert {r.day: r.m for r in running.collect()} == final
+    texts = calls.withColumn("call_id", F.concat(F.lit("c"), F.lpad(F.col("call_id").cast("string"), 3, "0"))).withColumn("ts", F.lit("same"))
+    for order in (("call_id",), ("ts", "call_id")):  # any type, and many calls of one time
+        got = ledger.running_spend(texts, "0.05", order=order, runs=7)
+        assert [r.spent for r in got.orderBy("call_id").collect()] == [r.spent for r in ledger.running_spend(calls, "0.05").orderBy("call_id").collect()]
+    assert ledger.running_spend(calls.limit(0)).count() == 0
+    dear = {r.day: r.spent for r in ledger.spend_by_day(calls, prices={"q": ("1", "1"), "b": ("1", "1")}).collect()}
+    assert all(dear[day] > 100 * spent for day, spent in final.items())
     one = ledger.with_cost(frame([(1, 7)], "input_tokens long, output_tokens long")).first().cost
     assert str(one) == "0.00000435"

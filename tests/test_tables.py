@@ -1,8 +1,11 @@
+import glob
 import json
 import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from pharmasift.operators.quality import split_valid, stored_brief_rules
 from pharmasift.sources import messages, tables
 from pharmasift.streaming import ingest
@@ -28,17 +31,49 @@ def test_upsert(frame):
     assert rows(tables.upsert(target.limit(0), source, ["k"], ["v"])) == [("b", 2, "new"), ("c", 3, "later")]
 
 
-def test_versioned_table_can_replace_itself(spark, frame, tmp_path):
+def test_table_can_be_replaced_by_what_was_computed_from_it(frame, tmp_path):
     root = str(tmp_path / "briefs")
-    with pytest.raises(FileNotFoundError):
-        tables.read_current(spark, root)
-    tables.upsert_into(frame([("a", 1), ("b", 1)], "k string, v int"), root, ["k"])
-    old = tables.current_version(spark, root)
+    old = tables.replace(frame([("a", 1), ("b", 1)], "k string, v int"), root)
+    new = tables.replace(old.where("k = 'b'").withColumn("v", F.col("v") + 4), root)
+    assert rows(new) == [("b", 5)] and rows(old) == [("a", 1), ("b", 1)]
+
+
+def files(path):
+    return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/_bucket=*/*.parquet")}
+
+
+def test_upsert_rewrites_touched_buckets_only(spark, frame, tmp_path):
+    path, schema = str(tmp_path / "t"), "k string, v int, note string"
+    first = [(f"k{i}", 1, None) for i in range(60)] + [(None, 1, "null key")]
+    tables.upsert_into(frame(first, schema), path, ["k"], ["v"], buckets=8)
+    before = files(path)
+    change = frame([("k3", 5, "new"), ("k3", 4, "older"), ("k3", 5, "new")], schema)
+    for _ in range(2):  # once more after a failure gives the same
+        numbers = tables.upsert_into(change, path, ["k"], ["v"], buckets=8)
+        assert len(numbers) == 1
+    after = files(path)
+    kept = {f: t for f, t in before.items() if f"_bucket={numbers[0]}/" not in f}
+    assert kept.items() <= after.items() and len(kept) >= 5
+    assert not {f for f in before if f"_bucket={numbers[0]}/" in f} & set(after)
+    expected = sorted([r for r in first if r[0] != "k3"] + [("k3", 5, "new")], key=str)
+    assert rows(spark.read.parquet(path), "k", "v", "note") == expected
+    assert tables.upsert_into(change.limit(0), path, ["k"], buckets=8) == [] and files(path) == after
+    tables.upsert_into(frame([("n", 1, None)], schema), path, ["k"], buckets=8)
+    assert spark.read.parquet(path).count() == len(first) + 1
+
+
+def test_append_reads_touched_buckets_only(spark, frame, tmp_path, monkeypatch):
+    path = str(tmp_path / "p")
+    pairs_ = frame([(i, "d", "r", "q") for i in range(50)] + [(1, "d", "r", "q")], "primaryid long, drug_key string, pt string, source_quarter string")
     for _ in range(2):
-        tables.upsert_into(frame([("b", 5)], "k string, v int"), root, ["k"])
-    assert rows(tables.read_current(spark, root)) == [("a", 1), ("b", 5)]
-    assert rows(spark.read.parquet(old)) == [("a", 1), ("b", 1)]
-    assert tables.remove_old(spark, root, keep=1) == 2 and rows(tables.read_current(spark, root)) == [("a", 1), ("b", 5)]
+        tables.append_new(pairs_, path, partition="source_quarter", buckets=8)
+    seen = []
+    keys = tables.distinct_keys
+    monkeypatch.setattr(tables, "distinct_keys", lambda df, k: seen.append(df) or keys(df, k))
+    tables.append_new(frame([(7, "d", "r", "q"), (7, "d", "x", "q")], pairs_.schema).where("pt = 'r'"), path, partition="source_quarter", buckets=8)
+    assert spark.read.parquet(path).count() == 50
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
 
 
 def test_decisions_are_checked_and_upper_cased(frame):
@@ -131,3 +166,26 @@ def test_late_lower_versions_lose(spark, tmp_path):
     assert run() == [(1, 3), (2, 5)]
     put(src, "b.json", demo(2, 1, 2, "2023Q2"), demo(6, 2, 2, "2023Q2"))
     assert run() == [(1, 3), (2, 6)]
+
+
+DEMO = "primaryid long, caseid long, caseversion int, fda_dt string, source_quarter string"
+
+
+def test_kept_versions_survive_a_restart_and_stay_one_row_per_case(spark, frame, tmp_path):
+    """Batches, a late lower version, an equal version with a higher id, and a stop between them."""
+    batches = [
+        [(1, 10, 1, "a", "q"), (2, 11, 1, "a", "q"), (3, 12, 5, "a", "q")],
+        [(4, 10, 3, "b", "q"), (5, 12, 4, "b", "q")],
+        [(6, 10, 2, "c", "q"), (7, 11, 1, "c", "q"), (8, 13, 1, "c", "q")],
+    ]
+    source, target, state = str(tmp_path / "in"), str(tmp_path / "cases"), str(tmp_path / "state")
+    everything = []
+    for batch in batches:
+        frame(batch, DEMO).coalesce(1).write.mode("append").parquet(source)
+        everything += batch
+        stream = spark.readStream.schema(DEMO).parquet(source)
+        for _ in range(2):  # the second start finds nothing new
+            ingest.keep_versions(stream, target, state, buckets=4).awaitTermination()
+        expected = rows(ingest.latest_version(frame(everything, DEMO)), "caseid", "caseversion", "primaryid")
+        assert rows(ingest.kept_versions(spark, target), "caseid", "caseversion", "primaryid") == expected
+    assert len(files(target)) <= 4

@@ -196,9 +196,8 @@ def _(s, p):
 @query("replace_signals", "SELECT drug_key, pt, prr, stat_score FROM signals")
 def _(s, p):
     root = d.fresh_path(s, "replaced")
-    tables.replace(d.stored_signals(s, p).limit(1), root)
-    tables.replace(d.stored_signals(s, p), root)
-    return tables.read_current(s, root).select("drug_key", "pt", "prr", "stat_score")
+    old = tables.replace(d.stored_signals(s, p).withColumn("prr", F.col("prr") / 2), root)
+    return tables.replace(old.withColumn("prr", F.col("prr") * 2), root).select("drug_key", "pt", "prr", "stat_score")
 
 
 UPSERT_SQL = """SELECT drug_key, pt, lit_score, 'old' AS origin FROM briefs WHERE lit_score < 0.5
@@ -215,6 +214,19 @@ def _(s, p):
     return tables.upsert(target, source, tables.SIGNAL_KEY)
 
 
+@query("upsert_briefs_by_bucket", UPSERT_SQL)
+def _(s, p):
+    """The same into a stored table, bucket by bucket, with part of the source upserted twice."""
+    b, path = d.stored_briefs(s, p).select("drug_key", "pt", "lit_score"), d.fresh_path(s, "briefs")
+    tables.upsert_into(b.withColumn("origin", F.lit("old")), path, tables.SIGNAL_KEY)
+    source = b.filter(F.col("lit_score") >= 0.5).select(
+        "drug_key", "pt", (F.col("lit_score") / 2).alias("lit_score"), F.lit("new").alias("origin")
+    )
+    tables.upsert_into(source.filter("pt < 'nation_15'"), path, tables.SIGNAL_KEY)
+    tables.upsert_into(source, path, tables.SIGNAL_KEY)
+    return s.read.parquet(path).drop(tables.BUCKET)
+
+
 @query("upsert_name_map", """SELECT left(prod_ai, 8) AS prod_ai, left(canonical_name, 8) AS canonical_name, rxcui
     FROM raw_map WHERE rxcui NOT LIKE '%5' UNION ALL SELECT left(prod_ai, 8), 'old', 'old' FROM raw_map WHERE rxcui LIKE '%5'""")
 def _(s, p):
@@ -1371,6 +1383,14 @@ def _(s, p):
     return s.read.parquet(target).select("primaryid", "caseid", "caseversion", "fda_dt", "source_quarter")
 
 
+@query("kept_case_versions", "SELECT * FROM latest")
+def _(s, p):
+    """Newest versions by a stateful aggregate over the stream, upserted into a table of one row per case."""
+    target, checkpoint = d.fresh_path(s, "cases"), d.fresh_path(s, "case-state")
+    ingest.keep_versions(_order_stream(s, p), target, checkpoint).awaitTermination()
+    return ingest.kept_versions(s, target)
+
+
 @query("streamed_case_versions", "SELECT * FROM latest")
 def _(s, p):
     target, checkpoint = d.fresh_path(s, "versions"), d.fresh_path(s, "version-state")
