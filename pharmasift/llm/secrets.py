@@ -4,7 +4,8 @@ Candidate strings are found by regular expressions whose places follow from the
 matches and of the text between them. Runs of token characters are then scanned by a sliding
 window: its character counts change by one character in and one out per step, and so does
 the sum from which the Shannon entropy follows. The threshold depends on the run's
-character class; an allow-list suppresses runs that are no secrets.
+character class; an allow-list suppresses runs that are no secrets. Where a run as a whole is none, its
+parts between slashes are judged by themselves.
 """
 
 from __future__ import annotations
@@ -26,11 +27,14 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
-#: Bits per character that some window must reach, by the class of the whole run.
+#: Bits per character that some window must reach, by the class of the run or part.
 HEX_BITS, TOKEN_BITS = 3.0, 3.8
-#: Runs that are no secrets: words joined by signs, numbers, UUIDs, and what names itself an example.
+#: Runs of token characters; `=` ends them, as padding or because a value follows.
+RUN = f"[A-Za-z0-9+/_-]{{{WINDOW},}}={{0,2}}"
+#: Runs that are no secrets: words (of one case or with capitals in front, without six consonants in a row) joined by
+#: signs, numbers, UUIDs, and what names itself an example.
 ALLOWED = (
-    r"^[^0-9]*$",
+    r"^(?!.*(?i:[bcdfghjklmnpqrstvwxz]{6}))(?:[+/_=-]*+(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[A-Za-z](?![A-Za-z])))*+[+/_=-]*+$",
     r"^[0-9+/_=-]*$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"(?i:example|sample|placeholder|changeme)",
@@ -127,7 +131,7 @@ def scan(
     """
     need(docs, id, text)
     whole = F.coalesce(F.col(text), F.lit(""))
-    patterns = (ASSIGN, ACCESS, HEX, f"[A-Za-z0-9+/_=-]{{{WINDOW},}}")
+    patterns = (ASSIGN, ACCESS, HEX, RUN)
     parts = [F.coalesce(_found(whole, k, p), F.array().cast("array<struct<kind:int,number:int,gap:int,match:string>>")) for k, p in enumerate(patterns)]
     rows = stored(
         docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), F.concat(*parts).alias("found")),
@@ -140,15 +144,32 @@ def scan(
     value = F.char_length(F.regexp_extract("match", ASSIGN, 2))
     placed = placed.where((F.col("kind") != 0) | (value >= ASSIGN_VALUE))
 
+    # each run, and where it has slashes its parts with their places
+    def pieces(parts: Column) -> Column:
+        def place(part: Column, i: Column) -> Column:
+            before = F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda n, x: n + F.char_length(x) + 1)
+            return F.struct(F.lit(1).alias("level"), before.alias("shift"), part.alias("text"))
+
+        return F.transform(parts, place)
+
+    whole_run = F.array(F.struct(F.lit(0).alias("level"), F.lit(0).alias("shift"), F.col("match").alias("text")))
+    parts_too = F.when(F.col("match").contains("/"), F.concat(whole_run, let(F.split("match", "/"), pieces))).otherwise(whole_run)
+    candidates = (
+        placed.where("kind = 3").select("row", "kind", F.col("start").alias("run"), F.explode(parts_too).alias("c"))
+        .select("row", "kind", "run", "c.level", (F.col("run") + F.col("c.shift")).alias("start"), "c.text")
+        .where(F.char_length("text") >= WINDOW)
+    )
     suppressed = F.lit(False)
     for pattern in allowed:
-        suppressed |= F.col("match").rlike(pattern)
-    bits = F.when(F.col("match").rlike("^[0-9a-fA-F]+$"), F.lit(hex_bits)).otherwise(F.lit(token_bits))
+        suppressed |= F.col("text").rlike(pattern)
+    bits = F.when(F.col("text").rlike("^[0-9a-fA-F]+$"), F.lit(hex_bits)).otherwise(F.lit(token_bits))
     base = placed.where("kind < 3").select("row", "kind", "start", "end")
     extra = (
-        placed.where((F.col("kind") == 3) & ~suppressed)
-        .select("row", "kind", "start", peak(F.col("match"), bits).alias("p"))
+        candidates.where(~suppressed)
+        .select("row", "kind", "run", "level", "start", peak(F.col("text"), bits).alias("p"))
         .where("p.first IS NOT NULL")
+        .withColumn("first_level", F.min("level").over(Window.partitionBy("row", "run")))
+        .where("level = first_level")
         .select("row", "kind", (F.col("start") + F.col("p.first")).alias("start"), (F.col("start") + F.col("p.last")).alias("end"))
     )
     spans = base.union(extra).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("s"))

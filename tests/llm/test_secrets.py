@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -21,21 +22,29 @@ def base(text):
 
 def entropy(text):
     found = []
-    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
-        run = m[0]
-        if any(re.search(p, run) for p in secrets.ALLOWED):
-            continue
-        bits = 3.0 if re.fullmatch("[0-9a-fA-F]+", run) else 3.8
-        high = []
-        for i in range(len(run) - 19):
-            c = Counter(run[i : i + 20]).values()
-            if -sum(n / 20 * math.log2(n / 20) for n in c) >= bits - 1e-9:
-                high.append(i)
-        if high:
-            found.append((m.start() + high[0], 3, m.start() + high[-1] + 20))
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text):
+        whole = judged(m[0], m.start())
+        if not whole and "/" in m[0]:
+            at = m.start()
+            for part in m[0].split("/"):
+                whole += judged(part, at) if len(part) >= 20 else []
+                at += len(part) + 1
+        found += whole
     return found
 
 
+def judged(run, at):
+    if any(re.search(p, run) for p in secrets.ALLOWED):
+        return []
+    bits = 3.0 if re.fullmatch("[0-9a-fA-F]+", run) else 3.8
+    high = []
+    for i in range(len(run) - 19):
+        c = Counter(run[i : i + 20]).values()
+        if -sum(n / 20 * math.log2(n / 20) for n in c) >= bits - 1e-9:
+            high.append(i)
+    return [(at + high[0], 3, at + high[-1] + 20)] if high else []
+
+
 def expected(text):
     def joined(spans):
         return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
@@ -55,6 +64,8 @@ TEXTS = [
     "deadbeef" * 3, "0" * 40, "zz" + "0123456789abcdef" * 2 + "zz", "c9e2b7a1" * 30, "Zx9Kq2Lm8Vb4Nc6Hj1Gf5Ds7Ap3", "a" * 25 + "Zx9Kq2Lm8Vb4Nc6Hj1Gf5Ds7Ap3" + "b" * 25 + "1",
     "8-4: 123e4567-e89b-12d3-a456-426614174000", "EXAMPLEZx9Kq2Lm8Vb4Nc6Hj1Gf5", "a_long_identifier_of_words_only", "ſecret=abcdefgh toKen=abcdefgh",
     "token=abc" * 400 + " token=abcdef", "passwordtoken=aaaaaa", "token\t= abcdefg", "ABCDEF0123456789ABCDEF0123456789", "x" * 5000 + "=Q1w2E3r4T5y6U7i8O9p0AaSsDd",
+    "sig=9F86D081884C7D659A2FEAA0C55AD015", "sample/Zx9Kq2Lm8Vb4Nc6Hj1Gf5Ds7Ap3Qw5Er7Ty9", "a/b/c/" + "Zx9Kq2Lm8Vb4Nc6Hj1Gf5" + "/" + "example" * 4,
+    "qWeRtYuIoPaSdFgHjKlZxCvBnMqWeRtYuIoPaSdF", "https/www/some-ordinary-path/with_many_words/and/ALL_CAPS/x", "Zx9Kq2Lm8Vb4Nc6Hj1Gf5A==", "getUserNameFromDatabaseConnection",
 ]
 
 
@@ -74,3 +85,19 @@ def test_null_repeated_and_no_rows(spark):
 def test_whole_table_like_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert by_id(secrets.scan(docs)) == sorted((r.doc_id, *expected(r.text or "")) for r in docs.collect())
+
+
+def test_random_secrets_are_found_wherever_they_stand(spark):
+    """Upper-case hex behind a name, keys behind a path, and tokens without a digit; ordinary words are not."""
+    draw = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    texts = []
+    for _ in range(100):
+        texts.append("sig=" + "".join(draw.choices("0123456789ABCDEF", k=32)))
+        texts.append("sample/" + "".join(draw.choices(letters + "0123456789", k=40)))
+        texts.append("".join(draw.choices(letters, k=40)))
+    words = ["some_ordinary_identifier_of_words", "AnotherOrdinaryClassNameInCode", "path/to/an/ordinary/folder/of/files"]
+    docs = spark.createDataFrame(list(enumerate(texts + words)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    found = [sum("entropy" in spans[i] for i in range(kind, 300, 3)) for kind in range(3)]
+    assert min(found) >= 95 and not any(spans[i] for i in range(300, 303))
