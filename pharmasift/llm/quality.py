@@ -156,7 +156,8 @@ def _share(column, rows: int, total: int):
 def learn_terms(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", rows: int = LABELLED_ROWS) -> Terms:
     """Terms that mark toxic documents, from about `rows` labelled rows.
 
-    Equal texts count once, so that a copied document does not make its own words suspicious. Terms are
+    Equal texts count once, so that a copied document does not make its own words suspicious; one of them that
+    is labelled toxic makes the text toxic. Terms are
     counted per task and summed by Spark; at most TERMS of a reading reach the driver.
     """
     need(labels, id, "toxic")
@@ -164,7 +165,7 @@ def learn_terms(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: st
     chosen = stored(known.where(_share(F.xxhash64(id), rows, labels.count())).select(F.col(id).alias("_id"), "_toxic"), "labelled")
     chosen = F.broadcast(chosen) if small(chosen) else chosen
     picked = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).where("_text IS NOT NULL").join(chosen, "_id")
-    texts = picked.dropDuplicates(["_text"]).select("_text", F.col("_toxic").cast("int").alias("_toxic"))
+    texts = picked.groupBy("_text").agg(F.max("_toxic").cast("int").alias("_toxic"))
 
     def rows_of(found, totals):
         rows = [(k, t, *x) for (k, t), x in found.items()]

@@ -55,3 +55,17 @@ def test_odd_rows(spark):
     assert quality.classify(docs.limit(0), labels.limit(0)).collect() == []
     with pytest.raises(ValueError):
         quality.score(docs, None)
+
+
+def test_equal_texts_with_different_labels_count_as_toxic(spark):
+    """The label of a repeated text is the higher one, however its rows are spread."""
+    import random
+
+    draw = random.Random(2)
+    texts = [" ".join(draw.choices("aaa bbb ccc ddd eee".split(), k=40)) for _ in range(60)]
+    bad = [t + " xqzvile" * 6 for t in texts[:20]]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(bad)] + [(200 + i, t) for i, t in enumerate(bad)]
+    labels = [(i, 0) for i in range(60)] + [(100 + i, i % 2) for i in range(20)] + [(200 + i, 1 - i % 2) for i in range(20)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    found = quality.learn_terms(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert any("xqzvile".startswith(t) for weights in found.weights for t in weights)
