@@ -11,9 +11,9 @@ from pharmasift.functions import scores
 from pharmasift.functions.rounding import half_even
 from pharmasift.functions.text import contains_ci, name_join_key, tokens
 from pharmasift.functions.vectors import cosine
-from pharmasift.operators import audit, cases, corpus, evaluate, ledger, naming, pairs, quality
+from pharmasift.operators import audit, cases, corpus, evaluate, feed_store, ledger, naming, pairs, quality
 from pharmasift.operators import disproportionality as dp
-from pharmasift.operators import retrieval, review, rubric, search_queries, storage, temporal, text_index, vector_index
+from pharmasift.operators import retrieval, review, rubric, search_queries, storage, substring_index, temporal, text_index, vector_index
 from pharmasift.operators.joins import with_scalars
 from pharmasift.plans import brief_audit, flagging, incremental, investigation
 from pharmasift.sources import messages, reports, tables
@@ -509,6 +509,21 @@ def _(s, p):
     return review.order_feed(review.filter_feed(feed(s, p), search="ND#1"))
 
 
+@query("feed_search_by_trigrams", "SELECT drug_key, pt FROM signals WHERE drug_key ILIKE '%ND#1%' OR pt ILIKE '%ND#1%'")
+def _(s, p):
+    path = d.fresh_path(s, "grams")
+    substring_index.store(d.stored_signals(s, p), path)
+    return substring_index.search(s, path, "ND#1")
+
+
+@query("feed_seek_pages", f"SELECT {FEED_SQL} FROM feed ORDER BY {ORDER_SQL} LIMIT 20 OFFSET 20")
+def _(s, p):
+    """The second page, from where the first one ended."""
+    store = feed_store.FeedStore.write(feed(s, p), d.fresh_path(s, "feed"))
+    first = store.page(20).collect()
+    return store.page(20, store.position(first[-1])).select(*FEED_COLUMNS)
+
+
 for _by, _sql in {
     "priority": f"{tier_rank('coalesce(upper(priority), ' + chr(39) + 'P4' + chr(39) + ')', 4)}",
     "prr": "coalesce(prr, 0) DESC",
@@ -590,10 +605,10 @@ def _(s, p):
 
 
 @query("queue_search_in_tier", """SELECT drug_key, pt, priority FROM ready
-    WHERE (contains(drug_key, 'r') OR contains(pt, 'r')) AND priority = 'P4'""")
+    WHERE (contains(drug_key, 'n_1') OR contains(pt, 'n_1')) AND priority = 'P4'""")
 def _(s, p):
     q = review.queue(d.stored_signals(s, p), d.stored_briefs(s, p), d.decisions(s, p))
-    return review.filter_feed(q, priority="P4", search="R").select("drug_key", "pt", "priority")
+    return review.filter_feed(q, priority="P4", search="N_1").select("drug_key", "pt", "priority")
 
 
 @query("decision_history", f"SELECT drug_key, pt, decision, reviewer_note, {MOMENT.format('decided_at')} FROM decisions")
@@ -971,11 +986,15 @@ def _(s, p):
 
 @query("query_term_coverage", """SELECT generator, count(*) AS n_signals, count(*) FILTER (hit) AS n_with_terms,
     count(*) FILTER (hit) >= count(*) * 0.7 AS ok FROM (
-      SELECT 'template' AS generator, contains(pt, 'nation_1') OR contains('mechanism pharmacology adverse reaction', 'pharmacology') AS hit
-     FROM signals UNION ALL
-      SELECT 'naive', contains(drug_key || ' ' || pt || ' adverse safety', 'nation_1') FROM signals) GROUP BY 1""")
-def _(s, p):
-    expected = F.array(F.lit("Pharmacology"), F.lit("NATION_1"))
+      SELECT generator, contains(lower(drug_key || ' ' || pt || ending), lower(term)) AS hit FROM (
+        SELECT *, CASE drug_reaction_count % 3 WHEN 0 THEN upper(pt) WHEN 1 THEN 'Pharmacology' ELSE drug_key || other_reaction_count END AS term
+        FROM signals) CROSS JOIN (VALUES ('template', ' mechanism pharmacology adverse reaction'), ('naive', ' adverse')) v(generator, ending))
+    GROUP BY 1""")
+def _(s, p):
+    """One expected term a signal: its reaction, a word of one generator's queries, or one that no query has."""
+    kind = F.col("drug_reaction_count") % 3
+    none = F.concat("drug_key", F.col("other_reaction_count").cast("string"))
+    expected = F.array(F.when(kind == 0, F.upper("pt")).when(kind == 1, F.lit("Pharmacology")).otherwise(none))
     def rows(name, endings):
         return d.stored_signals(s, p).select(
             F.lit(name).alias("generator"),
@@ -1303,10 +1322,25 @@ def _(s, p):
     return quality.present_columns(d.stored_pairs(s, p), ["drug_key", "rxcui", "route"])
 
 
-@query("readiness_check", """SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS null_keys, CAST(0 AS BIGINT) AS upper_terms,
-    CAST(0 AS BIGINT) AS upper_drugs, CAST(0 AS BIGINT) AS duplicate_keys FROM pairs""")
+BROKEN_PAIRS = """SELECT primaryid, CASE WHEN primaryid % 11 = 0 THEN NULL WHEN primaryid % 5 = 0 THEN upper(drug_key) ELSE drug_key END AS drug_key,
+    CASE WHEN primaryid % 7 = 0 THEN upper(pt) ELSE pt END AS pt FROM (SELECT * FROM pairs UNION ALL SELECT * FROM pairs WHERE primaryid % 13 = 0)"""
+
+
+@query("readiness_check", f"""SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(CASE WHEN drug_key IS NULL THEN n ELSE 0 END) AS BIGINT) AS null_keys,
+    CAST(sum(CASE WHEN pt <> lower(pt) THEN n ELSE 0 END) AS BIGINT) AS upper_terms,
+    CAST(sum(CASE WHEN drug_key <> lower(drug_key) THEN n ELSE 0 END) AS BIGINT) AS upper_drugs,
+    count(*) FILTER (n > 1) AS duplicate_keys
+    FROM (SELECT primaryid, drug_key, pt, count(*) AS n FROM ({BROKEN_PAIRS}) GROUP BY ALL)""")
 def _(s, p):
-    return quality.readiness(d.stored_pairs(s, p))
+    """Pairs broken on purpose: missing and upper-case keys, and rows that occur twice."""
+    pairs_, id = d.stored_pairs(s, p), F.col("primaryid")
+    broken = pairs_.unionByName(pairs_.where(id % 13 == 0)).withColumns(
+        {
+            "drug_key": F.when(id % 11 != 0, F.when(id % 5 == 0, F.upper("drug_key")).otherwise(F.col("drug_key"))),
+            "pt": F.when(id % 7 == 0, F.upper("pt")).otherwise(F.col("pt")),
+        }
+    )
+    return quality.readiness(broken)
 
 
 @query("pair_violations", """SELECT concat_ws(' | ', CASE WHEN rxcui IS NULL THEN 'caseid required' END,
@@ -1320,9 +1354,14 @@ def _(s, p):
     return judged.groupBy(joined("violations")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("signal_violations", "SELECT '' AS violations, count(*) AS n FROM contingency")
+@query("signal_violations", """SELECT concat_ws(' | ', CASE WHEN a % 3 = 0 THEN 'prr > 0' END,
+      CASE WHEN a % 5 = 0 THEN 'drug_total >= 0' END) AS violations, count(*) AS n FROM contingency GROUP BY 1""")
 def _(s, p):
-    judged = quality.violations(dp.signal_table(dp.contingency(d.stored_pairs(s, p))), quality.signal_rules())
+    n = F.col("drug_reaction_count")
+    broken = dp.signal_table(dp.contingency(d.stored_pairs(s, p))).withColumns(
+        {"prr": F.when(n % 3 == 0, -F.col("prr")).otherwise(F.col("prr")), "drug_total": F.when(n % 5 != 0, F.col("drug_total"))}
+    )
+    judged = quality.violations(broken, quality.signal_rules())
     return judged.groupBy(joined("violations")).agg(F.count(F.lit(1)).alias("n"))
 
 
