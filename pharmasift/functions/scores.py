@@ -95,6 +95,9 @@ def percent(part: Column, whole: Column) -> Column:
     return F.coalesce(share, F.lit(0.0))
 
 
+# The outcome and hint sentences in the functions below have to read exactly so.
+
+
 def outcome_text(
     death: Column,
     lt: Column,

@@ -56,6 +56,8 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+# The messages in the functions below have to read exactly so, wording and order of parts included.
+
 # --- numbers ---------------------------------------------------------------
 
 

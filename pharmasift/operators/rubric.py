@@ -20,6 +20,9 @@ CRITERIA = (
 )
 
 
+# The reasons in the functions below have to read exactly so.
+
+
 def _text() -> Column:
     return F.coalesce("brief_text", F.lit(""))
 
