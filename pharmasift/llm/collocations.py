@@ -28,11 +28,11 @@ TOP = 2000
 #: A candidate goes if a longer one that holds it has at least this percentage of its occurrences.
 INSIDE = 80
 #: Words that one transducer of a task is built from.
-SHARD_WORDS = 500_000
+SHARD_WORDS = 200_000
 #: States of one stored piece of a transducer, about.
-BLOCK_STATES = 60_000
+BLOCK_STATES = 20_000
 #: States (before they are united) of one range of prefixes, about.
-RANGE_STATES = 1_500_000
+RANGE_STATES = 600_000
 #: Pieces from which the borders of ranges are chosen, which decide about sizes only.
 BORDER_SAMPLE = 200_000
 
@@ -401,7 +401,7 @@ def _merged(parts: Iterable[Counts], factor: int = 2) -> Counts:
     for c in parts:
         held.append(c)
         size += c.states
-        if size > factor * max(done, 250_000):
+        if size > factor * max(done, 100_000):
             held = [Counts.union(held)]
             size = done = held[0].states
     return Counts.union(held)

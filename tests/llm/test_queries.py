@@ -15,7 +15,7 @@ def duck():
 
 
 def test_one_query_per_operator_and_the_pipeline():
-    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert sorted((name.split("_")[0] for name in QUERIES), key=lambda n: int(n[2:])) == [f"op{n}" for n in range(1, 14)]
     assert "pipeline" in queries() and set(QUERIES) <= set(queries())
 
 
