@@ -113,6 +113,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
+def has_buckets(spark: SparkSession, path: str) -> bool:
+    """Whether a key-bucketed table has rows: one without any is an empty folder."""
+    folders = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{BUCKET}=*")
+    return bool(folders.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folders))
+
+
 def replace(df: DataFrame, root: str, partition: str | None = None) -> DataFrame:
     """Write the rows as a new complete table below `root` and return it for readers.
 
@@ -138,7 +144,7 @@ def upsert_into(source: DataFrame, path: str, key: Sequence[str], order: Sequenc
     if not numbers and path_exists(spark, path):
         return []
     merged = latest
-    if path_exists(spark, path):
+    if has_buckets(spark, path):
         current = spark.read.parquet(path)
         current = current.where(F.col(BUCKET).isin(numbers))
         merged = stored(upsert(current, latest, [*key, BUCKET], order), "merged")

@@ -22,7 +22,10 @@ SMALL_LIMITS = dp.Thresholds(prr=1.2, cases=5, other_cases=20, drug_cases=10)
 LATE = ("2001Q1", "2001Q2", "2001Q3")
 JUNK = (*dp.JUNK_TERMS, "nation_3", "nation_17")
 SPIKE_MAX = 0.12
+#: For the smallest tables, whose pairs have few reports in each period.
+SMALL_SPIKE_MAX = 0.5
 LATE_MAX = 0.15
+SMALL_LATE_MAX = 0.5
 
 _lock = threading.RLock()
 _stored: dict[tuple[str, str, str], str] = {}

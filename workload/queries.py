@@ -224,7 +224,7 @@ def _(s, p):
     )
     tables.upsert_into(source.filter("pt < 'nation_15'"), path, tables.SIGNAL_KEY)
     tables.upsert_into(source, path, tables.SIGNAL_KEY)
-    return s.read.parquet(path).drop(tables.BUCKET)
+    return s.read.schema(source.schema).parquet(path)
 
 
 @query("upsert_name_map", """SELECT left(prod_ai, 8) AS prod_ai, left(canonical_name, 8) AS canonical_name, rxcui
@@ -521,7 +521,7 @@ def _(s, p):
     """The second page, from where the first one ended."""
     store = feed_store.FeedStore.write(feed(s, p), d.fresh_path(s, "feed"))
     first = store.page(20).collect()
-    return store.page(20, store.position(first[-1])).select(*FEED_COLUMNS)
+    return (store.page(20, store.position(first[-1])) if first else store.page(0)).select(*FEED_COLUMNS)
 
 
 for _by, _sql in {
