@@ -9,7 +9,7 @@ Candidates are then verified by the shingles themselves.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +36,16 @@ def _windows(words: Column, k: int, make) -> Column:
     return let(words, windows)
 
 
-def _shingles(words: Column, lengths: Iterable[int], make, kind: str) -> Column:
+def _shingles(words: Column, lengths: Sequence[int], make, kind: str) -> Column:
     """make(window) for every run of each of the lengths; null if there are none."""
+    if len(lengths) == 1:
+        return _windows(words, lengths[0], make)
     none = F.array().cast(f"array<{kind}>")
-    all = F.concat(*(F.coalesce(_windows(words, k, make), none) for k in lengths))
-    return F.when(F.size(all) > 0, all)
+
+    def each(w: Column) -> Column:
+        return let(F.concat(*(F.coalesce(_windows(w, k, make), none) for k in lengths)), lambda a: F.when(F.size(a) > 0, a))
+
+    return let(words, each)
 
 
 def hashed(words: Column, *lengths: int) -> Column:
