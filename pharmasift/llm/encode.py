@@ -16,7 +16,7 @@ from typing import Any
 #: Bytes of text looked at together: missing words are encoded in one batch.
 GROUP_BYTES = 512 * 1024
 #: Estimated bytes of remembered pieces; the memory is emptied beyond it, which changes no result.
-MEMORY_BYTES = 96 * 1024 * 1024
+MEMORY_BYTES = 64 * 1024 * 1024
 #: Longer pieces (whole paragraphs in scripts without spaces) are encoded anew each time.
 LONG_PIECE = 64
 
