@@ -3,7 +3,8 @@
 Every task counts the 1- to 4-word sequences of its texts, sorts them and builds a count
 transducer from them: an acyclic automaton whose paths are phrases and whose states carry the
 number of occurrences (`Counts`). The transducers are cut at common prefixes, so that one task unites all
-that share a range of prefixes and adds up their weights. Counts of the parts of a phrase are found by
+that share a range of prefixes and adds up their weights. This is done twice: for words and pairs, then for
+longer phrases all of whose pairs are frequent, as no other can be (`Follows`). Counts of the parts of a phrase are found by
 composition: a range sends the automaton of the parts it asks for to the ranges that hold them,
 and gets it back with their weights.
 """
@@ -12,6 +13,8 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from functools import cached_property
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +31,21 @@ TOP = 2000
 #: A candidate goes if a longer one that holds it has at least this percentage of its occurrences.
 INSIDE = 80
 #: Words that one transducer of a task is built from.
-SHARD_WORDS = 200_000
+SHARD_WORDS = 1_000_000
 #: States of one stored piece of a transducer, about.
-BLOCK_STATES = 20_000
+BLOCK_STATES = 50_000
 #: States (before they are united) of one range of prefixes, about.
-RANGE_STATES = 600_000
+RANGE_STATES = 1_000_000
+#: Bits for each frequent pair of words, and at most: that filter goes to every task. A pair let through wrongly costs states only.
+PAIR_BITS, MAX_BITS = 32, 1 << 26
 #: Pieces from which the borders of ranges are chosen, which decide about sizes only.
 BORDER_SAMPLE = 200_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
 
+#: The end of a piece among words, where no full stop is left.
+_END = b"."
+
 Key = tuple[bytes, ...]
 
 
@@ -57,8 +65,11 @@ class Counts:
         return sum(len(words) for _, words, _ in self.levels)
 
     def keys(self, level: int) -> np.ndarray:
-        parents, words, _ = self.levels[level]
-        return parents * max(1, len(self.vocabulary)) + words
+        return self._keys[level]
+
+    @cached_property
+    def _keys(self) -> list[np.ndarray]:
+        return [parents * max(1, len(self.vocabulary)) + words for parents, words, _ in self.levels]
 
     @classmethod
     def from_sorted(cls, phrases: Iterable[Key], weights: Iterable[int], longest: int = WORDS) -> Counts:
@@ -82,8 +93,11 @@ class Counts:
         return cls(vocabulary, [tuple(np.array(x, np.int64) for x in level) for level in levels])
 
     @classmethod
-    def of_text(cls, ids: np.ndarray, vocabulary: list[bytes], starts: int, longest: int = WORDS) -> Counts:
-        """Of a sequence of 1-based word numbers, 0 at ends of pieces; phrases begin at the first `starts` places."""
+    def of_text(cls, ids: np.ndarray, vocabulary: list[bytes], starts: int, longest: int = WORDS, follows: np.ndarray | None = None) -> Counts:
+        """Of a sequence of 1-based word numbers, 0 at ends of pieces; phrases begin at the first `starts` places.
+
+        With `follows`, whether the pair that begins at a place may count, only phrases of such pairs, of three words or more.
+        """
         order = sorted(range(len(vocabulary)), key=vocabulary.__getitem__)
         rank = np.full(len(vocabulary) + 1, -1, np.int64)
         rank[np.array(order, np.int64) + 1] = np.arange(len(order))
@@ -91,13 +105,19 @@ class Counts:
         n = len(at)
         end = np.minimum.accumulate(np.where(at < 0, np.arange(n), n)[::-1])[::-1] if n else at
         place = np.flatnonzero(at[:starts] >= 0)
+        if follows is not None:
+            place = place[place + 2 < end[place]]
+            place = place[follows[place] & follows[place + 1]]
         state = np.zeros(len(place), np.int64)
         levels = []
         for m in range(longest):
             longer = place + m < end[place]
+            if follows is not None and m > 2:
+                longer &= follows[place + m - 1]
             place, state = place[longer], state[longer]
             key, state, weight = np.unique(state * max(1, len(order)) + at[place + m], return_inverse=True, return_counts=True)
-            levels.append((key // max(1, len(order)), key % max(1, len(order)), weight.astype(np.int64)))
+            weight = weight.astype(np.int64) if follows is None or m > 1 else np.zeros(len(key), np.int64)
+            levels.append((key // max(1, len(order)), key % max(1, len(order)), weight))
         return cls([vocabulary[i] for i in order], levels)
 
     def border(self, key: Key) -> list[int]:
@@ -140,6 +160,11 @@ class Counts:
         used = np.unique(np.concatenate([words for _, words, _ in self.levels]))
         return Counts([self.vocabulary[i] for i in used], [(p, np.searchsorted(used, words), w) for p, words, w in self.levels])
 
+    def deeper(self, longest: int) -> Counts:
+        """With empty levels up to `longest` words."""
+        none = np.zeros(0, np.int64)
+        return Counts(self.vocabulary, self.levels + [(none, none, none)] * (longest - len(self.levels)))
+
     def path(self, level: int, state: int) -> Key:
         found: list[bytes] = []
         for m in range(level, -1, -1):
@@ -258,73 +283,131 @@ class Counts:
         return cls(names.split(b" ") if names else [], levels)
 
 
+class Follows:
+    """Pairs of words of a language that may be frequent: a bit for each hash, so that all frequent ones are known."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def hashes(words: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in words), np.uint64)
+
+    @classmethod
+    def places(cls, lang: str, first: np.ndarray, second: np.ndarray, size: int) -> np.ndarray:
+        """Bits of pairs of hashed words; `size` is a power of two."""
+        x = first * np.uint64(0x9E3779B97F4A7C15) + second + cls.hashes([lang.encode()])
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((x ^ (x >> np.uint64(32))) & np.uint64(size - 1)).astype(np.int64)
+
+    @classmethod
+    def of(cls, counts: DataFrame) -> Follows:
+        """Of the stored frequent paths; bits are united before they are collected, MAX_BITS at most."""
+        n = counts.agg(F.sum("pairs")).first()[0] or 0
+        size = min(MAX_BITS, max(1 << 10, 1 << int(PAIR_BITS * n).bit_length()))
+
+        def places(batches):
+            for batch in batches:
+                for lang, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    c = Counts.from_bytes(data.as_py())
+                    hashed = cls.hashes(c.vocabulary)
+                    parents, words, weights = (x[c.levels[1][2] > 0] for x in c.levels[1])
+                    yield _rows(["bit"], [np.unique(cls.places(lang, hashed[c.levels[0][1][parents]], hashed[words], size))], [pa.int64()])
+
+        bit = counts.where("pairs > 0").select("lang", "counts").mapInArrow(places, "bit long")
+        place, inside = F.expr("bit div 32").alias("place"), F.expr("shiftleft(1L, CAST(bit % 32 AS INT))")
+        found = bit.groupBy(place).agg(F.bit_or(inside).alias("bits")).toArrow()
+        bits = np.zeros(size // 32, np.uint32)
+        bits[found["place"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
+        return cls(bits)
+
+    def of_places(self, lang: str, ids: np.ndarray, vocabulary: list[bytes]) -> np.ndarray:
+        """For each place of a sequence of word numbers, whether the pair that begins there may be frequent."""
+        hashed = np.concatenate([np.zeros(1, np.uint64), self.hashes(vocabulary)])[ids]
+        bit = self.places(lang, hashed[:-1], hashed[1:], 32 * len(self.bits))
+        known = (self.bits[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1)
+        return np.append(known.astype(bool) & (ids[:-1] > 0) & (ids[1:] > 0), False)
+
+
 class _Vocabulary(dict):
-    """Words numbered from 1 as they come."""
+    """Words numbered from 1 as they come; 0 is the end of a piece."""
+
+    def __init__(self):
+        super().__init__({_END: 0})
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self) + 1
+        self[word] = n = len(self)
         return n
 
 
 class Shards:
     """Texts to count transducers of at most about `limit` words, by language."""
 
-    def __init__(self, limit: int = SHARD_WORDS, longest: int = WORDS):
-        self.limit, self.longest = limit, longest
+    def __init__(self, limit: int = SHARD_WORDS, longest: int = WORDS, follows: Follows | None = None):
+        self.limit, self.longest, self.follows = limit, longest, follows
         self.held: dict[str, tuple[_Vocabulary, list[int]]] = {}
         self.size = 0
 
     def add(self, lang: str, text: bytes) -> Iterator[tuple[str, Counts]]:
         """Takes a text in; gives what had to be counted to keep memory bounded, even within the text."""
-        for piece in text.translate(_LOWER).split(b"\n"):
-            words = piece.split()
-            for at in range(0, len(words), self.limit):
-                vocabulary, ids = self.held.setdefault(lang, (_Vocabulary(), []))
-                some = words[at : at + self.limit]
-                ids.extend(map(vocabulary.__getitem__, some))
-                self.size += len(some)
-                inside = at + self.limit < len(words)
-                if not inside:
-                    ids.append(0)
-                if self.size >= self.limit:
-                    yield from self.flush(lang if inside else None)
+        words = text.translate(_LOWER).replace(b"\n", b" . ").split()
+        words.append(_END)
+        for at in range(0, len(words), self.limit):
+            vocabulary, ids = self.held.setdefault(lang, (_Vocabulary(), []))
+            some = words[at : at + self.limit]
+            ids.extend(map(vocabulary.__getitem__, some))
+            self.size += len(some)
+            if self.size >= self.limit:
+                yield from self.flush(lang if some[-1] != _END else None)
 
     def flush(self, inside: str | None = None) -> Iterator[tuple[str, Counts]]:
         """Counts what is held; of a language whose piece goes on, its last words begin no phrase yet."""
         held, self.held, self.size = self.held, {}, 0
         for lang, (vocabulary, ids) in held.items():
-            words = list(vocabulary)
+            words = list(vocabulary)[1:]
             kept = ids[-(self.longest - 1) :] if lang == inside and self.longest > 1 else []
             if 0 in kept:
                 kept = kept[len(kept) - kept[::-1].index(0) :]
-            yield lang, Counts.of_text(np.array(ids, np.int64), words, len(ids) - len(kept), self.longest)
+            numbers = np.array(ids, np.int64)
+            follows = self.follows and self.follows.of_places(lang, numbers, words)
+            yield lang, Counts.of_text(numbers, words, len(ids) - len(kept), self.longest, follows)
             if kept:
                 again = _Vocabulary()
                 self.held[lang] = (again, [again[words[i - 1]] for i in kept])
                 self.size += len(kept)
 
 
-def shard_counts(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = WORDS, shard_words: int = SHARD_WORDS, block: int = BLOCK_STATES) -> DataFrame:
+_SHARDS = "lang string, first binary, last binary, states long, counts binary"
+_SHARDS_NAMES = ["lang", "first", "last", "states", "counts"]
+_SHARDS_KINDS = (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
+
+
+def _shard(lang: str, c: Counts) -> list[list]:
+    return [[lang], [b" ".join(c.first())], [b" ".join(c.last())], [c.states], [c.to_bytes()]]
+
+
+def shard_counts(
+    docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = WORDS, shard_words: int = SHARD_WORDS, block: int = BLOCK_STATES,
+    follows: Follows | None = None,
+) -> DataFrame:
     """lang, first, last (paths), states and counts of the pieces of each task's transducers."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(follows)
 
     def build(batches):
-        shards = Shards(shard_words, longest)
+        shards = Shards(shard_words, longest, shared.value)
 
         def out(found):
             for name, whole in found:
                 for c in whole.blocks(block):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name]), pa.array([b" ".join(c.first())]), pa.array([b" ".join(c.last())]), pa.array([c.states], pa.int64()), pa.array([c.to_bytes()])],
-                        names=["lang", "first", "last", "states", "counts"],
-                    )
+                    yield _rows(_SHARDS_NAMES, _shard(name, c), _SHARDS_KINDS)
 
         for batch in batches:
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
                 yield from out(shards.add(name, t.as_py()))
         yield from out(shards.flush())
 
-    return rows.mapInArrow(build, "lang string, first binary, last binary, states long, counts binary")
+    return rows.mapInArrow(build, _SHARDS)
 
 
 class Ranges:
@@ -407,8 +490,11 @@ def _merged(parts: Iterable[Counts], factor: int = 2) -> Counts:
     return Counts.union(held)
 
 
-def range_counts(shards: DataFrame, ranges: Ranges, least: int) -> DataFrame:
-    """The frequent paths of every range, with all occurrences in all shards, and its number of words."""
+def range_counts(shards: DataFrame, ranges: Ranges, least: int, longest: int = WORDS) -> DataFrame:
+    """The frequent paths of every range, with all occurrences in all shards, up to `longest` words.
+
+    As shards, with their range, the number of words in all and of frequent pairs.
+    """
 
     def deal(batches):
         for batch in batches:
@@ -420,11 +506,12 @@ def range_counts(shards: DataFrame, ranges: Ranges, least: int) -> DataFrame:
         for (number, lang), group in _groups(batches):
             whole = _merged(c for _, _, c in group)
             words = int(whole.levels[0][2].sum())
-            yield _rows(
-                [*_DEALT_NAMES, "n"], [[number], [lang], [0], [number], [whole.frequent(least).to_bytes()], [words]], (*_DEALT_KINDS, pa.int64())
-            )
+            few = whole.frequent(least).deeper(longest)
+            pairs = int((few.levels[1][2] > 0).sum()) if longest > 1 else 0
+            shard = _shard(lang, few) if few.states else [[lang], [b""], [b""], [0], [few.to_bytes()]]
+            yield _rows([*_SHARDS_NAMES, "range", "n", "pairs"], [*shard, [number], [words], [pairs]], (*_SHARDS_KINDS, *[pa.int64()] * 3))
 
-    return _together(shards.mapInArrow(deal, _DEALT), len(ranges)).mapInArrow(unite, f"{_DEALT}, n long")
+    return _together(shards.mapInArrow(deal, _DEALT), len(ranges)).mapInArrow(unite, f"{_SHARDS}, range long, n long, pairs long")
 
 
 def _candidates(counts: Counts) -> Iterator[tuple[Key, int]]:
@@ -485,8 +572,7 @@ def scored(counts: DataFrame, ranges: Ranges, scale: int = SCALE) -> DataFrame:
                 kinds = (pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 4)
                 yield _rows(["lang", "phrase", "words", "a", "l", "r", "score"], [list(x) for x in zip(*rows)], kinds)
 
-    own = counts.drop("n")
-    plain = own.select(*_DEALT_NAMES)
+    plain = counts.select("range", "lang", F.lit(0).alias("kind"), F.col("range").alias("source"), "counts")
     asked = plain.mapInArrow(ask, _DEALT)
     answered = stored(_together(plain.union(asked), len(ranges)).mapInArrow(answer, _DEALT), "answers")
     return _together(plain.union(answered), len(ranges)).mapInArrow(
@@ -506,9 +592,14 @@ def collocations(
     Null languages are `und`, null texts empty; an empty table gives no rows; other columns are not read.
     """
     need(docs, lang, text)
-    shards = stored(shard_counts(docs, lang, text, longest, shard_words, block), "shards")
+    shards = stored(shard_counts(docs, lang, text, min(longest, 2), shard_words, block), "shards")
     ranges = Ranges.choose(shards, range_states)
-    counts = stored(range_counts(shards, ranges, least), "counts")
+    totals = counts = stored(range_counts(shards, ranges, least, longest), "counts")
+    if longest > 2:
+        longer = stored(shard_counts(docs, lang, text, longest, shard_words, block, Follows.of(counts)), "shards")
+        shards = counts.where("states > 0").select(*_SHARDS_NAMES).unionByName(longer)
+        ranges = Ranges.choose(shards, range_states)
+        counts = stored(range_counts(shards, ranges, least, longest), "counts")
     found = stored(scored(counts, ranges), "candidates")
     words = F.split("phrase", " ")
     shorter = [(i, m) for size in range(3, longest + 1) for m in range(2, size) for i in range(1, size - m + 2)]
@@ -522,5 +613,5 @@ def collocations(
     )
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     best = kept.select("lang", "phrase", "a", "l", "r", "score", F.row_number().over(order).cast("long").alias("rank")).where(F.col("rank") <= top)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = totals.groupBy("lang").agg(F.sum("n").alias("n"))
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
