@@ -15,6 +15,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from functools import cached_property
 from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,12 @@ BLOCK_STATES = 50_000
 RANGE_STATES = 1_000_000
 #: Bits for each frequent pair of words, and at most: that filter goes to every task. A pair let through wrongly costs states only.
 PAIR_BITS, MAX_BITS = 32, 1 << 26
-#: Pieces from which the borders of ranges are chosen, which decide about sizes only.
+#: Paths from which the borders of ranges are chosen, which decide about sizes only.
 BORDER_SAMPLE = 200_000
+#: Such paths of a stored piece of full size, about.
+BLOCK_MARKS = 10
+#: Parts of a language that are ranked by themselves before its best phrases are.
+RANKED_PARTS = 32
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
 
@@ -189,6 +194,14 @@ class Counts:
             if any((w > 0).any() for _, _, w in piece.levels):
                 yield piece
 
+    def marks(self, step: int) -> list[Key]:
+        """About one path for each `step` states, at places that the content decides, so that like transducers give unlike ones."""
+        at, out = crc32(b"".join(w.tobytes() for _, _, w in self.levels)) % step, []
+        for m, (_, words, _) in enumerate(self.levels):
+            out += [self.path(m, i) for i in range(at, len(words), step)]
+            at = (at - len(words)) % step if at < len(words) else at - len(words)
+        return out
+
     def cut(self, marks: list[Key]) -> Iterator[Counts]:
         """The parts before, between and after sorted keys."""
         low = [0] * len(self.levels)
@@ -377,20 +390,25 @@ class Shards:
                 self.size += len(kept)
 
 
-_SHARDS = "lang string, first binary, last binary, states long, counts binary"
-_SHARDS_NAMES = ["lang", "first", "last", "states", "counts"]
-_SHARDS_KINDS = (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
+_SHARDS = "lang string, first binary, last binary, states long, counts binary, marks array<binary>"
+_SHARDS_NAMES = ["lang", "first", "last", "states", "counts", "marks"]
+_SHARDS_KINDS = (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.binary()))
+
 
+def _shard(lang: str, c: Counts, step: int) -> list[list]:
+    marks = [b" ".join(x) for x in c.marks(step)]
+    return [[lang], [b" ".join(c.first())], [b" ".join(c.last())], [c.states], [c.to_bytes()], [marks]]
 
-def _shard(lang: str, c: Counts) -> list[list]:
-    return [[lang], [b" ".join(c.first())], [b" ".join(c.last())], [c.states], [c.to_bytes()]]
+
+def _step(block: int) -> int:
+    return max(1, block // BLOCK_MARKS)
 
 
 def shard_counts(
     docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = WORDS, shard_words: int = SHARD_WORDS, block: int = BLOCK_STATES,
     follows: Follows | None = None,
 ) -> DataFrame:
-    """lang, first, last (paths), states and counts of the pieces of each task's transducers."""
+    """lang, first, last (paths), states, counts and marks (paths at even steps) of the pieces of each task's transducers."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(follows)
 
@@ -400,7 +418,7 @@ def shard_counts(
         def out(found):
             for name, whole in found:
                 for c in whole.blocks(block):
-                    yield _rows(_SHARDS_NAMES, _shard(name, c), _SHARDS_KINDS)
+                    yield _rows(_SHARDS_NAMES, _shard(name, c, _step(block)), _SHARDS_KINDS)
 
         for batch in batches:
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
@@ -418,11 +436,15 @@ class Ranges:
 
     @classmethod
     def choose(cls, shards: DataFrame, range_states: int) -> Ranges:
-        """Borders at even steps of the first paths of stored pieces, of BORDER_SAMPLE pieces at most."""
+        """Borders at even steps of the marks of stored pieces, of BORDER_SAMPLE marks at most.
+
+        First paths of pieces would not do: those of all pieces are about the same, so that more input gave larger ranges, not more.
+        """
         states = shards.agg(F.sum("states")).first()[0] or 0
         n = max(1, -(-states // range_states))
-        sample = shards.select("lang", "first").orderBy(F.xxhash64("lang", "first", "last")).limit(BORDER_SAMPLE).collect()
-        keys = sorted((r["lang"].encode(), tuple(bytes(r["first"]).split(b" "))) for r in sample)
+        marks = shards.select("lang", F.explode("marks").alias("mark"), F.xxhash64("last", "states", "mark").alias("order"))
+        sample = marks.orderBy("order").limit(BORDER_SAMPLE).collect()
+        keys = sorted((r["lang"].encode(), tuple(bytes(r["mark"]).split(b" "))) for r in sample)
         n = min(n, len(keys)) or 1
         return cls(sorted({keys[len(keys) * i // n] for i in range(1, n)}))
 
@@ -490,7 +512,7 @@ def _merged(parts: Iterable[Counts], factor: int = 2) -> Counts:
     return Counts.union(held)
 
 
-def range_counts(shards: DataFrame, ranges: Ranges, least: int, longest: int = WORDS) -> DataFrame:
+def range_counts(shards: DataFrame, ranges: Ranges, least: int, longest: int = WORDS, block: int = BLOCK_STATES) -> DataFrame:
     """The frequent paths of every range, with all occurrences in all shards, up to `longest` words.
 
     As shards, with their range, the number of words in all and of frequent pairs.
@@ -499,7 +521,7 @@ def range_counts(shards: DataFrame, ranges: Ranges, least: int, longest: int = W
     def deal(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, first, last, _, counts = (c[i].as_py() for c in batch.columns)
+                lang, first, last, counts = (c[i].as_py() for c in batch.columns)
                 yield from _dealt(ranges, [(lang, Counts.from_bytes(counts), tuple(first.split(b" ")), tuple(last.split(b" ")))], 0, 0)
 
     def unite(batches):
@@ -508,10 +530,10 @@ def range_counts(shards: DataFrame, ranges: Ranges, least: int, longest: int = W
             words = int(whole.levels[0][2].sum())
             few = whole.frequent(least).deeper(longest)
             pairs = int((few.levels[1][2] > 0).sum()) if longest > 1 else 0
-            shard = _shard(lang, few) if few.states else [[lang], [b""], [b""], [0], [few.to_bytes()]]
+            shard = _shard(lang, few, _step(block)) if few.states else [[lang], [b""], [b""], [0], [few.to_bytes()], [[]]]
             yield _rows([*_SHARDS_NAMES, "range", "n", "pairs"], [*shard, [number], [words], [pairs]], (*_SHARDS_KINDS, *[pa.int64()] * 3))
 
-    return _together(shards.mapInArrow(deal, _DEALT), len(ranges)).mapInArrow(unite, f"{_SHARDS}, range long, n long, pairs long")
+    return _together(shards.select("lang", "first", "last", "counts").mapInArrow(deal, _DEALT), len(ranges)).mapInArrow(unite, f"{_SHARDS}, range long, n long, pairs long")
 
 
 def _candidates(counts: Counts) -> Iterator[tuple[Key, int]]:
@@ -594,12 +616,12 @@ def collocations(
     need(docs, lang, text)
     shards = stored(shard_counts(docs, lang, text, min(longest, 2), shard_words, block), "shards")
     ranges = Ranges.choose(shards, range_states)
-    totals = counts = stored(range_counts(shards, ranges, least, longest), "counts")
+    totals = counts = stored(range_counts(shards, ranges, least, longest, block), "counts")
     if longest > 2:
         longer = stored(shard_counts(docs, lang, text, longest, shard_words, block, Follows.of(counts)), "shards")
         shards = counts.where("states > 0").select(*_SHARDS_NAMES).unionByName(longer)
         ranges = Ranges.choose(shards, range_states)
-        counts = stored(range_counts(shards, ranges, least, longest), "counts")
+        counts = stored(range_counts(shards, ranges, least, longest, block), "counts")
     found = stored(scored(counts, ranges), "candidates")
     words = F.split("phrase", " ")
     shorter = [(i, m) for size in range(3, longest + 1) for m in range(2, size) for i in range(1, size - m + 2)]
@@ -611,7 +633,12 @@ def collocations(
     kept = found.join(longer, ["lang", "phrase"], "left").where(
         F.col("around").isNull() | (F.col("around").cast("decimal(38,0)") * 100 < F.col("a").cast("decimal(38,0)") * inside)
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    best = kept.select("lang", "phrase", "a", "l", "r", "score", F.row_number().over(order).cast("long").alias("rank")).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # the best of a language are among the best of its parts, which many tasks rank
+    part = F.pmod(F.xxhash64("phrase"), F.lit(RANKED_PARTS))
+    parted = Window.partitionBy("lang", part).orderBy(*order)
+    few = kept.withColumn("rank", F.row_number().over(parted)).where(F.col("rank") <= top).drop("rank")
+    whole = F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")
+    best = few.select("lang", "phrase", "a", "l", "r", "score", whole.alias("rank")).where(F.col("rank") <= top)
     totals = totals.groupBy("lang").agg(F.sum("n").alias("n"))
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

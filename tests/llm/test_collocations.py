@@ -138,3 +138,17 @@ def test_products_beyond_64_bits():
     assert collocations.worst_cut((b"a", b"b"), big, {b"a": big + 6, b"b": big + 9}) == (999999, 1, big + 6, big + 9)
     weight = {b"a": 10, b"b c": 10, b"a b": 10, b"c": 10}
     assert collocations.worst_cut((b"a", b"b", b"c"), 9, weight) == (900000, 1, 10, 10)
+
+
+def test_ranges_stay_even_when_all_shards_are_alike(frame):
+    """Pieces of all shards begin at about the same paths, so borders at first paths would leave few large ranges."""
+    draw = random.Random(4)
+    docs = frame([("en", " ".join(f"w{draw.randrange(3000)}" for _ in range(250))) for _ in range(300)], "lang string, text string")
+    shards = collocations.shard_counts(docs, longest=2, shard_words=5000, block=2000).cache()
+    ranges = Ranges.choose(shards, 4000)
+    sizes = Counter()
+    for r in shards.collect():
+        first, last = (tuple(bytes(x).split(b" ")) for x in (r["first"], r["last"]))
+        for number, part in ranges.deal(r["lang"], Counts.from_bytes(bytes(r["counts"])), first, last):
+            sizes[number] += part.states
+    assert len(ranges) > 20 and max(sizes.values()) < 3 * 4000
