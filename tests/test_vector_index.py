@@ -75,3 +75,12 @@ def test_null_zero_and_no_vectors(spark, frame, tmp_path):
     empty = VectorIndex.build(docs.limit(0), str(tmp_path / "e"))
     assert empty.topk(q, 5, 0.1).count() == 0
     assert index.topk(q.limit(0), 5, 0.1).count() == 0
+
+
+def test_exact_search_sends_a_query_to_its_group_only(frame, tmp_path, monkeypatch):
+    """Not once to each cell, whose number grows with the vectors."""
+    queries, docs, expected = vectors(frame)
+    index = VectorIndex.build(docs, str(tmp_path / "v"), cells=9)
+    assert picked(retrieval.dense_topk(queries, index, k=4, min_similarity=0.1, probes=9)) == expected
+    monkeypatch.setattr(vector_index, "_cells", None)
+    assert picked(retrieval.dense_topk(queries, index, k=4, min_similarity=0.1, probes=None)) == expected
