@@ -197,3 +197,26 @@ def test_coverage_of_expected_terms(frame):
     df = frame([("m", ["has SGLT2 word"], ["sglt2", "x"]), ("m", ["none"], ["sglt2"]), ("n", ["sglt2"], ["SGLT2"])],
                "generator string, queries array<string>, expected_terms array<string>")
     assert rows(search_queries.term_coverage(df)) == [("m", 2, 1, False), ("n", 1, 1, True)]
+
+
+def test_word_blocks_get_numbers_for_words(frame):
+    """Words as Python objects made a block's memory many times that of its numbers."""
+    from pharmasift.operators.blocks import block_grid, blocked_topk
+
+    q = frame([("s", 1, "g", "alpha", 2.0), ("s", 1, "g", "beta", 1.0), ("t", 1, "g", "beta", 1.0)], "signal_id string, query_no int, group_key string, term string, qtf double")
+    items = frame([(1, "g", "alpha", 1.0), (2, "g", "beta", 3.0), (3, "g", "gamma", 9.0)], "doc_id long, group_key string, term string, weight double")
+
+    def score(qs, ds):
+        assert qs["term"].dtype == ds["term"].dtype == "int64"
+        return retrieval.best_by_words(qs, ds, 5, 0.1)
+
+    got = blocked_topk(q, items, block_grid(q, items, "group_key", 2, 2), "group_key", score, 5, 0, "term")
+    assert rows(got.select("signal_id", "doc_id", "score", "rank")) == [("s", 1, 2.0, 2), ("s", 2, 3.0, 1), ("t", 2, 3.0, 1)]
+
+
+def test_weights_of_query_words_are_computed_once(frame, monkeypatch):
+    names, plain = [], retrieval.stored
+    monkeypatch.setattr(retrieval, "stored", lambda df, name: names.append(name) or plain(df, name))
+    docs, d, queries, q = setup_bm25(frame)
+    retrieval.bm25_topk(q, d)
+    assert names.count("weighted-words") == 1
