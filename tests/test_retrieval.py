@@ -220,3 +220,14 @@ def test_weights_of_query_words_are_computed_once(frame, monkeypatch):
     docs, d, queries, q = setup_bm25(frame)
     retrieval.bm25_topk(q, d)
     assert names.count("weighted-words") == 1
+
+
+def test_document_frequencies_are_counted_once_for_weights_and_their_mean(frame, monkeypatch):
+    docs, d, queries, q = setup_bm25(frame)
+    names = []
+    keep = retrieval.stored
+    monkeypatch.setattr(retrieval, "stored", lambda df, name: names.append(name) or keep(df, name))
+    weights = retrieval.weighted_terms(retrieval.tokenized(d), retrieval.query_terms(q))
+    assert names == ["document-frequency"]
+    assert "words" not in weights._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(retrieval.bm25_topk(q, d).select("signal_id", "query_no", "rank", "doc_id", F.round("score", 6))) == expected_bm25(docs, queries)
