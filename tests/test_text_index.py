@@ -119,3 +119,19 @@ def test_null_and_empty_texts_repeated_rows_and_no_documents(spark, frame, tmp_p
     empty = TextIndex(spark, (write_segment(d.limit(0), str(tmp_path / "e")),))
     assert found(q, empty) == []
     assert found(q, empty.add(d, str(tmp_path / "b"))) == found(q, index)
+
+
+def test_search_shuffles_no_posting_or_block_that_nobody_asks_for(grown, spark):
+    docs, _, queries, q, _, _, _, full = grown
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = retrieval.bm25_topk(q, full)
+        assert "SortMergeJoin [group_key" not in plan(got) and "SortMergeJoin [segment" not in plan(got)
+        assert rows(got.select("signal_id", "query_no", "rank", "doc_id", F.round("score", 6))) == expected_bm25(docs, queries)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
