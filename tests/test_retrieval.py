@@ -231,3 +231,16 @@ def test_document_frequencies_are_counted_once_for_weights_and_their_mean(frame,
     assert names == ["document-frequency"]
     assert "words" not in weights._jdf.queryExecution().optimizedPlan().toString()
     assert rows(retrieval.bm25_topk(q, d).select("signal_id", "query_no", "rank", "doc_id", F.round("score", 6))) == expected_bm25(docs, queries)
+
+
+def test_postings_of_large_texts_take_one_shuffle_by_document(spark, frame, monkeypatch, tmp_path):
+    _, d, *_ = setup_bm25(frame)
+    d.unionByName(d.limit(5)).write.parquet(str(tmp_path / "docs"))  # some ids twice
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    small = rows(retrieval.postings(docs))
+    monkeypatch.setattr(retrieval, "SMALL_BYTES", 0)
+    monkeypatch.setattr(retrieval, "spread_small", lambda df, key: df)
+    large = retrieval.postings(docs)
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(doc_id" in plan
+    assert rows(large) == small
