@@ -4,7 +4,8 @@ from itertools import product
 from pyspark.sql import functions as F
 
 from pharmasift.operators import cases, naming, pairs
-from pharmasift.operators.joins import attach, estimated_bytes, measured_bytes, trusted_bytes
+from pharmasift.operators import disproportionality as dp
+from pharmasift.operators.joins import TASK_BYTES, attach, estimated_bytes, measured_bytes, task_count, trusted_bytes
 from tests.conftest import rows
 
 DEMO = "primaryid long, caseid long, caseversion int, fda_dt string, source_quarter string"
@@ -118,6 +119,56 @@ def test_salted_look_up_equals_broadcast(frame, spark):
     assert "BroadcastHashJoin" in attach(facts, lookup, ["k"])._jdf.queryExecution().executedPlan().toString()
 
 
+def random_reports(seed=5):
+    """Reports of one to many drugs and reactions, repeated ones and rows without a report among them."""
+    rng = random.Random(seed)
+    demo = [row for n in range(1, 30) for row in one_case(n)]
+    drug = [(rng.choice([None, 1, *range(1, 40)]), "PS", f"D{rng.randrange(9)}", "d") for _ in range(300)]
+    reac = [(rng.choice([None, 1, *range(1, 40)]), rng.choice(["r1", " R1 ", "r2", "r3", "", None])) for _ in range(300)]
+    return demo, drug, reac
+
+
+def test_builder_marks_pairs_as_windows_do(frame):
+    columns = ("primaryid", "drug_key", "pt", *pairs.MARKS)
+    expected = rows(dp.marked(build(frame, *random_reports())), *columns)
+    for wide_report in (2048, 5):
+        got = build(frame, *random_reports(), marks=True, wide_report=wide_report)
+        assert rows(got, *columns) == expected and len(expected) > 100
+        assert rows(got, *pairs.PAIR_COLUMNS) == rows(build(frame, *random_reports()))
+
+
+def test_reports_are_shuffled_once_where_none_is_wide(frame):
+    demo, drug, reac = random_reports()
+    built = build(frame, demo, drug, reac)
+    built.collect()
+    plan = built._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    shuffles = [line for line in plan.splitlines() if " Exchange hashpartitioning(" in line]
+    assert not any("_shard#" in line for line in shuffles)
+    assert len(shuffles) <= 6  # newest version, facts, outcomes, drugs, reactions, and the count of wide reports
+
+
+def test_task_count_follows_the_files(spark, tmp_path):
+    spark.range(200_000).select(F.rand(1).alias("x"), F.rand(2).alias("y")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    size = estimated_bytes(table)
+    crossed = table.crossJoin(table.withColumnsRenamed({"x": "u", "y": "v"}))  # estimated as a product, read as a sum
+    least = spark.sparkContext.defaultParallelism
+    assert task_count(table) == max(least, -(-size // TASK_BYTES))
+    assert task_count(crossed) == max(least, -(-2 * size // TASK_BYTES))
+
+
+def test_small_name_map_of_a_large_table_is_broadcast(frame, spark, tmp_path):
+    raw = spark.range(1_200_000).select(
+        F.concat(F.lit("A"), F.col("id") % 5).alias("prod_ai"), F.lit("a").alias("canonical_name"), F.uuid().alias("rxcui")
+    )
+    raw.write.parquet(str(tmp_path / "map"))
+    name_map = naming.load_name_map(spark.read.parquet(str(tmp_path / "map")))
+    assert trusted_bytes(name_map) > 32 * 1024 * 1024
+    named = naming.normalize(frame([(1, "PS", "A1", "b"), (2, "PS", "Z", "b")], DRUG), name_map)
+    assert [r[:2] for r in rows(named)] == [(1, "a"), (2, "z")]
+    assert "_salt" not in named._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_distinct_names(frame):
     drug = frame([(1, "PS", " a ", "x"), (2, "PS", "A", "x"), (3, "PS", None, "x")], DRUG)
     assert rows(naming.distinct_names(drug)) == [("A",)]
