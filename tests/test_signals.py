@@ -57,6 +57,26 @@ def test_repeated_reports_count_once(frame):
     assert rows(dp.drug_totals(p)) == [("a", 1), ("b", 2)] and dp.report_total(p).first()[0] == 3
 
 
+def test_marked_pairs_need_no_distinct(spark):
+    p = sample_pairs(spark, 4)
+    limits = dp.Thresholds(prr=0.5, cases=1, other_cases=1, drug_cases=1)
+    marked = dp.marked(p).localCheckpoint()
+    got = flagging.flag(marked, limits, marked=True)
+    assert rows(got) == rows(flagging.flag(p, limits)) and got.count() > 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any("primaryid" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_marks_hold_no_report_in_a_window(frame):
+    p = frame([pair(1, "a", "x"), pair(1, "a", "y"), pair(1, "b", "x"), pair(1, "b", "y"), pair(2, "a", "x"), pair(None, "a", "x")], PAIR)
+    marked = dp.marked(p)
+    assert rows(marked, "primaryid", "drug_key", "pt", "for_drug", "for_reaction", "for_all") == [
+        (1, "a", "x", 1, 1, 1), (1, "a", "y", 0, 1, 0), (1, "b", "x", 1, 0, 0), (1, "b", "y", 0, 0, 0), (2, "a", "x", 1, 1, 1),
+        (None, "a", "x", 0, 0, 0),
+    ]
+    assert "unboundedfollowing" not in marked._jdf.queryExecution().executedPlan().toString()
+
+
 def test_thresholds_are_inclusive_and_junk_goes(spark, frame):
     schema = "drug_key string, pt string, a long, c long, drug_total long, prr double"
     cells = frame(
