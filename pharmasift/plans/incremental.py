@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pharmasift.operators import disproportionality as dp
-from pharmasift.operators import naming, temporal
-from pharmasift.operators.cases import best_row, case_facts, latest_version, outcome_flags
-from pharmasift.operators.pairs import combine, dedup_reactions, report_shards
+from pharmasift.operators import temporal
+from pharmasift.operators.cases import best_row, latest_version
+from pharmasift.operators.joins import task_count
+from pharmasift.operators.pairs import build_newest
 from pharmasift.operators.storage import stored
 from pharmasift.plans.flagging import flag_partials
 
@@ -71,13 +72,14 @@ class SignalState:
             newest = stored(fresh, "fresh-versions")
             superseded = newest.where(F.col("_old").isNotNull()).select(F.col("_id").alias("primaryid"), F.col("_batch").alias("batch"))
             newest = newest.drop("_case", "_old", "_id", "_batch")
-        facts = case_facts(newest, outcome_flags(outc))
-        pairs = combine(facts, naming.normalize(drug, name_map, roles), dedup_reactions(reac), report_shards(drug, roles))
+        pairs = build_newest(newest, drug, reac, outc, name_map, roles, marks=True)
+        parts = -(-task_count(newest, drug, reac, outc) // BUCKETS)  # files of a bucket, so that none grows with the batch
+        part = F.pmod(F.xxhash64("primaryid"), F.lit(parts))
         (
-            dp.marked(pairs).withColumn("bucket", _bucket(F.col("primaryid")))
-            .repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/pairs/batch={batch}")
+            pairs.withColumn("bucket", _bucket(F.col("primaryid"))).repartition(parts * BUCKETS, "bucket", part)
+            .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/pairs/batch={batch}")
         )
-        added = self.spark.read.schema(dp.marked(pairs).schema).parquet(f"{self.root}/pairs/batch={batch}")
+        added = self.spark.read.schema(pairs.schema).parquet(f"{self.root}/pairs/batch={batch}")
         cells = dp.partial_cells(added)
         if superseded is not None and not superseded.isEmpty():
             cells = cells.unionByName(dp.partial_cells(self._pairs_of(superseded, added.columns), -1))

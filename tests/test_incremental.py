@@ -109,3 +109,16 @@ def test_marginals_need_no_distinct_shuffle(spark, reports, tmp_path):
         got = dp.contingency_of(spark.createDataFrame(partials.collect(), partials.schema))
         assert rows(got.select("drug_key", "pt", "a", "b", "c", "d", "drug_total", "reaction_total")) == expected
     spark.sql("DROP TABLE bucketed_pairs")
+
+
+def test_batch_is_written_in_bounded_parts_without_windows(spark, reports, tmp_path, monkeypatch):
+    """The builder's marks are those of `marked`, and a bucket has as many files as its batch needs."""
+    monkeypatch.setattr(dp, "marked", None)
+    monkeypatch.setattr(incremental, "task_count", lambda *_: 3 * incremental.BUCKETS)
+    added(spark, tmp_path / "s", reports, SPLITS[0])
+    monkeypatch.undo()
+    got = spark.read.parquet(str(tmp_path / "s" / "pairs"))
+    columns = ("primaryid", "drug_key", "pt", *pairs.MARKS)
+    assert rows(got, *columns) == rows(dp.marked(pairs.build(*reports[:4], reports[4])), *columns)
+    files = got.withColumn("f", F.input_file_name()).groupBy("bucket").agg(F.count_distinct("f").alias("n"), F.count_distinct("primaryid").alias("r"))
+    assert files.filter("n > 1").count() > 0 and files.filter("n > least(3, r)").count() == 0
