@@ -2,6 +2,8 @@
 
 import glob
 import os
+import shutil
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +123,43 @@ def test_null_and_empty_texts_repeated_rows_and_no_documents(spark, frame, tmp_p
     assert found(q, empty.add(d, str(tmp_path / "b"))) == found(q, index)
 
 
+def test_segments_are_united_without_their_texts(spark, frame, tmp_path):
+    """Also with rows that share an id, in one segment and in two, and rows without a group or an id."""
+    schema = "doc_id long, group_key string, text string"
+    old = [(1, "g", "b a b"), (1, "g", "a c c"), (2, "g", "a"), (None, "g", "a d"), (3, None, "d e")]
+    new = [(1, "g", "c b a"), (None, "g", "d d"), (4, "g", None), (5, None, "d")]
+    q = frame([("s", 1, "g", "a b c"), ("t", 1, "g", "d e")], "signal_id string, query_no int, group_key string, text string")
+    paths = [write_segment(frame(part, schema), str(tmp_path / name)) for part, name in ((old, "old"), (new, "new"))]
+    for path in paths:
+        shutil.rmtree(f"{path}/words", ignore_errors=True)
+    merged = TextIndex(spark, tuple(paths)).merge(paths, str(tmp_path / "merged"))
+    once = TextIndex(spark, (write_segment(frame(old + new, schema), str(tmp_path / "once")),))
+    columns = ["group_key", "doc_id", "n_tokens", "term", "tf"]
+    got = rows(merged.table("postings").select(columns))
+    assert got == rows(once.table("postings").select(columns))
+    assert ("g", 1, 3, "b", 3) in got and ("g", 1, 3, "c", 3) in got and ("g", None, 2, "d", 3) in got
+    assert rows(merged.table("blocks")) == rows(once.table("blocks"))
+    assert merged.lengths == once.lengths == (9, pytest.approx(17 / 9))
+    assert {r.term: r.df for r in merged.frequencies().collect()} == {"a": 3, "b": 1, "c": 1, "d": 3, "e": 1}
+    assert found(q, merged, min_score=-10.0) == found(q, once, min_score=-10.0)
+
+
+def test_words_of_a_row_are_counted(frame):
+    texts = ["b a b", "", "x", "\u00e9 e \u00e9 E", "z " * 50 + "y"]
+    split = retrieval.tokenized(frame([(i, "g", t) for i, t in enumerate(texts)], "doc_id long, group_key string, text string"))
+    got = {r.doc_id: {t.term: t.tf for t in r.terms} for r in text_index.counted_words(split).collect()}
+    assert got == {i: dict(Counter(t.lower().split())) for i, t in enumerate(texts)}
+
+
+def test_blocks_of_a_bucket_are_divided_into_files(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "FILE_POSTINGS", 25)
+    d = frame([(i, "g", " ".join(f"w{i}_{j}" for j in range(10))) for i in range(20)], "doc_id long, group_key string, text string")
+    index = TextIndex(spark, (write_segment(d, str(tmp_path / "a")),))
+    for name in ("postings", "blocks", "terms"):
+        files = index.table(name).select("bucket", F.input_file_name().alias("file")).distinct().groupBy("bucket").count()
+        assert {r["count"] for r in files.collect()} == {2}, name
+
+
 def test_search_shuffles_no_posting_or_block_that_nobody_asks_for(grown, spark):
     docs, _, queries, q, _, _, _, full = grown
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
