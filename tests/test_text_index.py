@@ -97,6 +97,15 @@ def test_blocks_that_cannot_win_are_not_scored(grown, monkeypatch):
     assert pruned < sum(seen)
 
 
+def test_postings_of_the_segments_are_read_once(grown, monkeypatch):
+    docs, _, queries, q, *_, full = grown
+    seen = []
+    table = TextIndex.table
+    monkeypatch.setattr(TextIndex, "table", lambda self, name: seen.append(name) or table(self, name))
+    assert found(q, full) == expected_bm25(docs, queries)
+    assert seen.count("postings") == 1
+
+
 def test_few_words_read_few_files(grown, frame):
     *_, root, _, _, full = grown
     few = frame([("s", 1, "hot", "w1")], "signal_id string, query_no int, group_key string, text string")
